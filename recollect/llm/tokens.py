@@ -9,17 +9,42 @@ import numpy as np
 
 #: Words a worker keeps, and the longest word it keeps, in characters.
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
-#: Pieces encoded by one call.
-CHUNK = 4096
-#: A word that the tokenizer's splitter leaves whole, and one sign after it that it cuts off.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+#: Words of these letters stay whole in the tokenizer's splitter, and none of its normal forms joins or cuts them.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def byte_letters() -> dict[int, str]:
     """The letters that byte-level tokenizers write for bytes: printable ones stand for themselves, the rest follow U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Words(dict):
+    """Ids of a word that has no space, computed when it is first looked up."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.tokenize, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
+        self.signs = {x: self.whole(x) for x in ",."}
+        self[""] = b""
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def plain(self, core: str) -> bytes:
+        core = core.lower()
+        if (ids := self.get(core)) is None:
+            found = self.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))
+            ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+            if len(core) <= CACHE_CHARS:
+                self[core] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        core, sign = (word[:-1], self.signs[word[-1]]) if word[-1] in self.signs else (word, b"")
+        ids = self.plain(core) + sign if PLAIN(core) else self.whole(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -34,57 +59,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = drops_space
-        self.cache: dict[str, bytes] = {"": b""}
-        self.letters = byte_letters()
-        self.signs = {x: self._whole(x) for x in ("", ".", ",")}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        cache, odd, pack = self.cache, [], struct.pack
-        tokenize = self.tokenizer.model.tokenize
-        for word in words:
-            if plain := PLAIN(word):
-                core = plain[1].lower()
-                if (ids := cache.get(core)) is None:
-                    found = tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))
-                    ids = cache[core] = pack(f"<{len(found)}I", *[x.id for x in found])
-                if core is not word:
-                    cache[word] = ids + self.signs[plain[2]]
-            else:
-                odd.append(word)
-        words = odd
-        for at in range(0, len(words), CHUNK):
-            part = words[at : at + CHUNK]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            of = np.array(got.word_ids, dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right").tolist()
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(part, ends):
-                cache[word] = raw[4 * start : 4 * end]
-                start = end
+        self.words = Words(self.tokenizer) if drops_space else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.drops_space:
+        if self.words is None:
             found = self.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
             return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-        cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        new: set[str] = set()
-        for words in cut:
-            new.update(words)
-        new -= self.cache.keys()
-        self._learn(list(new))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                self.cache.pop(word, None)
-        return out
+        if len(self.words) > CACHE_WORDS:
+            self.words = Words(self.tokenizer)
+        get = self.words.__getitem__
+        return [b"".join(map(get, (x or "").replace("\n", " ").split(" "))) for x in texts]
 
 
 ENCODERS: dict[tuple, Encoder] = {}
