@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chatfmt, common, decontam, packing, tokenfile, tokens, urlfilter
+from . import chatfmt, common, decontam, embdedup, langid, packing, quality, tokenfile, tokens, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,33 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     windows = common.staged(chatfmt.format_windows(turns, tokens.tokenizer_path()), "windows")
     return chatfmt.digest(windows)
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(common.documents(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.l > 0 AND b.l > 0 AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, k.b FROM reach r JOIN links k ON r.b = k.a)
+SELECT vec_id, (SELECT count(*) FROM links k WHERE k.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) USING (vec_id)
+"""
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(common.documents(spark, sf_dir))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.documents(spark, sf_dir))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels"))
