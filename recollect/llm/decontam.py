@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
@@ -72,27 +72,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     are ignored. A benchmark of more than automaton_bytes is dealt to several automata, each applied in its own pass;
     the driver holds one part at a time.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // automaton_bytes))
+    parts = _parts(docs.sparkSession, benchmark, automaton_bytes)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frame = frame.withColumns({"found": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    for part in range(parts):
-        own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else bench
-        held = spark.sparkContext.broadcast([tuple(x) for x in own.collect()])
-        frame = frame.mapInArrow(_scan(held, window, part == parts - 1), RESULT if part == parts - 1 else "doc_id long, text string, found array<long>, items array<string>")
+    for i, held in enumerate(parts):
+        last = i == len(parts) - 1
+        frame = frame.mapInArrow(_scan(held, window, last), RESULT if last else "doc_id long, text string, found array<long>, items array<string>")
     return frame
 
 
+def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no pattern of the benchmark occurs."""
+    at = docs.columns.index("text")
+    for held in _parts(docs.sparkSession, benchmark, automaton_bytes):
+        docs = docs.mapInArrow(_clean(held, window, at), docs.schema)
+    return docs
+
+
+def _clean(held, window: int, at: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, automaton = _automaton(name, held, window)
+        for batch in common.slices(batches):
+            found = [automaton is not None and next(matches(words_of(x), numbers, automaton), None) is not None for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return run
+
+
+def _parts(spark: SparkSession, benchmark: DataFrame, automaton_bytes: int) -> list:
+    """The items, broadcast in parts of about automaton_bytes; the driver holds one part at a time."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // automaton_bytes))
+    own = [bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [bench]
+    return [spark.sparkContext.broadcast([tuple(x) for x in part.collect()]) for part in own]
+
+
+def _automaton(name: str, held, window: int) -> tuple:
+    """An executor's Python workers build each automaton once."""
+    if name not in AUTOMATA:
+        AUTOMATA.clear()
+        AUTOMATA[name] = build(held.value, window)
+    return AUTOMATA[name]
+
+
 def _scan(held, window: int, last: bool):
-    name = uuid.uuid4().hex  # an executor's Python workers build each automaton once
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in AUTOMATA:
-            AUTOMATA.clear()
-            AUTOMATA[name] = build(held.value, window)
-        numbers, automaton = AUTOMATA[name]
+        numbers, automaton = _automaton(name, held, window)
         for batch in common.slices(batches):
             out = []
             for doc_id, text, found, items in zip(*(c.to_pylist() for c in batch.columns)):
