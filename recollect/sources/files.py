@@ -1,0 +1,52 @@
+"""Source trees as DataFrames: Spark's binaryFile reader, so that any store works and files are read by executors."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+MOST_BYTES, SAMPLE_BYTES, BINARY_SHARE = 512 * 1024, 256, 0.10
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression: ** is anything, * anything but separators."""
+    parts = [x for x in re.split(r"(\*\*|\*)", glob)]
+    return "".join(".*" if p == "**" else r"[^/\\]*" if p == "*" else re.escape(p) for p in parts)
+
+
+def walk(spark: SparkSession, root: str, extensions: list[str] | str = ("lua",), exclude: list[str] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path (below root), size, text of the files that are neither too long, nor excluded, nor binary."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = re.sub(r"^[a-z]+://?/?", "/", root.rstrip("/")) + "/"
+    found = found.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(base), "")).where(F.col("length") <= most_bytes)
+    if extensions != "*":
+        found = found.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
+    for glob in exclude:
+        found = found.where(~(F.startswith("path", F.lit(glob)) | F.col("path").rlike(f"^{glob_pattern(glob)}$") | F.col("path").rlike(glob_pattern(glob))))
+    head = F.decode(F.substring("content", 1, SAMPLE_BYTES), "ISO-8859-1")
+    odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0e-\x1f\x7f]", ""))
+    return found.where(odd <= F.length(head) * BINARY_SHARE).select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+
+
+def markdown_sections(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """key, position, title, section: a markdown text cut at its headings; what stands before the first has the key as title."""
+    lines = F.split(F.regexp_replace(F.col(body), "\r\n?", "\n"), r"\n(?=#{1,6} )")
+    own = docs.select(F.col(key), F.posexplode(lines).alias("position", "section"))
+    heading = F.regexp_extract("section", r"^#{1,6} +([^\n]*)", 1)
+    own = own.withColumns({"title": F.when(heading != "", F.trim(heading)).otherwise(F.col(key).cast("string")), "section": F.trim(F.regexp_replace("section", r"^#{1,6} [^\n]*\n?", ""))})
+    return own.where("section != ''").select(key, "position", "title", "section")
+
+
+def decision_comments(files: DataFrame) -> DataFrame:
+    """path, line, tag, text of comments that begin with ARCH:, DECISION: or DESIGN:."""
+    own = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    pattern = r"(?:--|#|//|\*)\s*(ARCH|DECISION|DESIGN):\s*(.+)$"
+    return own.where(F.col("raw").rlike(pattern)).select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("raw", pattern, 1).alias("tag"), F.trim(F.regexp_extract("raw", pattern, 2)).alias("text"))
+
+
+def ctags(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of a universal-ctags JSON dump."""
+    rows = spark.read.schema("_type string, name string, path string, line int, kind string, scope string, signature string").json(path)
+    kind = F.when(F.col("kind").isin("function", "func", "subroutine"), "function").when(F.col("kind").isin("method", "member"), "method").when(F.col("kind").isin("class", "struct", "interface", "trait"), "class").otherwise(F.col("kind"))
+    return rows.where("_type = 'tag'").select("path", "name", F.concat_ws(".", "scope", "name").alias("full_name"), kind.alias("symbol_type"), "line")
