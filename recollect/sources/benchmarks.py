@@ -31,7 +31,7 @@ def longmemeval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.schema(LONGMEMEVAL).option("multiLine", True).json(path)
     zipped = F.arrays_zip(F.col("haystack_session_ids").alias("id"), F.col("haystack_sessions").alias("turns"), F.col("haystack_dates").alias("date"))
     sessions = rows.select("question_id", F.explode(zipped).alias("s"))
-    sessions = sessions.select("question_id", F.col("s.haystack_session_ids").alias("session_id"), parsed_date(F.col("s.haystack_dates")).alias("at"), _body(F.col("s.haystack_sessions"), "role", "content").alias("body"))
+    sessions = sessions.select("question_id", F.col("s.id").alias("session_id"), parsed_date(F.col("s.date")).alias("at"), _body(F.col("s.turns"), "role", "content").alias("body"))
     return sessions, rows.select("question_id", "question", "question_type", F.explode("answer_session_ids").alias("session_id"))
 
 
