@@ -10,8 +10,9 @@ common order intersect. The order is that of a fixed-size table of counts over a
 passages which many documents share fall out of the prefixes. Each shingle's documents are then joined by a dual walk
 down an R-tree, and the surviving pairs are verified on the whole sets.
 
-Large groups of near copies don't make all their pairs: documents that share a min-hash with many others are verified
-against one leader first, and only documents of different components are paired afterwards.
+Large groups of near copies don't make all their pairs: documents that share a min-hash with many others are first
+verified against the few that their bounds say are closest (in chunks of the group) and against two leaders of the
+group; only documents of different components are paired afterwards.
 """
 
 from __future__ import annotations
@@ -21,22 +22,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, components
 
 WORDS = 5
 #: Documents link when PART * |union| <= WHOLE * |intersection|.
 PART, WHOLE = 75, 100
-GROUPS = 32
+GROUPS = 256
 #: Cells of the table of counts (4 bytes each where it is summed, 2 where it is sent), and cells in one row of it.
 CELL_BITS, CHUNK_BITS = 20, 12
-#: Min-hashes of a document, and documents that a min-hash is shared by before they are held against its leader.
-MINS, LEADER_LEAST = 3, 8
+#: Min-hashes of a document, documents that a min-hash is shared by before its group is looked into, and leaders of a group.
+MINS, LEADER_LEAST, LEADERS = 3, 8, 2
+#: Documents of a group that are looked through at once for each one's closest, and how many those are, for each of its min-hashes.
+CHUNK, CLOSEST = 1024, 2
 #: Points of a leaf and children of a node; a shingle with up to SMALL documents is compared pair by pair.
 FANOUT, SMALL = 8, 24
 #: Bits of the filter that picks the texts to verify; all texts pass if it is full, and a join picks exactly.
-FILTER_BITS = 22
+FILTER_BITS = 24
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 400_000
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -95,27 +98,27 @@ def links(common_n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return WHOLE * common_n >= PART * (a + b - common_n)
 
 
-FACTS = "doc_id long, cid long, n long, mins array<long>, points binary, chunk int, cells binary"
+FACTS = "doc_id long, cid long, n long, mins array<long>, points binary, wide binary, chunk int, cells binary"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the task's table of counts in rows of their own."""
     cells = np.zeros(1 << CELL_BITS, np.int64)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
-    names = ["doc_id", "cid", "n", "mins", "points", "chunk", "cells"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "cid", "n", "mins", "points", "wide", "chunk", "cells"]
     for batch in common.slices(batches, limit=4 << 20):
         rows, seen = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = shingles(text)
             mins = [int((h * FACTORS[40 + i]).min().astype(np.int64)) for i in range(MINS)] if len(h) else []
-            points = np.bincount((h >> U64(8)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes() if len(h) else None
-            rows.append((doc_id, class_of(h), len(h), mins, points, None, None))
+            points, wide = (packed(h, GROUPS), packed(h, groups_of(len(h)))) if len(h) else (None, None)
+            rows.append((doc_id, class_of(h), len(h), mins, points, wide, None, None))
             seen.append(h)
         cells += np.bincount((np.concatenate(seen) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
     if cells.any():
         sent = np.minimum(cells, 65535).astype("<u2").reshape(-1, 1 << CHUNK_BITS)
-        rows = [(None, None, None, None, None, i, x.tobytes()) for i, x in enumerate(sent)]
+        rows = [(None, None, None, None, None, None, i, x.tobytes()) for i, x in enumerate(sent)]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
@@ -191,6 +194,69 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep])], ["token", "cid"])
 
 
+def groups_of(n: int) -> int:
+    """Groups of a set's own, wide count vector: about one for each shingle."""
+    return max(GROUPS, 1 << (n - 1).bit_length())
+
+
+def packed(h: np.ndarray, groups: int) -> bytes:
+    """The number of shingles in each group, four bits a count; what is beyond 15 is made up for where it is unpacked."""
+    c = np.minimum(np.bincount((h >> U64(8)).astype(np.int64) % groups, minlength=groups), 15).astype(np.uint8)
+    return (c[::2] | c[1::2] << 4).tobytes()
+
+
+def unpacked(points: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Count vectors, with what four bits couldn't hold as one more coordinate, so that the sum of minima stays a bound."""
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(len(n), GROUPS // 2)
+    counts = np.empty((len(n), GROUPS + 1), np.int32)
+    counts[:, :-1:2], counts[:, 1::2] = raw & 15, raw >> 4
+    counts[:, -1] = n - counts[:, :-1].sum(1)
+    return counts
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: for each class of a chunk (key, cid, n, points; sorted by key) those with the highest bounds that allow a link."""
+    for table in whole_runs(batches):
+        key, cid, n = (table.column(i).to_numpy() for i in range(3))
+        points = unpacked(table.column(3).to_pylist(), n).astype(np.int16)
+        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1) != 0)
+        found = [np.zeros((0, 2), np.int64)]
+        for start, end in zip(edge, edge[1:]):
+            for at in range(start, end, 64):
+                rows = slice(at, min(end, at + 64))
+                size = n[rows, None] + n[None, start:end]
+                bound = np.minimum(points[rows, None], points[None, start:end]).sum(2, dtype=np.int64)
+                fits = links(bound, n[rows, None], n[None, start:end]) & (cid[rows, None] != cid[None, start:end])
+                value = np.where(fits, bound / size, -1.0)
+                best = np.argsort(-value, axis=1, kind="stable")[:, :CLOSEST]
+                i, j = np.nonzero(np.take_along_axis(value, best, 1) > 0)
+                x, y = cid[at + i], cid[start + best[i, j]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def wide_counts(points: bytes) -> np.ndarray:
+    raw = np.frombuffer(points, np.uint8)
+    return np.stack([raw & 15, raw >> 4], axis=1).ravel().astype(np.int32)
+
+
+def wide_bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """The bound of two wide vectors; the longer one's groups are added up to the shorter one's."""
+    a, b = wide_counts(x), wide_counts(y)
+    rest = min(nx - int(a.sum()), ny - int(b.sum()))
+    groups = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, groups).sum(0), b.reshape(-1, groups).sum(0)).sum()) + rest
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, na, nb, pa, pb) whose wide vectors allow a link."""
+    for batch in batches:
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        bound = [wide_bound(x, y, i, j) for x, y, i, j in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na.tolist(), nb.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(links(np.array(bound, np.int64), na, nb)))
+
+
 class CountTree:
     """An R-tree over count vectors in the given order: level 0 holds the points, each node above spans FANOUT below it.
 
@@ -236,7 +302,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b: pairs of classes of different components that share a token; rows: token, comp, n, cid, points, sorted so."""
     for table in whole_runs(batches):
         t, comp, n, cid = (table.column(i).to_numpy() for i in range(4))
-        points = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u4").reshape(len(t), GROUPS).astype(np.int32)
+        points = unpacked(table.column(4).to_pylist(), n)
         start = np.flatnonzero(np.diff(t, prepend=t[0] - 1) != 0)
         size = np.diff(np.append(start, len(t)))
         small = np.repeat(size <= SMALL, size)
@@ -262,30 +328,41 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def filter_place(cid: np.ndarray) -> np.ndarray:
+    return cid & ((1 << FILTER_BITS) - 1)
+
+
+def _filter_of(wanted: DataFrame, column: str) -> np.ndarray:
+    """A bit for the hash of each value of a column: doc_ids go by xxhash64, classes are hashes themselves."""
+    place = F.pmod(F.xxhash64(column) if column == "rep" else F.col(column), F.lit(1 << FILTER_BITS))
+    words = wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod({}, 64) as int))".format(f"xxhash64({column})" if column == "rep" else column)).alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for x in words:
+        bits[x["word"]] = x["bits"]
+    return bits
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets link."""
     spark = docs.sparkSession
     pairs = common.staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "rep"), "cid")
     wanted = common.staged(wanted, "wanted")
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
-    words = wanted.select((F.shiftright(place, 6)).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for x in words:
-        bits[x["word"]] = x["bits"]
-    held = spark.sparkContext.broadcast(bits)  # 512 KB
+    held = spark.sparkContext.broadcast((_filter_of(wanted, "rep"), _filter_of(wanted, "cid")))  # of a fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+        by_doc, by_class = held.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((table[at >> 6] >> (at & 63)) & 1 == 1))
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((by_doc[at >> 6] >> (at & 63)) & 1 == 1))
             for part in common.slices([batch], "text", 4 << 20) if batch.num_rows else ():
-                found = [shingles(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["rep", "cid", "set"])
+                found = [(class_of(h), h) for h in map(shingles, part.column(0).to_pylist())]
+                at = filter_place(np.array([c for c, _ in found], np.int64))
+                kept = [x for x, k in zip(found, (by_class[at >> 6] >> (at & 63)) & 1) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([h.tobytes() for _, h in kept], pa.binary())], ["cid", "set"])
 
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("at"))
-    found = rows.mapInArrow(sets, "rep long, cid long, set binary").join(wanted, ["cid", "rep"]).select("cid", "set")
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("at"))
+    found = common.staged(rows.mapInArrow(sets, "cid long, set binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,15 +394,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = common.staged(docs.mapInArrow(_facts, FACTS), "facts")
-    own = facts.where("chunk is null")
-    classes = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("points").alias("points"))
+    rows = facts.where("chunk is null")
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("points").alias("points"), F.first("wide").alias("wide"))
     classes = common.staged(classes.where("rep is not null"), "classes")
     cells = spark.sparkContext.broadcast(_cells(facts))  # of a fixed size
 
-    mins = classes.select("cid", "n", F.posexplode("mins").alias("i", "m"))
-    groups = mins.groupBy("i", "m").agg(F.min(F.struct("cid", "n")).alias("leader"), F.count("*").alias("members")).where(F.col("members") >= LEADER_LEAST)
-    led = mins.join(groups, ["i", "m"]).where("cid != leader.cid").where(f"{WHOLE} * n >= {PART} * leader.n and {WHOLE} * leader.n >= {PART} * n")
-    led = led.groupBy("cid").agg(F.max(F.struct("members", "leader.cid")).alias("best")).select(F.col("cid").alias("a"), F.col("best.cid").alias("b"))
+    mins = classes.select("cid", F.posexplode("mins").alias("i", "m"))
+    groups = mins.groupBy("i", "m").agg(F.count("*").alias("members")).where(F.col("members") >= LEADER_LEAST)
+    large = mins.join(groups, ["i", "m"])
+    w = Window.partitionBy("i", "m").orderBy(F.xxhash64("cid", "i"))
+    leaders = large.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LEADERS).select("i", "m", F.col("cid").alias("leader"))
+    led = large.join(leaders, ["i", "m"]).where("cid != leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"p{x}"))
+    bounded = lambda p: p.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
+    chunk = F.xxhash64("i", "m", F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / CHUNK)))
+    chunks = large.select("cid", chunk.alias("key")).join(classes.select("cid", "n", "points"), "cid").select("key", "cid", "n", "points")
+    near = chunks.repartition(F.col("key")).sortWithinPartitions("key", "cid").mapInArrow(_closest, "a long, b long")
+    led = bounded(led.union(near).distinct())
     led = _verify(docs, classes, led)
     comps = components.components(led).withColumnRenamed("component", "comp")
     points = classes.join(comps, classes["cid"] == comps["id"], "left").select("cid", "n", "points", F.coalesce("comp", "cid").alias("comp"))
@@ -334,10 +419,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = tokens.repartition(F.col("token")).sortWithinPartitions("token", "cid").mapInArrow(_shared, "token long, cid long")
     blocks = shared.join(points, "cid").select("token", "comp", "n", "cid", "points").repartition(F.col("token")).sortWithinPartitions("token", "comp", "n", "cid")
     pairs = blocks.mapInArrow(_candidates, "a long, b long").distinct()
-    linked = _verify(docs, classes, pairs).union(led)
+    linked = _verify(docs, classes, bounded(pairs)).union(led)
 
     found = components.components(linked)
     labelled = classes.join(found, classes["cid"] == found["id"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     labelled = labelled.join(least, "component").select("cid", "component_id")
-    return own.join(labelled, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(labelled, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
