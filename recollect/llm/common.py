@@ -1,42 +1,28 @@
-"""Shared-folder staging, bounded batches and small helpers of the operators."""
+"""Bounded batches, the one large cache of a worker, and table reading for the operators."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import delete_folder, new_folder, shared_dir, staged  # noqa: F401
+
 #: Bytes of text that a Python worker holds as one batch.
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file:///tmp/checkpoints/recollect"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recollect-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table to the shared folder and read again: computed once, and no longer lost with an executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Name of the cache that this worker process holds, and what empties it.
+HELD: list[tuple] = []
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def claim(name: str, empty: Callable[[], None]) -> None:
+    """Workers are reused by later stages, so the one large cache that a process may hold makes room for another operator's."""
+    if HELD and HELD[0][0] != name:
+        HELD.pop()[1]()
+    if not HELD:
+        HELD.append((name, empty))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -68,9 +68,9 @@ HASHES = WordHashes()
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes, ascending; a text of fewer words is one shingle, one without words none."""
-    global HASHES
+    common.claim("shingles", HASHES.clear)
     if len(HASHES) > CACHE_WORDS:
-        HASHES = WordHashes()
+        HASHES.clear()
     cut = (text or "").encode().translate(LOWER).split()
     a = np.fromiter(map(HASHES.__getitem__, cut), U64, len(cut))
     k = min(words, len(a))

@@ -18,7 +18,7 @@ from . import common, ngrams
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Documents that the scorer is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 2500
 THRESHOLD = 0.5
 RESULT = "doc_id long, posterior double, score double, kept boolean"
 SIGNS = b"#$%&*@^~<>{}[]\\=+_"

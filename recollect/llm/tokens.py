@@ -7,8 +7,10 @@ import struct
 
 import numpy as np
 
+from . import common
+
 #: Words a worker keeps, and the longest word it keeps, in characters.
-CACHE_WORDS, CACHE_CHARS = 900_000, 48
+CACHE_WORDS, CACHE_CHARS = 700_000, 48
 #: Words of these letters stay whole in the tokenizer's splitter, and none of its normal forms joins or cuts them.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -76,6 +78,7 @@ ENCODERS: dict[tuple, Encoder] = {}
 
 def encoder(path: str, drops_space: bool = True) -> Encoder:
     """One encoder for each worker process, kept between tasks."""
+    common.claim("tokens", ENCODERS.clear)
     if (path, drops_space) not in ENCODERS:
         ENCODERS[path, drops_space] = Encoder(path, drops_space)
     return ENCODERS[path, drops_space]

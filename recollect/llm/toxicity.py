@@ -22,10 +22,10 @@ WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8,
 #: Characters of the n-grams.
 GRAMS = (3, 5)
 #: Labelled documents that the network is fitted on, and the words of one such document, at most.
-SAMPLE, SAMPLE_WORDS = 7000, 6000
-EPOCHS, BATCH, RATE, DECAY = 6, 48, 0.01, 1e-4
+SAMPLE, SAMPLE_WORDS = 5000, 6000
+EPOCHS, BATCH, RATE, DECAY = 5, 48, 0.01, 1e-4
 #: Distinct words whose inputs a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_windows long, worst_word long"
 
@@ -57,6 +57,27 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in words], np.int64)
 
 
+class Lexicon:
+    """The hashes of words, computed once; take() gives those of some of them."""
+
+    def __init__(self, words: list[str], part: int = 20_000):
+        cut = [words[at : at + part] for at in range(0, len(words), part)]
+        self.hashes = np.concatenate([word_hashes(w) for w in cut])
+        self.grams = {}
+        for k in GRAMS:
+            found = [gram_hashes(w, k) for w in cut]
+            grams, sizes = np.concatenate([f[0].astype(np.int32) for f in found]), np.concatenate([f[1] for f in found])
+            self.grams[k] = grams, sizes, np.cumsum(sizes) - sizes
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, dict]:
+        out = {}
+        for k, (grams, sizes, starts) in self.grams.items():
+            own = sizes[rows]
+            at = np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            out[k] = grams[at], own
+        return self.hashes[rows], out
+
+
 class Network:
     """Parameters by name; inputs() gives the gate inputs of words, logits() those of windows."""
 
@@ -69,17 +90,22 @@ class Network:
             self.p |= {f"w{s}": n(size=(d, 3 * h)) / d**0.5, f"b{s}": np.zeros(3 * h), f"u{s}": n(size=(h, 3 * h)) / h**0.5}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def embed(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        hashes, found = word_hashes(words), {k: gram_hashes(words, k) for k in GRAMS}
+    def embed(self, known: tuple[np.ndarray, dict]) -> np.ndarray:
+        """Inputs of words, by their hashes."""
+        hashes, found = known
         parts = [self.p["words"][hashes]]
         for k, (grams, sizes) in found.items():
             parts.append(np.add.reduceat(self.p[f"chars{k}"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None])
-        return np.concatenate(parts, axis=1).astype(np.float32), (hashes, found)
-
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """Both directions' gate inputs, side by side."""
-        e, _ = self.embed(words)
-        return np.concatenate([e @ self.p["wf"] + self.p["bf"], e @ self.p["wb"] + self.p["bb"]], axis=1).astype(np.float32)
+        return np.concatenate(parts, axis=1).astype(np.float32)
+
+    def inputs(self, lexicon: Lexicon, rows: np.ndarray, part: int = 20_000) -> np.ndarray:
+        """Both directions' gate inputs of words, side by side; so many words at a time, as their n-grams take memory."""
+        out = np.empty((len(rows), 6 * HIDDEN), np.float32)
+        for at in range(0, len(rows), part):
+            e = self.embed(lexicon.take(rows[at : at + part]))
+            out[at : at + part, : 3 * HIDDEN] = e @ self.p["wf"] + self.p["bf"]
+            out[at : at + part, 3 * HIDDEN :] = e @ self.p["wb"] + self.p["bb"]
+        return out
 
     def _run(self, s: str, gates: np.ndarray, at: np.ndarray, mask: np.ndarray | None, kept: list | None = None) -> np.ndarray:
         """States of one direction, [time, window, hidden]; gates: inputs of words, at: [window, time] rows of it."""
@@ -111,10 +137,10 @@ class Network:
         states = np.concatenate([self._run("f", f, at, mask), self._run("b", b, at, mask)], axis=2)
         return self._pool(states, mask)[0]
 
-    def gradients(self, words: list[str], at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
-        """Of the mean cross-entropy of windows `at` (rows of words) with labels y."""
+    def gradients(self, known: tuple[np.ndarray, dict], at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
+        """Of the mean cross-entropy of windows `at` (rows of the known words) with labels y."""
         p, h3 = self.p, 3 * HIDDEN
-        e, (hashes, found) = self.embed(words)
+        (hashes, found), e = known, self.embed(known)
         kept: dict[str, list] = {"f": [], "b": []}
         gates = {s: e @ p[f"w{s}"] + p[f"b{s}"] for s in "fb"}
         runs = {s: self._run(s, gates[s], at, mask, kept[s]) for s in "fb"}
@@ -144,7 +170,7 @@ class Network:
                 dx[i] = np.concatenate([dr, dz, dn], axis=1)
                 du += h.T @ dg
                 dh = np.where(m, 0, dh) + live * z + dg @ u.T
-            total = np.zeros((len(words), h3), np.float32)
+            total = np.zeros((len(hashes), h3), np.float32)
             np.add.at(total, at.T.ravel(), dx.reshape(-1, h3))
             grad |= {f"u{s}": du, f"w{s}": e.T @ total, f"b{s}": total.sum(0)}
             de += total @ p[f"w{s}"].T
@@ -199,8 +225,7 @@ class Scorer:
         new = list(set().union(*cut) - rows.keys())
         if new:
             rows.update(zip(new, range(len(self.gates), len(self.gates) + len(new))))
-            parts = [self.network.inputs([core(w) for w in new[at : at + 50_000]]) for at in range(0, len(new), 50_000)]
-            self.gates = np.concatenate([self.gates, *parts])
+            self.gates = np.concatenate([self.gates, self.network.inputs(Lexicon([core(w) for w in new]), np.arange(len(new)))])
         get = rows.__getitem__
         flat = np.array([i for words in cut for i in map(get, words)] + [0], np.int32)
         of, first, place = windows_of([len(w) for w in cut])
@@ -225,27 +250,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     network, rng = Network(seed), np.random.default_rng(seed)
     if not len(texts):
         return network
-    cut = [[core(w) for w in words_of(t)] for t in texts]
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for words in cut for w in words))}
-    vocabulary = [*names, ""]
-    cut = [np.array([names[w] for w in words], np.int64) for words in cut]
+    names: dict[str, int] = {}
+    cut = [np.array([names.setdefault(core(w), len(names)) for w in words_of(t)], np.int32) for t in texts]
+    lexicon = Lexicon([*names, ""])
     first = {k: np.zeros_like(v) for k, v in network.p.items()}
     second, step = {k: np.zeros_like(v) for k, v in network.p.items()}, 0
     for _ in range(epochs):
-        gates = None
         order = rng.permutation(len(cut))
         for at in range(0, len(order), BATCH):
-            if step % 8 == 0 or gates is None:  # the highest windows may be chosen by slightly older inputs
-                gates = network.inputs(vocabulary)
             own = order[at : at + BATCH]
             of, _, place = windows_of([len(cut[i]) for i in own])
             flat = np.concatenate([*(cut[i] for i in own), [len(names)]])
-            ids = flat[place]
-            logit = network.logits(gates, ids, place >= 0)
+            here, ids = np.unique(flat[place], return_inverse=True)
+            ids = ids.reshape(place.shape)
+            logit = network.logits(network.inputs(lexicon, here), ids, place >= 0)
             starts = np.flatnonzero(np.diff(of, prepend=-1))
             top = np.lexsort((-logit, of))[starts]
             used, local = np.unique(ids[top], return_inverse=True)
-            grad, _ = network.gradients([vocabulary[i] for i in used], local.reshape(len(top), -1), place[top] >= 0, labels[own].astype(np.float32))
+            grad, _ = network.gradients(lexicon.take(here[used]), local.reshape(len(top), -1), place[top] >= 0, labels[own].astype(np.float32))
             step += 1
             rate = RATE * (1 - 0.8 * step / (epochs * -(-len(order) // BATCH)))
             for k, g in grad.items():
@@ -268,13 +290,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     texts = texts.where(F.length("text") - F.length(F.translate("text", " \n\t", "")) < SAMPLE_WORDS)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).collect()  # sample rows at most
     rows.sort(key=lambda x: x["doc_id"])
-    return train([x["text"] for x in rows], np.array([float(x["toxic"] > 0) for x in rows]))
+    marks = np.array([float(x["toxic"] > 0) for x in rows])
+    said = [x["text"] for x in rows]
+    del rows
+    return train(said, marks)
 
 
 SCORERS: dict[int, Scorer] = {}
 
 
 def _scorer(held) -> Scorer:
+    common.claim("toxicity", SCORERS.clear)
     network = held.value
     if id(network) not in SCORERS:
         SCORERS.clear()
