@@ -1,43 +1,3 @@
-"""Connected components of links by alternating large-star and small-star steps, in DataFrames."""
+"""Connected components of links."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-from . import common
-
-
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """id, component (least id reachable) of every id in links(a, b); each round is a written table.
-
-    Map-side partial minima keep the star of a hot id from gathering in one task.
-    """
-    spark = links.sparkSession
-    folder = common.new_folder(spark, "components")
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    before = None
-    for i in range(most_rounds):
-        edges = _small_star(_large_star(edges))
-        edges.write.parquet(f"{folder}/{i}")
-        edges = spark.read.parquet(f"{folder}/{i}")
-        if i > 0:
-            common.delete_folder(spark, f"{folder}/{i - 1}")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        before = now
-    raise RuntimeError("links did not settle")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of an id is linked with the least of the id's neighbourhood."""
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of an id, and the id, is linked with the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", "m")).distinct()
+from ..operators.graph import components  # noqa: F401
