@@ -64,15 +64,26 @@ def has_all(tokens: Column, terms: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.array_contains(tokens, t) for t in dict.fromkeys(terms)]) if terms else F.lit(False)
 
 
-def occurrence_rank(tokens: Column, terms: list[str]) -> Column:
+def spaced(text: Column) -> Column:
+    """Lower-cased words, each between two spaces of its own."""
+    return F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
+
+
+def occurrences(spaced_text: Column, term: str) -> Column:
+    """Of a word in a column of spaced(): by length, so that no array is built."""
+    return (F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
+
+
+def occurrence_rank(spaced_text: Column, terms: list[str]) -> Column:
     """Lexical rank without positions: the sum of ln(1 + occurrences) where all terms occur, else 0.
 
-    Rounded, so that equal counts tie whatever the order of summation.
+    Rounded, so that equal counts tie whatever the order of summation. spaced_text is a column that holds spaced():
+    it is read once for each term.
     """
-    if not terms:
+    counts = [occurrences(spaced_text, t) for t in dict.fromkeys(terms)]
+    if not counts:
         return F.lit(0.0)
-    one = lambda t: F.log1p(F.size(F.filter(tokens, lambda w: w == t)).cast("double"))
-    return F.when(has_all(tokens, terms), F.round(reduce(lambda x, y: x + y, [one(t) for t in dict.fromkeys(terms)]), 12)).otherwise(F.lit(0.0))
+    return F.when(F.least(*counts, F.lit(1.0)) > 0, F.round(reduce(lambda x, y: x + y, [F.log1p(c) for c in counts]), 12)).otherwise(F.lit(0.0))
 
 
 def approx_tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -72,11 +74,17 @@ def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
     out = np.zeros(dim)
     own = re.findall("[a-z0-9]+", (value or "").translate(str.maketrans(text.UPPER, text.LOWER)))
     for token in [f"w:{w}" for w in own if len(w) >= 2] + [f"g:{f' {w} '[i : i + 3]}" for w in own for i in range(len(w))]:
-        out[_djb2(token) % dim] += 1 if _djb2(token + "#sign") % 2 == 0 else -1
+        bucket, sign = _signed(token)
+        out[bucket % dim] += sign
     size = float(np.sqrt((out * out).sum()))
     return out / size if size else out
 
 
+@lru_cache(maxsize=1 << 18)
+def _signed(token: str) -> tuple[int, int]:
+    return _djb2(token), 1 if _djb2(token + "#sign") % 2 == 0 else -1
+
+
 def _djb2(value: str, modulus: int = EMBED_MODULUS) -> int:
     h = 5381
     for b in value.encode():
