@@ -7,6 +7,7 @@ holds all query terms adds the inverse of its length beyond the number of terms.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -55,6 +56,7 @@ def _suffixes(w: str, table: dict[str, str]) -> str:
     return w
 
 
+@lru_cache(maxsize=1 << 17)
 def stem(w: str) -> str:
     if len(w) < 3:
         return w

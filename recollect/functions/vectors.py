@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -73,9 +74,10 @@ def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
 
     out = np.zeros(dim)
     own = re.findall("[a-z0-9]+", (value or "").translate(str.maketrans(text.UPPER, text.LOWER)))
-    for token in [f"w:{w}" for w in own if len(w) >= 2] + [f"g:{f' {w} '[i : i + 3]}" for w in own for i in range(len(w))]:
-        bucket, sign = _signed(token)
-        out[bucket % dim] += sign
+    for w, n in Counter(own).items():
+        for token in [f"w:{w}"] * (len(w) >= 2) + [f"g:{f' {w} '[i : i + 3]}" for i in range(len(w))]:
+            bucket, sign = _signed(token)
+            out[bucket % dim] += sign * n
     size = float(np.sqrt((out * out).sum()))
     return out / size if size else out
 
