@@ -40,3 +40,21 @@ def test_lsh_answers_sure_queries_from_buckets(spark):
     np.fill_diagonal(s, -9)
     right = sum(found.get((q, k + 1)) == int(np.argsort(-s[q])[k]) for q in range(40) for k in range(3))
     assert len(found) == 120 and right >= 0.95 * 120
+
+
+def test_graph_components_of_all_lines_equal_union_find(spark):
+    orders, lines = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    of = dict(zip(orders["o_orderkey"], orders["o_custkey"]))
+    for order, supplier in zip(lines["l_orderkey"], lines["l_suppkey"]):
+        if order in of:
+            a, b = find(int(of[order]) * 2), find(int(supplier) * 2 + 1)
+            root[max(a, b)] = min(a, b)
+    found = {r["id"]: r["component"] for r in retrieval.graph_components_whole(spark, SF).collect()}
+    assert found == {x: find(x) for x in root}
