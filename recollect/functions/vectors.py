@@ -72,16 +72,26 @@ def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
     """The same embedder for one text on the driver: unit length, zero for a text without words."""
     import re
 
-    out = np.zeros(dim)
+    counts = [0] * dim
     own = re.findall("[a-z0-9]+", (value or "").translate(str.maketrans(text.UPPER, text.LOWER)))
     for w, n in Counter(own).items():
-        for token in [f"w:{w}"] * (len(w) >= 2) + [f"g:{f' {w} '[i : i + 3]}" for i in range(len(w))]:
-            bucket, sign = _signed(token)
-            out[bucket % dim] += sign * n
+        for at in _places(w, dim):
+            if at > 0:
+                counts[at - 1] += n
+            else:
+                counts[-at - 1] -= n
+    out = np.array(counts, dtype=float)
     size = float(np.sqrt((out * out).sum()))
     return out / size if size else out
 
 
+@lru_cache(maxsize=1 << 16)
+def _places(w: str, dim: int) -> tuple[int, ...]:
+    """Buckets of a word's tokens from 1 on, negative where the sign is."""
+    found = (_signed(token) for token in [f"w:{w}"] * (len(w) >= 2) + [f"g:{f' {w} '[i : i + 3]}" for i in range(len(w))])
+    return tuple(sign * (bucket % dim + 1) for bucket, sign in found)
+
+
 @lru_cache(maxsize=1 << 18)
 def _signed(token: str) -> tuple[int, int]:
     return _djb2(token), 1 if _djb2(token + "#sign") % 2 == 0 else -1

@@ -99,6 +99,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.first_of_equals(rows, ["digest"], "id").select("id", "kept_id", "is_first")
 
 
+@query()
+def near_duplicates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by the cosine of hash embeddings, the first row of a group wins; the tests hold them against a loop."""
+    return store.first_of_near(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("""
 WITH v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS scope, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT a.id, b.id AS match_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.scope = b.scope WHERE a.id % 20 = 0 AND b.id % 20 <> 0),

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from oracle import SF
 
-from recollect.operators import search
+from recollect.functions import vectors
+from recollect.operators import search, store
 from recollect.plans import retrieval
 
 
@@ -27,8 +29,6 @@ def test_lsh_answers_sure_queries_from_buckets(spark):
     x = np.concatenate([base] + [base[:20] + rng.normal(size=(20, 64)) * 0.05 for _ in range(4)])
     from pyspark.sql import functions as F
 
-    from recollect.functions import vectors
-
     planes = vectors.hyperplanes(64, 8, 12, 3)
     sure = search.sure_cosine(8, 12)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").withColumn("keys", vectors.lsh_keys(F.col("v"), planes))
@@ -58,3 +58,21 @@ def test_graph_components_of_all_lines_equal_union_find(spark):
             root[max(a, b)] = min(a, b)
     found = {r["id"]: r["component"] for r in retrieval.graph_components_whole(spark, SF).collect()}
     assert found == {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("size", [64, 8192])
+def test_near_duplicates_equal_a_loop(spark, size):
+    rows = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+    texts = dict(zip(rows["doc_id"].tolist(), rows["text"])) | {10**6: "...", 10**6 + 1: "...", 10**6 + 2: rows["text"].iloc[0] + " x"}
+    kept: dict = {}
+    expected = {}
+    for i, said in texts.items():
+        v = vectors.hash_embed(said)
+        expected[i] = next((j for j, u in kept.items() if u @ v >= 0.95), i)
+        if expected[i] == i:
+            kept[i] = v
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    found = store.first_of_near(df, "id", "text", size=size).collect()
+    assert {r["id"]: r["kept_id"] for r in found} == expected and len(found) == len(expected)
+    assert all(r["is_first"] == (r["id"] == r["kept_id"]) for r in found)
+    assert sum(texts[i] != texts[j] for i, j in expected.items()) > 0
