@@ -127,15 +127,29 @@ def symbol_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codeindex.symbol_changes(base.where(i % 10 != 1), base.where(i % 10 != 2).withColumn("arity", F.when(i % 10 == 3, 9).otherwise(F.col("arity"))))
 
 
+def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(o.alias("hunk_id"), F.col("o_custkey").alias("file_path"), (o % 40).alias("from_line"), (5 + o % 3).alias("from_count"), F.array(F.lit("a"), F.lit("b")).alias("added"))
+
+
+def _line_symbols(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 7 % 50).alias("line"), F.col("l_partkey").cast("string").alias("name"))
+
+
 @query("""
 WITH h AS (SELECT o_orderkey AS hunk_id, o_custkey AS path, o_orderkey % 40 AS a, 5 + o_orderkey % 3 AS n FROM orders),
 y AS (SELECT l_suppkey AS path, l_linenumber * 7 % 50 AS line, CAST(l_partkey AS VARCHAR) AS name FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 40)
 SELECT hunk_id, name, line FROM h JOIN y ON h.path = y.path AND line BETWEEN a AND a + n + 2 QUALIFY row_number() OVER (PARTITION BY hunk_id ORDER BY line, name) <= 10""")
 def hunk_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.col("o_orderkey")
-    hunks = table(spark, sf_dir, "orders").select(o.alias("hunk_id"), F.col("o_custkey").alias("file_path"), (o % 40).alias("from_line"), (5 + o % 3).alias("from_count"), F.array(F.lit("a"), F.lit("b")).alias("added"))
-    symbols = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_quantity > 40").select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 7 % 50).alias("line"), F.col("l_partkey").cast("string").alias("name"))
-    return codeindex.attributed(hunks, symbols)
+    return codeindex.attributed(_hunks(spark, sf_dir), _line_symbols(table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_quantity > 40")))
+
+
+@query("""
+WITH h AS (SELECT o_orderkey AS hunk_id, o_custkey AS path, o_orderkey % 40 AS a, 5 + o_orderkey % 3 AS n FROM orders),
+y AS (SELECT l_suppkey AS path, l_linenumber * 7 % 50 AS line, CAST(l_partkey AS VARCHAR) AS name FROM lineitem)
+SELECT hunk_id, name, line FROM h JOIN y ON h.path = y.path AND line BETWEEN a AND a + n + 2 QUALIFY row_number() OVER (PARTITION BY hunk_id ORDER BY line, name) <= 10""")
+def hunk_attribution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codeindex.attributed(_hunks(spark, sf_dir), _line_symbols(table(spark, sf_dir, "lineitem")))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(p, '\\.[A-Za-z0-9_]+$', ''), '/(init|index|__init__)$', ''), '/', '.', 'g') AS module, trim(regexp_replace(regexp_replace(p, '\\.[A-Za-z0-9_]+$', ''), '[/\\\\.\\-_\\s]+', ' ', 'g')) AS words FROM (SELECT page_id, regexp_extract(url, '://(.*)$', 1) AS p FROM pages)")

@@ -7,7 +7,7 @@ from oracle import SF
 
 from recollect.functions import vectors
 from recollect.operators import search, store
-from recollect.plans import retrieval
+from recollect.plans import knowledge, retrieval
 
 
 def test_lsh_topk_finds_the_nearest_rows(spark):
@@ -76,3 +76,16 @@ def test_near_duplicates_equal_a_loop(spark, size):
     assert {r["id"]: r["kept_id"] for r in found} == expected and len(found) == len(expected)
     assert all(r["is_first"] == (r["id"] == r["kept_id"]) for r in found)
     assert sum(texts[i] != texts[j] for i, j in expected.items()) > 0
+
+
+def test_hunks_get_symbols_of_all_lines(spark):
+    orders, lines = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    of: dict = {}
+    for path, number, part in zip(lines["l_suppkey"], lines["l_linenumber"], lines["l_partkey"]):
+        of.setdefault(path, []).append((int(number) * 7 % 50, str(part)))
+    expected = []
+    for hunk, path in zip(orders["o_orderkey"], orders["o_custkey"]):
+        own = sorted(x for x in of.get(path, []) if hunk % 40 <= x[0] <= hunk % 40 + 5 + hunk % 3 + 2)
+        expected += [(hunk, name, line) for line, name in own[:10]]
+    found = [tuple(r) for r in knowledge.hunk_attribution_whole(spark, SF).collect()]
+    assert sorted(found) == sorted(expected)
