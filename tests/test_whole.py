@@ -7,7 +7,7 @@ from oracle import SF
 
 from recollect.functions import vectors
 from recollect.operators import search, store
-from recollect.plans import knowledge, retrieval
+from recollect.plans import knowledge, learning, retrieval
 
 
 def test_lsh_topk_finds_the_nearest_rows(spark):
@@ -89,3 +89,12 @@ def test_hunks_get_symbols_of_all_lines(spark):
         expected += [(hunk, name, line) for line, name in own[:10]]
     found = [tuple(r) for r in knowledge.hunk_attribution_whole(spark, SF).collect()]
     assert sorted(found) == sorted(expected)
+
+
+def test_tier_promotions_see_evidence_of_all_lines(spark):
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet")
+    suppliers = set(pd.read_parquet(f"{SF}/supplier.parquet")["s_suppkey"])
+    parts = pd.read_parquet(f"{SF}/part.parquet")["p_partkey"]
+    proven = {int(p) for s, p in zip(lines["l_suppkey"], lines["l_partkey"]) if s in suppliers and s % 6 >= 3 and s % 4 != 0}
+    expected = {int(p) for p in parts if 3 <= p % 12 < 6 and p in proven}
+    assert {r["id"] for r in learning.tier_promotion_whole(spark, SF).where("old_tier = 1").collect()} == expected
