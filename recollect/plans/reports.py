@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores
 from ..operators import kg, reports, search, sensing
-from .fixtures import CANDIDATES, FACTS, MEMORIES, TERMS, as_of, facts, memories, query_vector, rounded, table, turns
+from .fixtures import CANDIDATES, FACTS, MEMORIES, TERMS, as_of, day, facts, memories, query_vector, rounded, table, turns
 from .registry import query
 
 
@@ -31,6 +31,20 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.context(rows, kg.superseded(facts(spark, sf_dir)), as_of(), 500).withColumn("lines", F.md5("lines"))
 
 
+@query(f"""WITH {FACTS}, c AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS scope, o_orderpriority || ': ' || o_orderstatus || ' ' || o_orderkey AS line,
+ CAST(o_orderkey % 12 AS DOUBLE) / 10 * exp(-((o_orderkey % 5) * CAST(0.02 AS DOUBLE)) * (epoch(TIMESTAMP '2024-03-01') - epoch(TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 60 AS INTEGER)))) / 86400) AS weight FROM orders),
+l AS (SELECT subject AS scope, 0 AS part, CAST(0 AS DOUBLE) AS weight, id, subject || ' ' || predicate || ' ' || object AS line FROM k WHERE valid_until IS NULL AND valid_from <= TIMESTAMP '2024-03-01' UNION ALL SELECT scope, 1, weight, id, line FROM c),
+t AS (SELECT *, CAST(ceil(length(line) / CAST(4 AS DOUBLE)) AS BIGINT) AS t FROM l),
+s AS (SELECT *, sum(t) OVER (PARTITION BY scope ORDER BY part, weight DESC, id ROWS UNBOUNDED PRECEDING) AS r FROM t)
+SELECT scope, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY part, weight DESC, id)) AS lines FROM s WHERE r <= 30 GROUP BY scope""")
+def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, by customer, with differing weights and a budget that ends among them."""
+    o, scope = F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("scope")
+    rows = table(spark, sf_dir, "orders").select(o.alias("id"), scope, F.col("o_orderpriority").alias("title"), F.concat("o_orderstatus", F.lit(" "), o.cast("string")).alias("body"), (o % 12 / F.lit(10.0)).alias("importance"), (o % 5 * F.lit(0.02)).alias("decay_rate"), day("2024-01-01", o % 60).alias("updated_at"))
+    known = kg.superseded(facts(spark, sf_dir).withColumn("scope", F.col("subject")))
+    return reports.context(rows, known, as_of(), 30).withColumn("lines", F.md5("lines"))
+
+
 @query(f"""WITH {MEMORIES}, f AS (SELECT * FROM w), {CANDIDATES},
 h AS (SELECT id, row_number() OVER (ORDER BY (CAST(0.7 AS DOUBLE) * vec_n + CAST(0.3 AS DOUBLE) * fts_n) * weight DESC, id) AS r, title, body FROM n),
 p AS (SELECT id, len(list_intersect(list_distinct(regexp_extract_all(translate(title || ' ' || body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]{{2,}}')), ['theon', 'ander', 'onthe', 'anded', 'thent'])) AS s FROM h WHERE r <= 20),

@@ -7,7 +7,7 @@ from oracle import SF
 
 from recollect.functions import vectors
 from recollect.operators import search, store
-from recollect.plans import knowledge, learning, retrieval
+from recollect.plans import knowledge, learning, reports, retrieval
 
 
 def test_lsh_topk_finds_the_nearest_rows(spark):
@@ -98,3 +98,11 @@ def test_tier_promotions_see_evidence_of_all_lines(spark):
     proven = {int(p) for s, p in zip(lines["l_suppkey"], lines["l_partkey"]) if s in suppliers and s % 6 >= 3 and s % 4 != 0}
     expected = {int(p) for p in parts if 3 <= p % 12 < 6 and p in proven}
     assert {r["id"] for r in learning.tier_promotion_whole(spark, SF).where("old_tier = 1").collect()} == expected
+
+
+def test_context_cuts_orders_by_weight(spark):
+    orders = pd.read_parquet(f"{SF}/orders.parquet")
+    found = {r["scope"]: r["n"] for r in reports.context_whole(spark, SF).collect()}
+    held = orders.groupby("o_custkey").size()
+    assert set(found) == {str(k) for k in held.index}
+    assert all(n > 1 for n in found.values()) and any(n - 1 < held[int(k)] for k, n in found.items())
