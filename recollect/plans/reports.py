@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scores
 from ..operators import kg, reports, search, sensing
 from .fixtures import CANDIDATES, FACTS, MEMORIES, TERMS, as_of, day, facts, memories, query_vector, rounded, table, turns
-from .registry import query
+from .learning import preferences  # noqa: F401  (its SQL is used below)
+from .registry import SQL, query
 
 
 @query(f"""WITH {MEMORIES}
@@ -73,13 +74,22 @@ def observation_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", rounded("score").alias("score"), F.col("slot").cast("long").alias("slot"), "leg")
 
 
+def _companions(rows: DataFrame) -> DataFrame:
+    found = sensing.companions(rows.select("id", "scope", F.col("text").alias("body"), F.create_map().cast("map<string,string>").alias("metadata")))
+    return found.select("scope", "kind", "title", F.col("metadata")["source_id"].alias("source_id"))
+
+
 @query("""
 WITH s AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS scope FROM events WHERE event_type = 'view')
 SELECT scope, 'fact' AS kind, 'User has mentioned: preference for trains, and i find maps useful' AS title, CAST(id AS VARCHAR) AS source_id FROM s""")
 def preference_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).join(table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("id")), "id", "left_semi")
-    found = sensing.companions(rows.select("id", "scope", F.col("text").alias("body"), F.create_map().cast("map<string,string>").alias("metadata")))
-    return found.select("scope", "kind", "title", F.col("metadata")["source_id"].alias("source_id"))
+    return _companions(rows)
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS scope, 'fact' AS kind, preference AS title, CAST(id AS VARCHAR) AS source_id FROM ({SQL['preferences']}) JOIN events ON id = event_id")
+def preference_companions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _companions(turns(spark, sf_dir))
 
 
 @query("SELECT 'diary:u' || user_id AS scope, 'diary' AS kind, CASE WHEN length(props) > 80 THEN substr(props, 1, 80) || '…' ELSE props END AS title, event_id FROM events")

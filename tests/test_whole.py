@@ -106,3 +106,8 @@ def test_context_cuts_orders_by_weight(spark):
     held = orders.groupby("o_custkey").size()
     assert set(found) == {str(k) for k in held.index}
     assert all(n > 1 for n in found.values()) and any(n - 1 < held[int(k)] for k, n in found.items())
+
+
+def test_companions_of_all_turns(spark):
+    events = pd.read_parquet(f"{SF}/events.parquet")["event_type"].value_counts()
+    assert reports.preference_companions_whole(spark, SF).count() == 3 * events["click"] + events["view"]
