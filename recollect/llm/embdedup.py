@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common, components
+from ..operators.graph import components
+from . import common
 
 COSINE = 0.95
 #: Independent codes, best directions kept per code, blocks of a code, and filter directions for each vector.
@@ -126,7 +127,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int =
     count, link = counts[0], links[0]
     for x, y in zip(counts[1:], links[1:]):
         count, link = count.union(x), link.union(y)
-    found = components.components(link)
+    found = components(link)
     labelled = classes.join(count, "cid", "left").join(found, classes["cid"] == found["id"], "left")
     labelled = labelled.select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     out = rows.join(labelled, "raw", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -11,7 +11,8 @@ import pytest
 from oracle import SF, connection, same
 from pyspark.sql import functions as F
 
-from recollect.llm import chatfmt, common, components, decontam, embdedup, langid, ngramjoin, packing, quality, queries, tokenfile, tokens, toxicity, urlfilter
+from recollect.llm import chatfmt, common, decontam, embdedup, langid, ngramjoin, packing, quality, queries, tokenfile, tokens, toxicity, urlfilter
+from recollect.operators import graph
 
 PATH = tokens.tokenizer_path()
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word " * 9000), (5, "same text here again and again"), (5, "same text here again and again"), (6, "same text here again and again"), (7, "É<|endoftext|>x it's\x1cok 42 ΣΑΣ"), (None, "no id"), (8, "....!!??")]
@@ -279,23 +280,73 @@ def test_ngram_components_equal_brute_force(spark):
     assert ngramjoin.jaccard_components(table(spark).where("doc_id > 99")).count() == 0
 
 
-def test_count_tree_finds_every_pair_within_bounds():
+def test_count_trees_find_every_pair_within_bounds():
     rng = np.random.default_rng(9)
     points = rng.poisson(2, size=(150, 6))
     points[75:] = points[:75] + (rng.random((75, 6)) < 0.05)
-    n, comp = points.sum(1), np.arange(150) % 5
-    order = np.lexsort((n, comp))
-    points, n, comp = points[order], n[order], comp[order]
-    found = {(int(a), int(b)) for x, y in ngramjoin.CountTree(points, n, comp).pairs() for a, b in zip(x, y)}
+    n, comp, key = points.sum(1), np.arange(150) % 5, rng.integers(0, 4, 150)
+    key[:2], key[75:] = 9, key[:75]
+    order = np.concatenate([np.flatnonzero(key == k)[ngramjoin.tiled(points[key == k], comp[key == k])] for k in np.unique(key)])
+    points, n, comp, key = points[order], n[order], comp[order], key[order]
+    found = {(int(a), int(b)) for x, y in ngramjoin.CountTrees(key, points, n, comp).pairs() for a, b in zip(x, y)}
     expected = set()
     for a in range(150):
         for b in range(a + 1, 150):
             m = np.minimum(points[a], points[b]).sum()
-            if comp[a] != comp[b] and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]) and ngramjoin.links(m, n[a], n[b]):
+            if key[a] == key[b] and comp[a] != comp[b] and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]) and ngramjoin.links(m, n[a], n[b]):
                 expected.add((a, b))
     assert found == expected and expected
 
 
+def near_copies(rng, n=2000, words=60):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(words)] = word()
+        texts.append((i, " ".join(w)))
+    return texts
+
+
+def test_large_group_of_near_copies_equals_brute_force(spark):
+    texts = near_copies(random.Random(11)) + [(5000 + i, t) for i, t in near_copies(random.Random(12), 300, 20)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(table(spark, texts)).collect()}
+    assert found == brute_components_fast(dict(texts))
+
+
+def test_lists_over_a_block_and_hot_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "HOT", 40)
+    monkeypatch.setattr(ngramjoin, "LEADER_LEAST", 10**6)
+    rng = random.Random(13)
+    texts = near_copies(rng, 150) + [(5000 + i, t) for i, t in near_copies(rng, 60, 20)]
+    expected = brute_components_fast(dict(texts))
+    for block in (7, 64):
+        monkeypatch.setattr(ngramjoin, "BLOCK", block)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(table(spark, texts)).collect()}
+        assert found == expected
+
+
+def test_blocks_of_a_component_meet_all_others(spark):
+    lists = spark.createDataFrame([(1, c) for c in range(90)] + [(2, c) for c in range(5)], "list long, cid long")
+    points = spark.createDataFrame([(c, 10, b"", 500 if c < 60 else c) for c in range(90)], "cid long, n long, points binary, comp long").withColumn("firsts", F.array())
+    by = {}
+    for r in ngramjoin._blocks(lists, points, 8).collect():
+        by.setdefault(r["key"], []).append(r)
+    met = {tuple(sorted((x["cid"], y["cid"]))) for own in by.values() for i, x in enumerate(own) for y in own[:i] if x["part"] < 0 or x["part"] != y["part"]}
+    assert max(map(len, by.values())) < 40
+    assert {(a, b) for a in range(90) for b in range(a + 1, 90) if b >= 60} <= met and (0, 1) in met
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_keep_judges_a_repeated_doc_id_by_each_text(spark, turned):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, a), (5, b), (5, a + " z"), (7, b), (7, b), (8, ""), (8, ""), (9, None), (None, b), (4, a.upper()), (3, a)]
+    kept = ngramjoin.keep(table(spark, rows[::-1] if turned else rows)).select("doc_id", "text").collect()
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (8, ""), (8, ""), (9, None), (None, b)], key=str)
+    assert ngramjoin.keep(table(spark).where("doc_id > 99")).count() == 0
+
+
 def test_bound_holds_for_counts_over_a_byte():
     h = np.zeros(70000, np.uint64)
     points = ngramjoin.packed(h, ngramjoin.GROUPS)
@@ -399,7 +450,7 @@ def test_gradients_of_the_network():
 
 def test_components_of_stars_and_chains(spark):
     edges = spark.createDataFrame([(i, 0) for i in range(1, 50)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
-    found = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    found = {r["id"]: r["component"] for r in graph.components(edges).collect()}
     assert all(found[i] == 0 for i in range(50)) and all(found[i] == 100 for i in range(100, 141))
 
 
