@@ -1,9 +1,16 @@
-"""Symbols and imports of Lua, Python and JavaScript sources, by line-based grammars."""
+"""Symbols and imports of Lua, Python and JavaScript or TypeScript sources.
+
+Python is read by the ast module. The other two are cut into tokens, in which neither strings nor comments can pass for
+code, and definitions are read from the tokens, so that a signature may run over lines.
+"""
 
 from __future__ import annotations
 
+import ast
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, takewhile
 
 SYMBOL_SCHEMA = "name string, full_name string, symbol_type string, exported boolean, module string, line int, arity int, vararg boolean, docstring string"
 
@@ -13,188 +20,232 @@ class Parsed:
     symbols: list[dict] = field(default_factory=list)
     imports: list[tuple[str, int]] = field(default_factory=list)
 
-
-def arity(arguments: str, rest: str) -> tuple[int, bool]:
-    """Number of named parameters, and whether there are more; rest is the sign of those."""
-    own = [x for x in re.sub(r"\s+", "", arguments).replace(rest, "\0").split(",")]
-    named = [x for x in own if x.strip("\0")]
-    if rest == "*":  # *args and **kw count as parameters by their names
-        return len(named), "\0" in "".join(own)
-    return len([x for x in named if not x.startswith("\0") or x.strip("\0")]), "\0" in "".join(own)
-
-
-def _arguments(line: str, nested: bool) -> str:
-    start = line.find("(")
-    if start < 0:
-        return ""
-    depth = 0
-    for i in range(start, len(line)):
-        depth += (line[i] == "(") - (line[i] == ")")
-        if line[i] == ")" and (depth == 0 or not nested):
-            return line[start + 1 : i]
-    return line[start + 1 :] if nested else ""
-
-
-def _comment_above(lines: list[str], at: int, strip) -> str:
-    """The comment lines right above a line, without rules and blanks among them."""
-    found = []
-    for raw in reversed(lines[:at]):
-        content = strip(raw.strip())
-        if content is None:
-            break
-        if re.search(r"[A-Za-z0-9]", content):
-            found.append(content)
-    return " ".join(reversed(found))
-
-
-class Grammar:
-    suffixes: tuple[str, ...] = ()
-    comment = "//"
-    rest = "..."
-    nested = False
-
-    def imports(self, line: str) -> list[str]:
-        return []
-
-    def symbol(self, line: str, owner: str | None, module: str | None) -> tuple[str, str, str, bool] | None:
-        """Name, full name, type and whether it is exported."""
-        return None
-
-    def docstring(self, lines: list[str], at: int) -> str:
-        return ""
-
-    def module(self, lines: list[str]) -> str | None:
-        return None
-
-    def parse(self, source: str) -> Parsed:
-        lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-        out, owners, module = Parsed(), [], self.module(lines)
-        for at, raw in enumerate(lines):
-            line = raw.strip()
-            if not line or line.startswith(self.comment):
-                continue
-            out.imports += [(m, at + 1) for m in self.imports(line)]
-            indent = len(raw) - len(raw.lstrip())
-            while owners and indent <= owners[-1][0]:
-                owners.pop()
-            found = self.symbol(line, owners[-1][1] if owners else None, module)
-            if not found:
-                continue
-            name, full, kind, exported = found
-            n, more = (0, False) if kind == "class" else arity(_arguments(line, self.nested), self.rest)
-            out.symbols.append({"name": name, "full_name": full, "symbol_type": kind, "exported": exported, "module": module, "line": at + 1, "arity": n, "vararg": more, "docstring": self.docstring(lines, at)})
-            if kind == "class":
-                owners.append((indent, name))
-        return out
-
-
-class Lua(Grammar):
-    suffixes, comment, nested = (".lua",), "--", True
-    NAME = r"[A-Za-z_]\w*"
-
-    def module(self, lines):
-        for line in lines[:60]:
-            if m := re.match(r"local\s+([A-Z]\w*)\s*=\s*(?:\{|setmetatable)", line):
-                return m[1]
-        return None
-
-    def imports(self, line):
-        return [m for m in re.findall(r"require\s*\(\s*[\"']([^\"']+)[\"']\s*\)", line)] + re.findall(r"require\s+[\"']([^\"']+)[\"']", line)
-
-    def symbol(self, line, owner, module):
-        if m := re.match(rf"function\s+({self.NAME})([.:])({self.NAME})\s*\(", line):
-            return m[3], m[1] + m[2] + m[3], "method" if m[2] == ":" else "function", m[1] == module
-        if m := re.match(rf"({self.NAME})\.({self.NAME})\s*=\s*function\s*\(", line):
-            return m[2], f"{m[1]}.{m[2]}", "function", m[1] == module
-        if m := re.match(rf"(?:local\s+)?function\s+({self.NAME})\s*\(", line) or re.match(rf"local\s+({self.NAME})\s*=\s*function\s*\(", line):
-            return m[1], m[1], "function", False
-        if m := re.match(rf"({self.NAME})\s*=\s*function\s*\(", line):
-            return m[1], m[1], "function", module is None
-        return None
-
-    def docstring(self, lines, at):
-        return _comment_above(lines, at, lambda s: re.sub(r"^--+\s?", "", s) if s.startswith("--") else None)
-
-
-class Python(Grammar):
-    suffixes, comment, rest = (".py",), "#", "*"
-
-    def imports(self, line):
-        if m := re.match(r"from\s+([.\w]+)\s+import", line):
-            return [m[1]]
-        if m := re.match(r"import\s+(.+)$", line):
-            return [x[1] for part in m[1].split(",") if (x := re.match(r"\s*([.\w]+)", part))]
-        return []
-
-    def symbol(self, line, owner, module):
-        if m := re.match(r"class\s+(\w+)", line):
-            return m[1], m[1], "class", not m[1].startswith("_")
-        if m := re.match(r"(?:async\s+)?def\s+(\w+)\s*\(", line):
-            return m[1], f"{owner}.{m[1]}" if owner else m[1], "method" if owner else "function", not m[1].startswith("_")
-        return None
-
-    def docstring(self, lines, at):
-        body = [x.strip() for x in lines[at + 1 :]]
-        first = next((i for i, x in enumerate(body) if x), None)
-        if first is None or not (m := re.match(r"(\"\"\"|''')(.*)", body[first])):
-            return ""
-        inside = m[2].removesuffix(m[1]).strip() if m[2].strip() != m[1] else ""
-        return inside or (body[first + 1] if first + 1 < len(body) else "")
-
-
-class JavaScript(Grammar):
-    suffixes = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
-    NAME = r"[\w$]+"
-    #: Words that a parenthesis follows without a method being defined.
-    KEYWORDS = frozenset("if for while switch catch return function else do try finally with await typeof".split())
-    QUALIFIERS = re.compile(r"^(?:(?:export|default|public|private|protected|static|async|get|set)\s+)+")
-
-    def imports(self, line):
-        return re.findall(r"from\s+['\"]([^'\"]+)['\"]", line) + re.findall(r"^import\s+['\"]([^'\"]+)['\"]", line) + re.findall(r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", line)
-
-    def symbol(self, line, owner, module):
-        if line.startswith("*"):
-            return None
-        exported, bare = line.startswith("export"), self.QUALIFIERS.sub("", line)
-        if m := re.match(rf"class\s+({self.NAME})", bare):
-            return m[1], m[1], "class", exported or not m[1].startswith("_")
-        if m := re.match(rf"function\s+({self.NAME})", bare):
-            return m[1], m[1], "function", exported
-        if re.match(r"(?:const|let|var)\s", bare):
-            m = re.match(rf"\w+\s+({self.NAME})\s*=", bare)
-            return (m[1], m[1], "function", exported) if m and re.search(r"=>|function", line) else None
-        if owner and re.search(r"\{\s*$", line) and (m := re.match(r"([\w$#]+)\s*\(", bare)) and m[1] not in self.KEYWORDS:
-            return m[1], f"{owner}.{m[1]}", "method", m[1][0] not in "_#"
-        return None
-
-    def docstring(self, lines, at):
-        def strip(s: str) -> str | None:
-            if s.startswith("//"):
-                return re.sub(r"^//+\s?", "", s)
-            if s.startswith(("/*", "*")):
-                return re.sub(r"^/?\*+/?\s?|\*/\s*$", "", s)
-            return None
-
-        return _comment_above(lines, at, strip)
-
-
-GRAMMARS = (Lua(), Python(), JavaScript())
-
-
-def grammar_of(path: str) -> Grammar | None:
-    return next((g for g in GRAMMARS if path.endswith(g.suffixes)), None)
+    def add(self, name: str, full: str, kind: str, exported: bool, line: int, parameters: tuple[int, bool] = (0, False), docstring: str = "", module: str | None = None) -> None:
+        self.symbols.append(dict(name=name, full_name=full, symbol_type=kind, exported=exported, module=module, line=line, arity=parameters[0], vararg=parameters[1], docstring=docstring))
+
+
+@dataclass(frozen=True)
+class Token:
+    kind: str
+    text: str
+    line: int
+
+
+class Tokens:
+    """The tokens of a source without its comments, and the comment text of each line that has nothing else."""
+
+    def __init__(self, source: str, pattern: re.Pattern):
+        self.all: list[Token] = []
+        self.comments: dict[int, str] = {}
+        line, coded = 1, 0
+        for m in pattern.finditer(source):
+            kind, text = m.lastgroup or "other", m[0]
+            if kind == "comment" and coded != line:
+                self.comments |= {line + i: x for i, x in enumerate(text.split("\n"))}
+            elif kind not in ("comment", "space"):
+                self.all.append(Token(kind, text, line))
+            line += text.count("\n")
+            if kind not in ("comment", "space"):
+                coded = line
+        #: Brackets that are open before each token.
+        self.depth = list(accumulate(((t.text in OPEN) - (t.text in CLOSE) for t in self.all), initial=0))
+
+    def texts(self, at: int, n: int) -> list[str]:
+        return [t.text for t in self.all[at : at + n]]
+
+    def is_name(self, at: int) -> bool:
+        return at < len(self.all) and self.all[at].kind == "name"
+
+    def is_text(self, at: int, text: str) -> bool:
+        return 0 <= at < len(self.all) and self.all[at].text == text
+
+    def closing(self, at: int) -> int:
+        """The place of the bracket that closes the one at a place, or the end."""
+        depth = 0
+        for i in range(at, len(self.all)):
+            depth += self.all[i].text in OPEN
+            depth -= self.all[i].text in CLOSE
+            if not depth:
+                return i
+        return len(self.all)
+
+    def parameters(self, at: int) -> tuple[int, bool]:
+        """The number of named parameters in the brackets at a place, and whether any number may follow."""
+        depth, parts = 0, [[]]
+        for t in self.all[at + 1 : self.closing(at)]:
+            depth += (t.text in OPEN) - (t.text in CLOSE)
+            if t.text == "," and not depth:
+                parts.append([])
+            else:
+                parts[-1].append(t.text)
+        return sum(part not in ([], ["..."]) for part in parts), any(part[:1] == ["..."] for part in parts)
+
+    def docstring(self, line: int) -> str:
+        """The comments right above a line; of each its words, where it has any."""
+        block = takewhile(lambda at: at in self.comments, range(line - 1, 0, -1))
+        words = [self.comments[at].strip().strip("-/* \t") for at in block]
+        return " ".join(w for w in reversed(words) if any(c.isascii() and c.isalnum() for c in w))
+
+
+OPEN, CLOSE = frozenset("([{"), frozenset(")]}")
+LUA = re.compile(
+    r"(?P<comment>--\[(?P<c>=*)\[[\s\S]*?(?:\](?P=c)\]|\Z)|--[^\n]*)|(?P<string>\[(?P<s>=*)\[[\s\S]*?\](?P=s)\]|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<space>\s+)|(?P<name>[A-Za-z_]\w*)|(?P<other>\.\.\.|\.\.|[\s\S])"
+)
+JAVASCRIPT = re.compile(
+    r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`)|(?P<space>\s+)|(?P<name>[#\w$]+)|(?P<other>\.\.\.|=>|[\s\S])"
+)
+
+
+def lua(source: str) -> Parsed:
+    out, tokens = Parsed(), Tokens(source, LUA)
+    module = next((name for at in range(len(tokens.all)) for local, name, equals, value in [(tokens.texts(at, 4) + [""] * 4)[:4]] if local == "local" and equals == "=" and value in ("{", "setmetatable") and name[0].isupper()), None)
+    for at, token in enumerate(tokens.all):
+        if token.text == "require":
+            given = at + 1 + tokens.is_text(at + 1, "(")
+            if given < len(tokens.all) and tokens.all[given].kind == "string":
+                out.imports.append((tokens.all[given].text.strip("\"'[]="), token.line))
+        if token.text != "function":
+            continue
+        if tokens.is_name(at + 1):  # function a.b:c ( ... )
+            path = "".join(t.text for t in takewhile(lambda t: t.text != "(", tokens.all[at + 1 : at + 12]))
+            begins, opens = at - tokens.is_text(at - 1, "local"), at + 1 + len(re.findall(r"\w+|[.:]", path))
+        elif tokens.is_text(at - 1, "=") and tokens.is_name(at - 2):  # a.b = function ( ... )
+            begins = at - 2
+            while tokens.is_text(begins - 1, ".") and tokens.is_name(begins - 2):
+                begins -= 2
+            path, opens = "".join(tokens.texts(begins, at - 1 - begins)), at + 1
+            begins -= tokens.is_text(begins - 1, "local")
+        else:
+            continue
+        *owner, name = re.split(r"[.:]", path)
+        if owner:
+            exported = ".".join(owner) == module
+        else:
+            exported = module is None and tokens.is_text(at - 1, "=") and not tokens.is_text(begins, "local")
+        line = tokens.all[max(begins, 0)].line
+        out.add(name, path, "method" if ":" in path else "function", exported, line, tokens.parameters(opens), tokens.docstring(line), module)
+    return out
+
+
+def javascript(source: str) -> Parsed:
+    out, tokens = Parsed(), Tokens(source, JAVASCRIPT)
+    classes: list[tuple[int, str, int]] = []  # first and last place of the body, name; the innermost last
+    for at, token in enumerate(tokens.all):
+        while classes and at > classes[-1][2]:
+            classes.pop()
+        given = at + 1 + tokens.is_text(at + 1, "(") if token.text in ("require", "import") else at + 1
+        if token.text in ("from", "require", "import") and given < len(tokens.all) and tokens.all[given].kind == "string":
+            out.imports.append((tokens.all[given].text[1:-1], token.line))
+        exported = any(tokens.is_text(at - i, "export") for i in (1, 2, 3) if all(x in MODIFIERS for x in tokens.texts(at - i, i)))
+        line = tokens.all[at - next(i for i in range(at + 1) if i == at or tokens.all[at - i - 1].text not in MODIFIERS)].line
+        if token.text == "class" and tokens.is_name(at + 1) and not tokens.is_text(at - 1, "."):
+            name = tokens.all[at + 1].text
+            body = next((i for i in range(at + 2, len(tokens.all)) if tokens.is_text(i, "{")), len(tokens.all))
+            classes.append((body, name, tokens.closing(body)))
+            out.add(name, name, "class", exported or name[0] != "_", line, docstring=tokens.docstring(line))
+        elif token.text == "function" and tokens.is_name(named := at + 1 + tokens.is_text(at + 1, "*")) and not tokens.is_text(at - 1, "="):
+            name, opens = tokens.all[named].text, next((i for i in range(named, len(tokens.all)) if tokens.is_text(i, "(")), len(tokens.all))
+            out.add(name, name, "function", exported, line, tokens.parameters(opens), tokens.docstring(line))
+        elif token.text in ("const", "let", "var") and tokens.is_name(at + 1) and (parameters := _function_value(tokens, at + 2)):
+            name = tokens.all[at + 1].text
+            out.add(name, name, "function", exported, line, parameters, tokens.docstring(line))
+        elif classes and at > classes[-1][0] and token.kind == "name" and tokens.is_text(at + 1, "(") and _inside(tokens, classes[-1][0], at) and _body_follows(tokens, at + 1):
+            owner = classes[-1][1]
+            out.add(token.text, f"{owner}.{token.text}", "method", token.text[0] not in "_#", line, tokens.parameters(at + 1), tokens.docstring(line))
+    return out
+
+
+#: Words that stand before a definition.
+MODIFIERS = frozenset("export default public private protected static async get set abstract override readonly".split())
+
+
+def _function_value(tokens: Tokens, at: int) -> tuple[int, bool] | None:
+    """The parameters of a function that is what a name is set to; at is the place after the name."""
+    while at < len(tokens.all) and tokens.all[at].text not in ("=", ";", "{", ")"):
+        at += 1  # over a type
+    at += 1 + tokens.is_text(at + 1, "async")
+    if tokens.is_text(at, "function"):
+        opens = next((i for i in range(at, min(at + 4, len(tokens.all))) if tokens.is_text(i, "(")), len(tokens.all))
+        return tokens.parameters(opens)
+    if tokens.is_name(at) and tokens.is_text(at + 1, "=>"):
+        return 1, False
+    if tokens.is_text(at, "("):
+        after = tokens.closing(at) + 1
+        while after < len(tokens.all) and tokens.all[after].line == tokens.all[after - 1].line and tokens.all[after].text not in ("=>", ";"):
+            after += 1  # over the type of the result
+        return tokens.parameters(at) if tokens.is_text(after, "=>") else None
+    return None
+
+
+def _inside(tokens: Tokens, opens: int, at: int) -> bool:
+    """Whether a place lies right in a body, in no further bracket, and begins a member."""
+    before = tokens.all[at - 1].text
+    return tokens.depth[at] == tokens.depth[opens] + 1 and (before in ("{", "}", ";", "*") or before in MODIFIERS or tokens.all[at - 1].line < tokens.all[at].line)
+
+
+def _body_follows(tokens: Tokens, at: int) -> bool:
+    after = tokens.closing(at) + 1
+    while after < len(tokens.all) and tokens.all[after].text not in ("{", ";", "}", "="):
+        after += 1
+    return tokens.is_text(after, "{")
+
+
+def python(source: str) -> Parsed:
+    """A source that isn't valid Python gives what its longest valid beginning has."""
+    out = Parsed()
+    for node, owner in _definitions(_tree(source), None):
+        if isinstance(node, ast.ImportFrom):
+            out.imports.append(("." * node.level + (node.module or ""), node.lineno))
+        elif isinstance(node, ast.Import):
+            out.imports += [(x.name, node.lineno) for x in node.names]
+        else:
+            doc = next((x.strip() for x in (ast.get_docstring(node) or "").split("\n") if x.strip()), "")
+            own = isinstance(node, ast.ClassDef)
+            given = (0, False) if own else _parameters(node.args)
+            full = f"{owner}.{node.name}" if owner and not own else node.name
+            out.add(node.name, full, "class" if own else "method" if owner else "function", node.name[0] != "_", node.lineno, given, doc)
+    return out
+
+
+def _tree(source: str) -> ast.Module:
+    while source:
+        try:
+            return ast.parse(source)
+        except SyntaxError as e:
+            lines = source.split("\n")
+            source = "\n".join(lines[: max(0, min((e.lineno or 1) - 1, len(lines) - 1))])
+        except ValueError:
+            source = source.replace("\0", "")
+    return ast.Module([], [])
+
+
+def _definitions(node: ast.AST, owner: str | None) -> Iterator[tuple[ast.AST, str | None]]:
+    for x in ast.iter_child_nodes(node):
+        if isinstance(x, (ast.Import, ast.ImportFrom, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            yield x, owner
+        inner = x.name if isinstance(x, ast.ClassDef) else None if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) else owner
+        yield from _definitions(x, inner)
+
+
+def _parameters(a: ast.arguments) -> tuple[int, bool]:
+    more = [x for x in (a.vararg, a.kwarg) if x]
+    return len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + len(more), bool(more)
+
+
+LANGUAGES = {lua: (".lua",), python: (".py",), javascript: (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")}
+
+
+def grammar_of(path: str):
+    return next((read for read, suffixes in LANGUAGES.items() if path.endswith(suffixes)), None)
 
 
 def parse(source: str, path: str) -> Parsed:
-    """What the grammar of the path's suffix finds; nothing for other suffixes."""
-    grammar = grammar_of(path)
-    return grammar.parse(source) if grammar else Parsed()
+    """What the language of the path's suffix defines and imports; nothing for other suffixes."""
+    read = grammar_of(path)
+    return read(source.replace("\r\n", "\n").replace("\r", "\n")) if read else Parsed()
 
 
 def first_line(source: str) -> str:
     """The first line that is neither blank nor a comment."""
-    for line in source.splitlines():
-        s = line.strip()
-        if s and not s.startswith(("--", "#", "//", "/*", "*")):
-            return s
-    return ""
+    lines = (line.strip() for line in source.splitlines())
+    return next((x for x in lines if x and not x.startswith(("--", "#", "//", "/*", "*"))), "")

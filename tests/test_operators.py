@@ -153,6 +153,23 @@ def test_symbols_of_three_languages():
     assert code.parse("x", "y.md").symbols == []
 
 
+def test_definitions_over_lines_and_in_strings():
+    names = lambda text, path: [(s["full_name"], s["symbol_type"], s["line"], s["arity"], s["vararg"]) for s in code.parse(text, path).symbols]
+    py = '@wraps(f)\ndef long(\n    a, b=(1, 2),\n    *rest, **more,\n):\n    x = """\ndef not_one(): pass\n"""\n    def inner(): pass\nclass K:\n    @property\n    def v(self): pass\n'
+    assert names(py, "a.py") == [("long", "function", 2, 4, True), ("inner", "function", 9, 0, False), ("K", "class", 10, 0, False), ("K.v", "method", 12, 1, False)]
+    assert names("def a(): pass\n)(\ndef b(): pass\n", "a.py") == [("a", "function", 1, 0, False)] and names("\0(", "a.py") == []
+    js = '// function no() {}\nconst s = "class X {";\nexport async function f(\n  a,\n  {b, c} = {},\n  ...d\n) {}\nclass K extends L {\n  static go(a) { if (a) { run(a); } }\n  get v() { return 1 }\n  field = call(1)\n}\nlet g = async x => x, n = 5\nconst h = function* (a, b) {}\n'
+    assert names(js, "a.js") == [("f", "function", 3, 3, True), ("K", "class", 8, 0, False), ("K.go", "method", 9, 1, False), ("K.v", "method", 10, 0, False), ("g", "function", 13, 1, False), ("h", "function", 14, 2, False)]
+    lua = 'local s = "function no()"\n--[[ function no() end ]]\nlocal M = {}\nM.run = function(a,\n  b, ...) end\nlocal f = function() end\nfunction M.sub:go(x) end\nlocal r = require "x.y"\n'
+    assert names(lua, "a.lua") == [("M.run", "function", 4, 2, True), ("f", "function", 6, 0, False), ("M.sub:go", "method", 7, 1, False)] and code.parse(lua, "a.lua").imports == [("x.y", 8)]
+    doc = code.parse("/**\n * Adds\n * two.\n */\nexport function add(a) {}\n", "a.ts").symbols[0]
+    assert doc["docstring"] == "Adds two." and doc["exported"]
+
+
+def test_names_are_capitalised_words_but_for_question_words():
+    assert search.names_in("What did May and Will tell Has about it") == ["may", "has"]
+
+
 def test_hunks_that_look_like_headers():
     text = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@ x\n--- gone\n+++ new\n same\n@@ -9 +9,0 @@\n-last\ndiff --git a/g b/g\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n\\ No newline at end of file\n"
     found = [(h[0], h[2], h[6], h[7]) for h in diffs.hunks(text)]
