@@ -64,26 +64,25 @@ def has_all(tokens: Column, terms: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.array_contains(tokens, t) for t in dict.fromkeys(terms)]) if terms else F.lit(False)
 
 
-def spaced(text: Column) -> Column:
-    """Lower-cased words, each between two spaces of its own."""
-    return F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
+def occurrences(text: Column, term: str) -> Column:
+    """How often a word (of ASCII letters and digits, small) occurs, whatever the case of the text's ASCII letters; the text isn't copied."""
+    letters = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in term)
+    return F.regexp_count(text, F.lit(f"{letters}(?![A-Za-z0-9])(?<![A-Za-z0-9]{'.' * len(term)})"))
 
 
-def occurrences(spaced_text: Column, term: str) -> Column:
-    """Of a word in a column of spaced(): by length, so that no array is built."""
-    return (F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
+def counts_of(text: Column, terms: list[str]) -> Column:
+    """An array of the occurrences of each distinct term."""
+    return F.array(*[occurrences(text, t) for t in dict.fromkeys(terms)])
 
 
-def occurrence_rank(spaced_text: Column, terms: list[str]) -> Column:
-    """Lexical rank without positions: the sum of ln(1 + occurrences) where all terms occur, else 0.
+def occurrence_rank(counts: Column) -> Column:
+    """Lexical rank without positions: the sum of ln(1 + occurrences) where all terms occur, else 0, as for no terms.
 
-    Rounded, so that equal counts tie whatever the order of summation. spaced_text is a column that holds spaced():
-    it is read once for each term.
+    Rounded, so that equal counts tie whatever the order of summation. counts is a column that holds counts_of(), so that
+    a text is read once for each term.
     """
-    counts = [occurrences(spaced_text, t) for t in dict.fromkeys(terms)]
-    if not counts:
-        return F.lit(0.0)
-    return F.when(F.least(*counts, F.lit(1.0)) > 0, F.round(reduce(lambda x, y: x + y, [F.log1p(c) for c in counts]), 12)).otherwise(F.lit(0.0))
+    total = F.aggregate(counts, F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double")))
+    return F.when(F.exists(counts, lambda n: n == 0), 0.0).otherwise(F.coalesce(F.round(total, 12), F.lit(0.0)))
 
 
 def approx_tokens(text: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from . import text
@@ -46,62 +49,67 @@ EMBED_MODULUS = 2147483647
 DIM = 384
 
 
-def embed_tokens(body: Column) -> Column:
-    """w:<word> for words of two letters or more, g:<trigram> of each word between spaces; repeats count."""
-    own = text.words(body)
-    whole = F.transform(F.filter(own, lambda w: F.length(w) >= 2), lambda w: F.concat(F.lit("w:"), w))
-    grams = F.transform(own, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.lit("g:"), F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))))
-    return F.concat(whole, F.flatten(grams))
+#: Tokens of a text: w:<word> for words of two letters or more, g:<trigram> of each word between spaces; repeats count.
+SMALL_LETTERS = str.maketrans(text.UPPER, text.LOWER)
+WORD = re.compile("[a-z0-9]+")
+#: Words whose places a worker keeps.
+CACHE_WORDS = 1 << 17
+
+
+def token_sums(value: str | None, dim: int = DIM) -> np.ndarray:
+    """The signed counts of the hash embedder, before its length is made 1."""
+    own = Counter(WORD.findall((value or "").translate(SMALL_LETTERS)))
+    if not own:
+        return np.zeros(dim)
+    places = [_places(w, dim) for w in own]
+    counts = np.repeat(np.fromiter(own.values(), np.int64, len(own)), [len(x) for x in places])
+    at = np.concatenate(places)
+    return np.bincount(np.abs(at) - 1, np.where(at > 0, counts, -counts), dim)
 
 
 def sparse_embedding(df, key: str, body: str, dim: int = DIM):
-    """key, bucket, value: the signed counts of the hash embedder before its length is made 1; zeros are left out.
+    """key, bucket, value: the signed counts of the hash embedder for each row; zeros are left out. No row leaves its task."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, bucket long, value long"
 
-    Tokens are counted before they are hashed, so that a token is hashed once for each distinct one of the corpus.
-    """
-    tokens = df.select(key, F.explode(embed_tokens(F.col(body))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    hashed = tokens.select("token").distinct().select(
-        "token",
-        (text.djb2(F.col("token"), EMBED_MODULUS) % dim).alias("bucket"),
-        F.when(text.djb2(F.concat("token", F.lit("#sign")), EMBED_MODULUS) % 2 == 0, 1).otherwise(-1).alias("sign"),
-    )
-    return tokens.join(hashed, "token").groupBy(key, "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("value")).where("value != 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sums = np.stack([token_sums(x, dim) for x in part.column(1).to_pylist()])
+                row, bucket = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(sums[row, bucket].astype(np.int64))], [key, "bucket", "value"])
+
+    return df.select(key, F.col(body).cast("string")).mapInArrow(run, schema)
 
 
 def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
-    """The same embedder for one text on the driver: unit length, zero for a text without words."""
-    import re
-
-    counts = [0] * dim
-    own = re.findall("[a-z0-9]+", (value or "").translate(str.maketrans(text.UPPER, text.LOWER)))
-    for w, n in Counter(own).items():
-        for at in _places(w, dim):
-            if at > 0:
-                counts[at - 1] += n
-            else:
-                counts[-at - 1] -= n
-    out = np.array(counts, dtype=float)
+    """The embedder for one text: unit length, zero for a text without words."""
+    out = token_sums(value, dim)
     size = float(np.sqrt((out * out).sum()))
     return out / size if size else out
 
 
-@lru_cache(maxsize=1 << 16)
-def _places(w: str, dim: int) -> tuple[int, ...]:
+@lru_cache(maxsize=CACHE_WORDS)
+def _places(w: str, dim: int) -> np.ndarray:
     """Buckets of a word's tokens from 1 on, negative where the sign is."""
-    found = (_signed(token) for token in [f"w:{w}"] * (len(w) >= 2) + [f"g:{f' {w} '[i : i + 3]}" for i in range(len(w))])
-    return tuple(sign * (bucket % dim + 1) for bucket, sign in found)
+    found = [_signed(f"g:{f' {w} '[i : i + 3]}") for i in range(len(w))]
+    if len(w) >= 2:
+        h = _djb2(f"w:{w}")
+        found.append((h, 1 if _djb2("#sign", h) % 2 == 0 else -1))
+    return np.array([sign * (h % dim + 1) for h, sign in found], np.int16 if dim < 32767 else np.int64)
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 17)
 def _signed(token: str) -> tuple[int, int]:
-    return _djb2(token), 1 if _djb2(token + "#sign") % 2 == 0 else -1
+    h = _djb2(token)
+    return h, 1 if _djb2("#sign", h) % 2 == 0 else -1
 
 
-def _djb2(value: str, modulus: int = EMBED_MODULUS) -> int:
-    h = 5381
+def _djb2(value: str, start: int = 5381, modulus: int = EMBED_MODULUS) -> int:
+    """Of what follows a text whose hash is start."""
     for b in value.encode():
-        h = (h * 33 + b) % modulus
-    return h
+        start = (start * 33 + b) % modulus
+    return start
 
 
 def hash_embedding(body: Column, dim: int = DIM) -> Column:
@@ -112,7 +120,7 @@ def hash_embedding(body: Column, dim: int = DIM) -> Column:
     def run(values):
         import pandas as pd
 
-        return pd.Series([hash_embed(v, dim).astype("f4").tolist() for v in values])
+        return pd.Series([hash_embed(v, dim).astype("f4") for v in values])
 
     return run(body)
 
@@ -168,13 +176,13 @@ def lsh_keys(v: Column, planes: np.ndarray) -> Column:
     def run(values):
         import pandas as pd
 
-        out = []
-        for x in values:
-            if x is None or len(x) != dim:
-                out.append(None)
-                continue
-            signs = (np.asarray(x, dtype=float) @ flat >= 0).reshape(tables, bits)
-            out.append([f"{t}:{''.join('1' if b else '0' for b in row)}" for t, row in enumerate(signs)])
+        good = [x is not None and len(x) == dim for x in values]
+        out = np.full(len(values), None, object)
+        if any(good):
+            signs = np.stack([np.asarray(x, dtype=float) for x, g in zip(values, good) if g]) @ flat >= 0
+            codes = signs.reshape(-1, tables, bits) @ (1 << np.arange(bits)[::-1])
+            for i, row in zip(np.flatnonzero(good).tolist(), codes.tolist()):
+                out[i] = [f"{t}:{c:0{bits}b}" for t, c in enumerate(row)]
         return pd.Series(out)
 
     return run(v)
