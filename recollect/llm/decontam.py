@@ -67,7 +67,7 @@ def matches(words: list[bytes], numbers: dict[bytes, int], automaton) -> Iterato
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """RESULT for each row of docs: counts, the items with an occurrence, and the hit spans as character offsets.
 
-    Null and empty texts have no words; items without words never occur. Repeated item_ids count once; the words that an
+    Null and empty texts have no words; texts of any length are scanned as a whole; items without words never occur. Repeated item_ids count once; the words that an
     item with a null item_id covers are hit, but it isn't listed. Repeated rows of docs each get a row. Other columns
     are ignored. A benchmark of more than automaton_bytes is dealt to several automata, each applied in its own pass;
     the driver holds one part at a time.
@@ -82,7 +82,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, in which no pattern of the benchmark occurs."""
+    """The rows of docs, with all their columns, in which no pattern of the benchmark occurs.
+
+    Null, empty and wordless texts stay, and so does every row if no item has a word; repeated rows are judged alike,
+    texts of any length as a whole. An empty table gives no rows.
+    """
     at = docs.columns.index("text")
     for held in _parts(docs.sparkSession, benchmark, automaton_bytes):
         docs = docs.mapInArrow(_clean(held, window, at), docs.schema)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
@@ -83,7 +84,7 @@ def dense_caps(sample: np.ndarray, cosine: float, least: int) -> np.ndarray:
 
 
 def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -92,19 +93,24 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, raw (little-endian floats; null where the vector links with nothing), from whole vectors."""
+    """vec_id, raw (little-endian doubles; null where the vector links with nothing), from whole vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                v = np.array([np.nan if y is None else y for y in x], "<f4") if x else np.zeros(0, "<f4")
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, starts = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8"), np.cumsum(sizes) - sizes
+            out: list[bytes | None] = [None] * len(sizes)
+            for size in set(sizes.tolist()) - {0}:
+                at = np.flatnonzero(sizes == size)
+                own = values[starts[at][:, None] + np.arange(size)] + 0.0  # no negative zeros
                 with np.errstate(all="ignore"):
-                    norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-                out.append((v + np.float32(0)).tobytes() if len(v) and np.isfinite(norm) and norm > 0 else None)
+                    norm = np.sqrt((own**2).sum(1))
+                for i in np.flatnonzero(np.isfinite(norm) & (norm > 0)).tolist():
+                    out[at[i]] = own[i].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "raw"])
 
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "vec_id long, raw binary")
+    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, raw binary")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, kept: int = KEPT, sample: int = SAMPLE) -> DataFrame:
@@ -119,7 +125,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int =
     classes = common.staged(classes.where("cid is not null"), "classes")
     counts, links = [], []
     for size, n in sorted((x[0], x[1]) for x in classes.groupBy(F.length("raw")).count().collect()):
-        counted, linked = _links(classes.where(F.length("raw") == size), n, size // 4, cosine, codes, kept, sample)
+        counted, linked = _links(classes.where(F.length("raw") == size), n, size // 8, cosine, codes, kept, sample)
         counts.append(counted)
         links.append(linked)
     if not counts:

@@ -80,14 +80,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 20):
             x = ngrams.features([lowered(t) for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "place", "x"])
 
     # a share of each language's rows by hash, twice the sample at most, so that no sort sees a language's rows
     share = F.lit(0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, max(1, n // sample)).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), share) == 0)
-    got = chosen.select("text", "lang").mapInArrow(run, "lang string, x binary").limit(2 * sample * max(1, len(counts))).collect()
+    place = F.xxhash64("doc_id", "text").alias("place")
+    read = lambda rows, most: rows.select("text", "lang", "place").mapInArrow(run, "lang string, place long, x binary").orderBy("place", "lang", "x").limit(most).collect()
+    got = read(chosen.select("text", "lang", place), 2 * sample * max(1, len(counts)))
+    for name in counts.keys() - {x["lang"] for x in got}:  # few doc_ids that repeat so often that none of them is chosen
+        got += read(known.where(F.col("lang") == name).groupBy("lang", place).agg(F.min("text").alias("text")), sample)
     at = {x: i for i, x in enumerate(languages)}
     if len(languages) < 2 or not got:
         return Model(languages[:1])
@@ -102,7 +106,7 @@ def lowered(text: str | None) -> bytes:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """RESULT for each row. lang_pred is und, with score 0, where the text is null or has no letter, or no language was learned.
 
-    Repeated rows each have a result; other columns are ignored; an empty table gives no rows; a null doc_id counts as
+    Texts of any length are read as a whole. Repeated rows each have a result; other columns are ignored; an empty table gives no rows; a null doc_id counts as
     not held out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # of a fixed size for each language

@@ -78,11 +78,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 def piece_rows(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece: full windows of a document, then what is left."""
+    """A row for each piece: full windows of a document, then what is left; deal is the piece's number in its task."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+        encoder, dealt = tokens.encoder(path), 0
         for batch in common.slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
@@ -92,17 +92,21 @@ def piece_rows(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = E
                     piece = raw[4 * start : 4 * (start + window)]
                     for column, x in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            out.append(list(range(dealt, dealt + len(out[0]))))
+            dealt += len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{PIECES}, deal long")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
     Null and empty texts are one end id. Rows that repeat a doc_id are packed as documents of their own; a null doc_id
-    stays null. An empty table gives no rows. Other columns of docs are ignored. sequence_id is the group's number times
-    2**32 plus the window's number in it.
+    stays null. An empty table gives no rows. Other columns of docs are ignored. Texts may be of any length: each is
+    encoded as a whole and cut into windows. Pieces of one length go by doc_id, start and content. Pieces are dealt to
+    groups also by their number in their task, so that rows repeated any number of times spread over all groups.
+    sequence_id is the group's number times 2**32 plus the window's number in it.
     """
     pieces = common.staged(piece_rows(docs, path, window, end_id), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -110,7 +114,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         of, offset = best_fit_decreasing(group["length"].to_numpy(), window)
-        return group.assign(sequence_id=of + (int(key[0]) << 32), offset=offset).drop(columns="part")
+        return group.assign(sequence_id=of + (int(key[0]) << 32), offset=offset).drop(columns=["part", "deal"])
 
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "deal"), F.lit(groups))
     return pieces.withColumn("part", part).groupBy("part").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")

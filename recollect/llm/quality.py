@@ -171,7 +171,11 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """EM over all documents' patterns; the scorer over at most sample documents, chosen by a hash of their doc_ids (twice as many where that is uneven)."""
+    """EM over all documents' patterns; the scorer over at most sample documents, chosen by a hash of their doc_ids (twice as many, those of the least hashes, where that is uneven).
+
+    Null, empty and blank texts vote as what they are, and repeated rows each count. Texts may be of any length. An empty
+    table gives a model whose scorer has no weights.
+    """
     spark = docs.sparkSession
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +197,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=1 << 20):
             x, own = _x([Text(t) for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.int64()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["place", "pattern", "x"])
 
     chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0) if part > 1 else texts
-    got = chosen.select("text").mapInArrow(rows_of, "pattern long, x binary").limit(2 * sample).collect()
+    placed = chosen.select("text", F.xxhash64("doc_id", "text").alias("place"))
+    read = lambda rows, most: rows.mapInArrow(rows_of, "place long, pattern long, x binary").orderBy("place", "pattern", "x").limit(most).collect()
+    # where few doc_ids repeat so often that none of them is chosen, each distinct row is read once
+    got = read(placed, 2 * sample) or read(texts.groupBy(F.xxhash64("doc_id", "text").alias("place")).agg(F.min("text").alias("text")).select("text", "place"), sample)
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(len(got), -1)
     y = weak.posterior(np.array([r["pattern"] for r in got]))
     w, b = ngrams.fit_logistic(x, y[:, None])
@@ -211,7 +218,7 @@ def _scored(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
 def score(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """RESULT for each row: the weak posterior, the scorer's score, and whether it reaches the threshold.
 
-    Null texts are empty ones. Every row has a result, repeated ones too; other columns are ignored; an empty table
+    Null texts are empty ones; texts of any length are scored as a whole. Every row has a result, repeated ones too; other columns are ignored; an empty table
     gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # of a fixed size
@@ -225,7 +232,11 @@ def score(docs: DataFrame, model: Model | None = None, threshold: float = THRESH
 
 
 def keep(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold.
+
+    Null texts are judged as empty ones, repeated rows alike, texts of any length as a whole; doc_ids aren't looked at.
+    An empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     at = docs.columns.index("text")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from . import common, tokens
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 20
+#: Documents that a reading task hands on at once.
+READ_DOCS = 8192
 LEVEL = 1
 SHARD_ROWS = "shard long, path string, n_docs long, n_tokens long"
 READ_ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -35,24 +38,24 @@ class Writer:
         import zstandard
 
         self.out, self.packer = out, zstandard.ZstdCompressor(level=level, write_checksum=False)
-        self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.frames, self.docs, self.n_frames = array("I"), array("q"), 0
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
         import xxhash
 
-        self.docs.append((-(1 << 63) if doc_id is None else doc_id, len(raw) // 4, len(self.frames)))
+        self.docs.extend((-(1 << 63) if doc_id is None else doc_id, len(raw) // 4, self.n_frames))
         for at in range(0, len(raw) or 1, 4 * FRAME_IDS):
             part = raw[at : at + 4 * FRAME_IDS]
             packed = self.packer.compress(part)
             self.out.write(packed)
-            self.frames.append((len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
+            self.frames.extend((len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
+            self.n_frames += 1
 
     def close(self) -> None:
         index = np.array(self.docs, dtype="<i8").tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
         table = np.array(self.frames, dtype="<u4").tobytes()
-        foot = struct.pack("<IBI", len(self.frames), HAS_CHECKSUMS, SEEK_MAGIC)
+        foot = struct.pack("<IBI", self.n_frames, HAS_CHECKSUMS, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SEEK_SKIPPABLE, len(table) + len(foot)) + table + foot)
 
 
@@ -99,7 +102,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, shards: int
     """Writes docs in ascending doc_id order to files in folder; returns a row for each file, in order.
 
     folder is a URI that executors share. Null texts are empty, a null doc_id comes first; rows that repeat a doc_id are
-    all written, side by side. Files go to a name of their own and are then moved, so a task may run twice.
+    all written, side by side. Texts may be of any length; an empty table gives files without documents. There are as
+    many files as shuffle or input partitions, whichever are more, so a file doesn't grow with the corpus. Files go to a
+    name of their own and are then moved, so a task may run twice.
     """
     spark = docs.sparkSession
     end = np.array([end_id], "<u4").tobytes()
@@ -120,11 +125,11 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, shards: int
                     n += len(ids) // 4 + 1
             writer.close()
         store.move(temp, final)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([final]), pa.array([len(writer.docs)]), pa.array([n])], ["shard", "path", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([final]), pa.array([len(writer.docs) // 3]), pa.array([n])], ["shard", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     sorted_rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return [x.asDict() for x in sorted(sorted_rows.mapInArrow(run, SHARD_ROWS).collect())]
 
@@ -143,10 +148,12 @@ def read(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(name) as source:
                     reader = Reader(source, source.size())
-                    crc = [zlib.crc32(reader.raw(i)) for i in range(len(reader.doc_ids))]
                     at = start + np.cumsum(reader.n_tokens) - reader.n_tokens
-                    ids = pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == -(1 << 63))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(reader.n_tokens, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for first in range(0, len(at), READ_DOCS):
+                        own = slice(first, first + READ_DOCS)
+                        crc = [zlib.crc32(reader.raw(i)) for i in range(first, min(first + READ_DOCS, len(at)))]
+                        ids = pa.array(reader.doc_ids[own], pa.int64(), mask=reader.doc_ids[own] == -(1 << 63))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(at[own], pa.int64()), pa.array(reader.n_tokens[own], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
     return listed.mapInArrow(run, READ_ROWS)

@@ -192,17 +192,20 @@ def window_starts(n: int) -> list[int]:
 
 def windows_of(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many words, one after the other: each window's text, its first word in the text, and its words' places (-1: none)."""
-    of, first, base, at = [], [], [], 0
-    for i, n in enumerate(sizes):
-        starts = window_starts(n)
-        of += [i] * len(starts)
-        first += starts
-        base += [at] * len(starts)
-        at += n
-    of, first = np.array(of, np.int64), np.array(first, np.int64)
-    place = first[:, None] + np.arange(WINDOW)
-    inside = place < np.array(sizes, np.int64)[of][:, None]
-    return of, first, np.where(inside, place + np.array(base, np.int64)[:, None], -1)
+    of, first = starts_of(sizes)
+    return of, first, places(np.array(sizes, np.int64), of, first)
+
+
+def starts_of(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's text and first word."""
+    own = [window_starts(n) for n in sizes]
+    return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([s for x in own for s in x], np.int64)
+
+
+def places(sizes: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The places of some windows' words among those of all texts (-1: none)."""
+    place, base = first[:, None] + np.arange(WINDOW), np.cumsum(sizes) - sizes
+    return np.where(place < sizes[of][:, None], place + base[of][:, None], -1)
 
 
 class Scorer:
@@ -228,12 +231,13 @@ class Scorer:
             self.gates = np.concatenate([self.gates, self.network.inputs(Lexicon([core(w) for w in new]), np.arange(len(new)))])
         get = rows.__getitem__
         flat = np.array([i for words in cut for i in map(get, words)] + [0], np.int32)
-        of, first, place = windows_of([len(w) for w in cut])
+        sizes = np.array([len(w) for w in cut], np.int64)
+        of, first = starts_of(sizes.tolist())
         logit = np.empty(len(of), np.float32)
-        full = place[:, -1] >= 0
+        full = sizes[of] >= WINDOW
         for part, masked in ((np.flatnonzero(full), False), (np.flatnonzero(~full), True)):
             for at in range(0, len(part), 4096):
-                own = place[part[at : at + 4096]]
+                own = places(sizes, of[part[at : at + 4096]], first[part[at : at + 4096]])
                 logit[part[at : at + 4096]] = self.network.logits(self.gates, flat[own], own >= 0 if masked else None)
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         best = np.maximum.reduceat(logit, starts)
@@ -281,14 +285,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """From the texts of at most sample labelled rows of all folds but the third, chosen by a hash of the doc_id.
 
-    Labels are 0 or 1, the highest of repeated rows; rows with nulls are left out. Without labels the network stays as
+    Labels are 0 or 1, the highest of repeated rows; of a doc_id that several texts have the least text is read; rows with nulls are left out. Without labels the network stays as
     it was drawn, and scores are low.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(fold() != 2)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     texts = texts.where(F.length("text") - F.length(F.translate("text", " \n\t", "")) < SAMPLE_WORDS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).collect()  # sample rows at most
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # sample rows at most
     rows.sort(key=lambda x: x["doc_id"])
     marks = np.array([float(x["toxic"] > 0) for x in rows])
     said = [x["text"] for x in rows]
@@ -309,7 +313,7 @@ def _scorer(held) -> Scorer:
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, network: Network | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """RESULT for each row of docs. Null texts are empty ones, which have one empty window.
+    """RESULT for each row of docs. Null texts are empty ones, which have one empty window; long texts are scored in all of their windows, some thousands at a time.
 
     Repeated rows each have a result; a null doc_id counts as not held out; other columns are ignored; an empty table
     gives no rows.
@@ -327,7 +331,11 @@ def score(docs: DataFrame, labels: DataFrame | None = None, network: Network | N
 
 
 def keep(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold.
+
+    Null texts are judged as empty ones, repeated rows alike, all windows of texts of any length; doc_ids aren't looked
+    at. An empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 

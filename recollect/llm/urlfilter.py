@@ -16,7 +16,7 @@ from . import common
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY, HASHES, LEAST_BITS = 16, 4, 512
-#: Most bits of one level in a plan (512 KB); a longer list is looked up by a join instead.
+#: Most bits of any level in a plan (512 KB); where one would have more, keys are looked up by a join instead.
 MOST_BITS = 1 << 22
 
 
@@ -37,8 +37,17 @@ def keys_of(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(s.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
 
 
+#: Between a key's host and path; neither of a url can hold it.
+MARK = "?"
+
+
 def key_text(key: Column) -> Column:
-    return F.concat(key["host"], key["path"])
+    return F.concat(key["host"], F.lit(MARK), key["path"])
+
+
+def rule_text(key: Column) -> Column:
+    """A key as the rule is written: each part may hold a mark only in rules that fit no url."""
+    return F.concat(F.substring_index(key, MARK, 1), F.substring(key, F.length(F.substring_index(key, MARK, 1)) + 2, F.length(key)))
 
 
 def positions(key: Column, level: int, bits: int) -> list[Column]:
@@ -67,13 +76,16 @@ class Cascade:
     def __init__(self, listed: DataFrame, n: int, first: Level | None = None):
         self.listed, self.levels = listed, [first or Level(listed, n, 1)] if n else []
 
-    def add_levels(self, suspects: DataFrame) -> "Cascade":
-        """suspects: the universe's keys that level 1 takes, and perhaps others."""
+    def add_levels(self, suspects: DataFrame, most_bits: int | None = None) -> "Cascade | None":
+        """suspects: the universe's keys that level 1 takes, and perhaps others; None if a level would have over most_bits."""
         if not self.levels:
             return self
+        most_bits = most_bits or MOST_BITS
         inside = self.listed
         outside = suspects.where(self.levels[0].takes(F.col("key"))).join(self.listed, "key", "left_anti")
         while n := outside.count():
+            if n * BITS_PER_KEY > most_bits:
+                return None
             self.levels.append(Level(outside, n, len(self.levels) + 1))
             inside, outside = outside, inside.where(self.levels[-1].takes(F.col("key")))
         return self
@@ -90,10 +102,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bits:
 
     rules: host, path, action (allow or block). A rule fits its host and the host's subdomains where the path starts
     with the rule's; the longest text wins, then the longer host; a rule listed with both actions blocks. Urls that are
-    null or lack "://" have an empty host and path. Without a fitting rule, the url is in no list, and the verdict is
+    null or lack "://" have an empty host and path; urls may be of any length. Without a fitting rule, the url is in no list, and the verdict is
     default. Rules that are null or repeat add nothing. Other columns are ignored; an empty table gives no rows.
     """
-    rules = common.staged(rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", F.concat("host", "path")), "rules")
+    rules = common.staged(rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", F.concat("host", F.lit(MARK), "path")), "rules")
     sizes = {x["action"]: x["n"] for x in rules.groupBy("action").agg(F.count("*").alias("n")).collect()}
     lengths = sorted(x[0] for x in rules.select(F.length("path")).distinct().collect())
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -106,14 +118,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bits:
     taken = [c.levels[0] for c in cascades.values() if c.levels]
     suspects = urls.select(F.explode(F.array_distinct(F.filter(keys, lambda k: reduce(lambda a, b: a | b, [x.takes(k) for x in taken])))).alias("key")).distinct()
     suspects = common.staged(suspects, "suspects")
-    for c in cascades.values():
-        c.add_levels(suspects)
+    if not all([c.add_levels(suspects, most_bits) for c in cascades.values()]):
+        return _by_join(urls, rules, lengths, default)
     judged = F.transform(
         keys_of(F.col("host"), F.col("path"), lengths),
         lambda k: F.struct(F.length(key_text(k)).alias("length"), F.length(k["host"]).alias("host_length"), key_text(k).alias("key"), F.when(cascades["block"].has(key_text(k)), "block").when(cascades["allow"].has(key_text(k)), "allow").alias("action")),
     )
     best = F.array_max(F.filter(judged, lambda x: x["action"].isNotNull()))
-    return urls.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return urls.withColumn("best", best).select("page_id", "host", "path", rule_text(F.col("best.key")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def _by_join(urls: DataFrame, rules: DataFrame, lengths: list[int], default: str) -> DataFrame:
@@ -122,4 +134,4 @@ def _by_join(urls: DataFrame, rules: DataFrame, lengths: list[int], default: str
     pairs = own.select("host", "path", F.explode(F.transform(keys_of(F.col("host"), F.col("path"), lengths), lambda k: F.struct(F.length(key_text(k)).alias("length"), F.length(k["host"]).alias("host_length"), key_text(k).alias("key")))).alias("k"))
     best = pairs.join(rules.select(F.col("key").alias("rule_key"), "action"), F.col("k.key") == F.col("rule_key"))
     best = best.groupBy("host", "path").agg(F.max(F.struct("k.length", "k.host_length", "k.key", "action")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", rule_text(F.col("best.key")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -67,6 +67,12 @@ def test_packing_lays_every_id_once(spark):
     assert packing.pack(table(spark).where("doc_id > 99"), PATH).count() == 0
 
 
+def test_packing_spreads_equal_rows_over_groups(spark):
+    rows = table(spark, [(1, "same text")]).select("doc_id", "text").crossJoin(spark.range(0, 20000, 1, 4)).select("doc_id", "text")
+    rows = packing.pack(rows, PATH, group_pieces=4000).withColumn("part", F.shiftright("sequence_id", 32)).groupBy("part").count().collect()
+    assert len(rows) == 5 and max(r["count"] for r in rows) < 6000
+
+
 def test_packing_pads_little(spark):
     rows = queries.QUERIES["op1_packing"](spark, "/root/testdata/sf0.01").toPandas()
     assert rows.length.sum() / (2048 * rows.sequence_id.nunique()) > 0.97
@@ -168,6 +174,13 @@ def test_embedding_links_equal_brute_force(spark):
     assert embdedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_double_vectors_are_compared_as_doubles(spark):
+    a, b = [1.0, 0.0], [0.95, float(np.sqrt(1 - 0.95**2))]
+    low = [0.95 - 1e-9, float(np.sqrt(1 - (0.95 - 1e-9) ** 2))]
+    links = lambda *v: [r["n_links"] for r in embdedup.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()]
+    assert links(a, low) == [0, 0] and links(a, [b[0] + 1e-9, b[1]]) == [1, 1]
+
+
 def test_filters_recall_pairs_at_the_threshold():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 64))
@@ -222,6 +235,8 @@ def test_url_rules_equal_brute_force(spark):
         best = max(fits, default=(0, 0, None, "allow"))
         return host, path, best[2], best[3]
 
+    rules += [("com", "x", "block"), ("a.net", "", "allow")]
+    urls += ["http://comx/", "http://b.com/x", "http://comx", "http://a.netx/es/", "http://com/x?y"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit("x")).withColumn("host", F.lit("y"))
     r = spark.createDataFrame(rules, "host string, path string, action string")
     for most in (urlfilter.MOST_BITS, 1):
@@ -240,6 +255,7 @@ def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
     assert len(cascade.levels) > 2
     wrong = universe.select(cascade.has(F.col("key")).alias("has"), (F.expr("cast(substring(key, 2, 9) as int) % 7 = 0")).alias("is")).where("has != is")
     assert wrong.count() == 0
+    assert urlfilter.Cascade(listed, listed.count()).add_levels(universe, most_bits=64) is None
 
 
 def brute_components(texts):
@@ -421,6 +437,97 @@ def test_toxicity_of_held_out_texts(spark):
     assert toxicity.score(table(spark).where("doc_id > 99"), network=network).count() == 0
 
 
+def test_scores_of_the_network_equal_a_loop():
+    network = toxicity.Network(5)
+    p, h, sig = network.p, toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def state(s, xs):
+        out, now = [], np.zeros(h)
+        for x in xs:
+            g, x = now @ p[f"u{s}"], x @ p[f"w{s}"] + p[f"b{s}"]
+            r, z = sig(x[:h] + g[:h]), sig(x[h : 2 * h] + g[h : 2 * h])
+            now = (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :]) + z * now
+            out.append(now)
+        return out
+
+    texts = ["one", "a few words, that's all", " ".join(f"w{i % 7}x" for i in range(131))]
+    for text, found in zip(texts, toxicity.Scorer(network).score(texts)[0]):
+        words = [toxicity.core(w) for w in text.split()]
+        logits = []
+        for at in toxicity.window_starts(len(words)):
+            xs = network.embed(toxicity.Lexicon(words[at : at + toxicity.WINDOW]).take(np.arange(min(toxicity.WINDOW, len(words) - at))))
+            both = np.concatenate([state("f", xs), state("b", xs[::-1])[::-1]], axis=1)
+            weight = np.exp(both @ p["att"])
+            logits.append(float((weight / weight.sum()) @ both @ p["out"] + p["bias"][0]))
+        assert found == pytest.approx(sig(max(logits)), abs=1e-5)
+
+
+def test_decoded_languages_equal_a_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.identify(docs, model).collect()[:60]:
+        raw, counts = b" " + langid.lowered(rows[r["doc_id"]]) + b" ", {}
+        for i in range(len(raw) - 2):
+            g = int(langid.ngrams.trigrams(raw[i + 1 : i + 2])[0]) if len(raw) == 3 else None
+            h = (raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77 + raw[i + 2] * 0xC2B2AE3D) % 2**32
+            h = ((h ^ (h >> 15)) * 0x27D4EB2F) % 2**32 >> 20
+            assert g is None or g == h
+            counts[h] = counts.get(h, 0) + 1
+        margin = [sum((n / (len(raw) - 2)) ** 0.5 * float(model.w[g, j]) for g, n in counts.items()) + float(model.b[j]) for j in range(len(model.b))]
+        losses = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.weight, margin, word)) for word in model.code]
+        if r["lang_pred"] != "und":
+            assert model.languages.index(r["lang_pred"]) == int(np.argmin(losses))
+
+
+def test_quality_scores_equal_a_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score(docs, model).collect()[:60]:
+        votes = quality.votes_of(quality.Text(texts[r["doc_id"]]))
+        good, bad = model.weak.prior, 1 - model.weak.prior
+        for j, v in enumerate(votes):
+            if v != quality.ABSTAIN:
+                good *= model.weak.bad[j, 1] if v == quality.BAD else 1 - model.weak.bad[j, 1]
+                bad *= model.weak.bad[j, 0] if v == quality.BAD else 1 - model.weak.bad[j, 0]
+        assert r["posterior"] == pytest.approx(good / (good + bad), abs=1e-6)
+        raw, total = texts[r["doc_id"]].encode(), float(model.b[0])
+        counts = np.bincount(quality.ngrams.trigrams(raw), minlength=quality.ngrams.BUCKETS)
+        total += sum((n / max(1, len(raw))) ** 0.5 * float(model.w[g, 0]) for g, n in enumerate(counts) if n)
+        for k, v in enumerate(votes):
+            total += 0.2 * float(model.w[quality.ngrams.BUCKETS + (v + 3 * k) * 0x9E3779B1 % 2**32 % quality.VOTE_BUCKETS, 0])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-4) and r["kept"] == (r["score"] >= quality.THRESHOLD)
+
+
+def test_fits_of_uneven_hashes_and_repeated_ids_are_settled(spark):
+    rows = [(1, f"the text of number {i} is here and it is not long at all", "en") for i in range(40)] + [(2, f"le texte du numéro {i} est ici et il ne dit pas plus", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for turned in (docs, docs.orderBy(F.col("text").desc()).repartition(3)):
+        assert quality.fit(turned, sample=5).w.tolist() == quality.fit(docs, sample=5).w.tolist()
+        assert langid.fit(turned, sample=5).w.tolist() == langid.fit(docs, sample=5).w.tolist()
+        labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+        assert toxicity.fit(turned, labels).p["out"].tolist() == toxicity.fit(docs, labels).p["out"].tolist()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("labels", "benchmark"):
+        common.documents(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    good = " ".join(r["text"] for r in common.documents(spark, SF).where("length(text) between 300 and 900").orderBy("doc_id").limit(3).collect())
+    rows = [*ODD, (20, good), (21, good), (22, re.sub("[a-z]", lambda m: m[0].upper(), good)), (20, good), (None, good), (23, None)]
+    docs = table(spark, rows)
+    for own in (docs, docs.where("doc_id > 99")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.staged(stage(spark, own, str(tmp_path)), name)
+            assert out.columns == docs.columns and out.count() <= own.count()
+            own = out
+        pieces = corpus_pipeline.STAGES[-1][1](spark, own, str(tmp_path))
+        left = own.select("doc_id").collect()
+        assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {r["doc_id"] for r in left}
+        assert sum(r["doc_id"] in (20, 21, 22) for r in left) <= 1
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, toxicity.WINDOW, toxicity.WINDOW + 1, 500):
         of, first, place = toxicity.windows_of([3, n])
