@@ -85,6 +85,11 @@ def occurrence_rank(counts: Column) -> Column:
     return F.when(F.exists(counts, lambda n: n == 0), 0.0).otherwise(F.coalesce(F.round(total, 12), F.lit(0.0)))
 
 
+def repaired(raw: Column) -> Column:
+    """A binary column as text, with a space for each run of bytes that isn't UTF-8."""
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(" "))
+
+
 def approx_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import staging
 from ..functions import text
 from ..sources import code
 
@@ -114,3 +115,50 @@ def outline_text(rows: DataFrame) -> DataFrame:
     """path, outline: one compact text a file."""
     lines = F.array_sort(F.collect_list(F.struct(F.col("metadata")["line"].cast("int").alias("line"), "title")))
     return rows.where("kind = 'symbol'").groupBy(F.col("metadata")["path"].alias("path")).agg(F.array_join(F.transform(lines, lambda x: F.format_string("%5d  %s", x["line"], x["title"])), "\n").alias("outline"))
+
+
+def updated(stored: DataFrame, facts: DataFrame, files: DataFrame, project: str = "default") -> dict[str, DataFrame]:
+    """status of each file, and the rows and facts of a project after its files (path, text) were read again.
+
+    Rows and facts of new, changed and deleted files go, and new and changed files are parsed; others aren't looked into.
+    """
+    own = stored.where((F.col("scope") == f"codeindex:{project}"))
+    known = own.where("kind = 'file'").select(F.col("metadata")["path"].alias("path"), F.col("metadata")["checksum"].alias("checksum"))
+    status = staging.staged(sync(known, files.select("path", text.source_checksum(F.col("text")).alias("checksum"))), "status")
+    touched = status.where("status != 'unchanged'").select("path")
+    again = rows_of(files.join(status.where("status in ('new', 'modified')").select("path"), "path", "left_semi"), project)
+    new = again["symbols"].union(again["dependencies"]).union(again["files"])
+    left = invalidated(own, touched).select(*new.columns)
+    return {"status": status, "rows": left.union(new), "facts": without_edges(facts, touched).select("scope", "subject", "predicate", "object").union(again["facts"])}
+
+
+def without_edges(facts: DataFrame, paths: DataFrame) -> DataFrame:
+    """Facts without what modules of these files require."""
+    gone = paths.select(text.path_module(F.col("path")).alias("subject")).withColumn("predicate", F.lit("requires")).distinct()
+    return facts.join(gone, ["subject", "predicate"], "left_anti")
+
+
+MOST_DIFF = 3000
+
+
+def diff_rows(hunks: DataFrame, names: DataFrame, commit: str, message: str, project: str = "default") -> DataFrame:
+    """Memory rows of hunks (hunk_id, file_path, from_line, to_line, raw) with the symbols (hunk_id, name) that they touch."""
+    touched = names.groupBy("hunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    body = F.concat(F.lit(f"{message}\n---\n" if message else ""), "raw")
+    meta = F.create_map(F.lit("commit"), F.lit(commit), F.lit("file_path"), F.col("file_path"), F.lit("from_line"), F.col("from_line").cast("string"), F.lit("to_line"), F.col("to_line").cast("string"), F.lit("symbols"), F.coalesce(F.array_join("names", ","), F.lit("")))
+    own = hunks.join(touched, "hunk_id", "left")
+    return own.select(F.lit(f"codeindex:{project}").alias("scope"), F.lit("diff").alias("kind"), F.concat(F.lit(f"{commit[:8]}: "), "file_path").alias("title"), text.clip(body, MOST_DIFF).alias("body"), F.lit(DIFF).alias("importance"), meta.alias("metadata"))
+
+
+def hits_text(found: DataFrame) -> DataFrame:
+    """text: search results (title, score, metadata) as one line each, the best first; results are bounded."""
+    place = F.concat_ws(":", F.coalesce(F.col("metadata")["path"], F.col("metadata")["from_path"], F.col("metadata")["file_path"]), F.col("metadata")["line"])
+    line = F.concat(F.format_string("%.3f  ", F.col("score")), "title", F.when(place != "", F.concat(F.lit("  ("), place, F.lit(")"))).otherwise(""))
+    own = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "title", line.alias("line"))))
+    return found.agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"))
+
+
+def explore_text(found: DataFrame) -> DataFrame:
+    """module, text: what explore() found of a module, its leg first, then its symbols."""
+    names = F.array_join(F.array_sort(F.collect_set("name")), ", ")
+    return found.groupBy("module", "leg").agg(names.alias("names")).select("module", F.concat(F.lit("["), "leg", F.lit("] "), "module", F.lit(": "), "names").alias("text"))

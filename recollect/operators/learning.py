@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .search import FEATURES, PRIOR
+from .search import FEATURES, PRIOR, pool_features
 
 #: Weights of a triple by its signal; others weigh 1.
 SIGNAL_WEIGHTS = {"mistake": 3.0, "reversal": 3.0, "direct_command": 3.0, "miss": 3.0, "praise": 2.0}
@@ -103,6 +103,82 @@ def decide(n_examples: int, new_loss: float | None, old_loss: float | None, marg
     return "promote" if new_loss < old_loss - margin else "reject"
 
 
+#: Deltas of events that come without one.
+DELTAS = {"direct_command": 1.0, "mistake": 0.5, "reversal": 0.5, "praise": 0.5, "miss": 0.5}
+
+
+def retrieval_rows(found: DataFrame, as_of: Column) -> DataFrame:
+    """Rows for the retrieval log of results (scope, query, id, rank); a query without text or results has none."""
+    own = found.where("scope != '' and query != '' and id is not null")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
+    return own.groupBy("scope", "query").agg(ids.alias("candidate_ids")).withColumn("created_at", as_of)
+
+
+def reinforcement_rows(events: DataFrame, as_of: Column) -> DataFrame:
+    """Rows for the log of reinforcements (memory_id, scope, event_type, delta, note), with `error` for those that can't be logged."""
+    default = F.lit(None).cast("double")
+    for kind, delta in DELTAS.items():
+        default = F.when(F.col("event_type") == kind, delta).otherwise(default)
+    error = F.when(F.col("memory_id").isNull(), "memory_id required").when(default.isNull(), F.concat(F.lit("unknown event_type "), F.coalesce("event_type", F.lit("null"))))
+    return events.withColumns({"delta": F.coalesce(F.col("delta").cast("double"), default), "created_at": as_of, "error": error})
+
+
+def logged(rows: DataFrame, path: str) -> None:
+    """Appends to a log, whose files are dealt by scope."""
+    rows.write.mode("append").partitionBy("scope").parquet(path)
+
+
+def examples(triples: DataFrame, pools: DataFrame) -> DataFrame:
+    """scope, query, positive, weight, id, is_positive and f_<feature> of every row of the pools (scope, query, id and what pool_features reads) that hold their triple's positive.
+
+    Reuse is how many triples have a row as their positive.
+    """
+    reuse = triples.groupBy("scope", F.col("positive").alias("id")).agg(F.count("*").alias("reuse_count"))
+    scaled = pool_features(pools.join(reuse, ["scope", "id"], "left"), ["scope", "query"])
+    own = scaled.join(triples.select("scope", "query", "positive", "weight"), ["scope", "query"])
+    w = Window.partitionBy("scope", "query", "positive")
+    own = own.withColumn("is_positive", F.col("id") == F.col("positive")).withColumn("_has", F.max("is_positive").over(w)).where("_has")
+    return own.select("scope", "query", "positive", "weight", "id", "is_positive", *[f"f_{k}" for k in FEATURES])
+
+
+def promotion(found: DataFrame, registry: DataFrame, scope: str, as_of: Column, margin: float = 0.0, min_samples: int = MIN_SAMPLES, share: float = GATE_SHARE, dry_run: bool = False, **training) -> dict:
+    """Trains on a scope's examples, holds every n-th one out, and promotes weights that beat the current ones there.
+
+    Gives decision, n_train, n_gate, losses, the new registry, and a row for the audit. Examples are harvested in bounded
+    numbers, and training is a sequence of steps, so both are on the driver.
+    """
+    spark = found.sparkSession
+    rows = found.where(F.col("scope") == scope).orderBy("query", "positive", "id").collect()
+    by: dict[tuple, dict] = {}
+    for r in rows:
+        x = by.setdefault((r["query"], r["positive"]), {"features": [], "positive": None, "weight": r["weight"]})
+        if r["is_positive"]:
+            x["positive"] = len(x["features"])
+        x["features"].append({k: r[f"f_{k}"] for k in FEATURES})
+    every, own = max(2, math.floor(1 / share)), list(by.values())
+    gate = [x for i, x in enumerate(own, 1) if i % every == 0]
+    kept = [x for i, x in enumerate(own, 1) if i % every]
+    new = new_loss = old_loss = None
+    if len(own) >= min_samples and kept and gate:
+        current = registry.where((F.col("scope") == scope) & (F.col("kind") == "reranker") & F.col("is_current")).orderBy(F.col("version").desc()).first()
+        new = train(kept, **training)
+        new_loss, old_loss = mean_loss(gate, new), mean_loss(gate, current["weights"] if current else PRIOR)
+    decision = decide(len(own), new_loss, old_loss, margin, min_samples)
+    if decision == "promote" and not dry_run:
+        entry = spark.createDataFrame([(scope, "reranker", new, new_loss)], "scope string, kind string, weights map<string,double>, score double").withColumn("created_at", as_of)
+        registry = registered(registry, entry)
+    told = f"would-{decision}" if dry_run and decision != "skip" else decision
+    note = f"{len(own)} examples, {min_samples} needed" if decision == "skip" else None
+    audit = spark.createDataFrame([(scope, "reranker", told, new_loss, old_loss, len(kept), len(gate), note)], "scope string, kind string, decision string, new_score double, incumbent_score double, n_train int, n_gate int, note string").withColumn("created_at", as_of)
+    return {"decision": told, "weights": new, "registry": registry, "audit": audit}
+
+
+def mean_loss(examples: list[dict], weights: dict[str, float]) -> float:
+    """Mean pairwise logistic loss of examples as train() takes them."""
+    margins = [score_one(weights, x["features"][x["positive"]]) - score_one(weights, other) for x in examples for j, other in enumerate(x["features"]) if j != x["positive"]]
+    return sum(math.log1p(math.exp(-max(-30.0, min(30.0, m)))) for m in margins) / len(margins) if margins else 0.0
+
+
 def registered(registry: DataFrame, new: DataFrame) -> DataFrame:
     """The registry with new weights (scope, kind, weights, score, note, created_at) as each scope's next version, current."""
     last = registry.groupBy("scope", "kind").agg(F.max("version").alias("last"))

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import scores
-from . import graph, search
+from .. import staging
+from ..functions import scores, text
+from . import graph, models, search, store
 
 #: Defaults.
 DECAYED, CLUSTER, LEADER, REINFORCE = 0.05, 0.85, 0.80, 0.75
@@ -111,10 +112,14 @@ def best_body(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.max_by("body", F.struct("importance", (-F.col("id")).alias("first"))).alias("body"), F.avg("importance").alias("importance"), F.count("*").alias("proof_count"))
 
 
+QUOTE = 200
+
+
 def consolidated(rows: DataFrame, known: DataFrame, as_of: Column, threshold: float = LEADER, reinforce: float = REINFORCE) -> DataFrame:
-    """What each cluster of unconsolidated rows does: scope, cluster_id, ids, action, observation_id, body, importance.
+    """What each cluster of unconsolidated rows does: scope, cluster_id, ids, quotes, action, observation_id, body, importance.
 
     action is reinforced, with the nearest observation if that is near enough to the cluster's pivot, or synthesised.
+    ids and quotes (bodies cut at QUOTE) go in order of ids.
     """
     own = rows.where("consolidated_at is null and embedding is not null")
     member = leader_clusters(own, threshold)
@@ -123,22 +128,30 @@ def consolidated(rows: DataFrame, known: DataFrame, as_of: Column, threshold: fl
     best = best.select(F.col("query_id").alias("cluster_id"), (-F.col("id") - 1).alias("observation_id"))
     full = member.join(own.select("id", "body", "importance"), "id")
     bodies = best_body(full, ["scope", "cluster_id"])
-    ids = full.groupBy("scope", "cluster_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    out = bodies.join(ids, ["scope", "cluster_id"]).join(best, "cluster_id", "left")
+    said = full.groupBy("scope", "cluster_id").agg(F.array_sort(F.collect_list(F.struct("id", text.clip(F.coalesce("body", F.lit("")), QUOTE).alias("quote")))).alias("own"))
+    said = said.select("scope", "cluster_id", F.col("own.id").alias("ids"), F.col("own.quote").alias("quotes"))
+    out = bodies.join(said, ["scope", "cluster_id"]).join(best, "cluster_id", "left")
     action = F.when(F.col("observation_id").isNotNull(), "reinforced").otherwise("synthesised")
-    return out.select("scope", "cluster_id", "ids", action.alias("action"), "observation_id", "body", "importance", "proof_count", as_of.alias("at"))
-
+    return out.select("scope", "cluster_id", "ids", "quotes", action.alias("action"), "observation_id", "body", "importance", "proof_count", as_of.alias("at"))
 
 
 def reinforced(observations: DataFrame, outcome: DataFrame, as_of: Column) -> DataFrame:
-    """Observations with what consolidation found added: proofs, evidence, time and trend (from the new count)."""
-    add = outcome.where("action = 'reinforced'").groupBy(F.col("observation_id").alias("id")).agg(F.flatten(F.collect_list("ids")).alias("more"))
-    out = observations.join(add, "id", "left")
-    count = F.col("proof_count") + F.coalesce(F.size("more"), F.lit(0))
+    """Observations with what consolidation found added: proofs, evidence, quotes, time and trend (from the new count)."""
+    own = F.array_sort(F.collect_list(F.struct("cluster_id", "ids", "quotes")))
+    add = outcome.where("action = 'reinforced'").groupBy(F.col("observation_id").alias("id")).agg(own.alias("own"))
+    out = observations.join(add.select("id", F.flatten("own.ids").alias("more"), F.flatten("own.quotes").alias("more_quotes")), "id", "left")
     last = F.when(F.col("more").isNotNull(), as_of).otherwise(F.col("last_reinforced"))
-    evidence = F.concat("evidence_ids", F.coalesce("more", F.array().cast("array<long>")))
-    out = out.withColumns({"proof_count": F.when(F.col("more").isNotNull(), count).otherwise(F.col("proof_count")), "evidence_ids": evidence, "last_reinforced": last})
-    return out.withColumn("freshness_trend", scores.freshness(F.col("last_reinforced"), F.col("proof_count"), as_of)).drop("more")
+    out = out.withColumns({"proof_count": F.col("proof_count") + F.coalesce(F.size("more"), F.lit(0)), "evidence_ids": F.concat("evidence_ids", F.coalesce("more", F.array().cast("array<long>"))), "last_reinforced": last})
+    if "evidence_quotes" in observations.columns:
+        out = out.withColumn("evidence_quotes", F.concat("evidence_quotes", F.coalesce("more_quotes", F.array().cast("array<string>"))))
+    return out.withColumn("freshness_trend", scores.freshness(F.col("last_reinforced"), F.col("proof_count"), as_of)).drop("more", "more_quotes")
+
+
+def synthesised(outcome: DataFrame, embedder: models.Embedder, first_id: int) -> DataFrame:
+    """New observations of the clusters that reinforce none, with vectors of their own bodies; ids follow from the clusters'."""
+    own = outcome.where("action = 'synthesised' and body != ''")
+    new = own.select((F.lit(first_id) + F.col("cluster_id")).alias("id"), "scope", "body", F.col("proof_count").cast("int"), F.col("ids").alias("evidence_ids"), F.col("quotes").alias("evidence_quotes"), F.lit("new").alias("freshness_trend"), F.col("at").alias("last_reinforced"), F.col("at").alias("created_at"), F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("importance"))).alias("importance"))
+    return models.embedded(new, "body", embedder).drop("was_truncated", "embed_error")
 
 
 def tier_promotions(rows: DataFrame, observations: DataFrame, events: DataFrame, proofs: int = TIER2_PROOFS, least: int = TIER3_EVENTS) -> DataFrame:
@@ -163,13 +176,89 @@ def escalation(rows: DataFrame, events: DataFrame, alpha: float = 0.4) -> DataFr
     return out.select("id", "n_mistakes", F.col("importance").cast("double").alias("old_importance"), new.alias("new_importance"), scores.tier_of(new).alias("new_tier"))
 
 
-def digested(rows: DataFrame, known: DataFrame, events: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """The parts of a digest of tier-0 rows: outcome of consolidation, escalation, promotions and what is left after purging."""
-    fresh = rows.where("tier = 0 and consolidated_at is null")
-    outcome = consolidated(fresh, known, as_of)
-    stamped = rows.join(outcome.select(F.explode("ids").alias("id")).distinct().withColumn("_done", F.lit(True)), "id", "left")
-    stamped = stamped.withColumn("consolidated_at", F.when(F.col("_done"), as_of).otherwise(F.col("consolidated_at"))).drop("_done")
-    return {"outcome": outcome, "escalation": escalation(fresh, events), "promotions": tier_promotions(rows, reinforced(known, outcome, as_of), events), "rows": purged(stamped, as_of)}
+#: Rows of a scope that one digest takes.
+DIGEST_ROWS = 500
+
+
+def digest_clusters(rows: DataFrame, events: DataFrame, threshold: float = LEADER, most: int = DIGEST_ROWS) -> DataFrame:
+    """scope, cluster_id, place (from 1 in its scope), best_id, importance, ids, n_mistakes: clusters of the tier-0 rows a digest takes.
+
+    Of each scope the most important rows, then the oldest, form clusters in that order; the first of the most important
+    members is the best one.
+    """
+    w = Window.partitionBy("scope").orderBy(F.col("importance").desc(), "created_at", "id")
+    own = rows.where("tier = 0 and consolidated_at is null").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    member = leader_clusters(own, threshold, order=["_rn"]).join(own.select("id", "_rn", "importance"), "id")
+    mistakes = events.where("event_type = 'mistake'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"))
+    found = member.join(mistakes, "id", "left").groupBy("scope", "cluster_id").agg(
+        F.min("_rn").alias("first"), F.max_by(F.struct("id", "importance"), F.struct("importance", (-F.col("_rn")).alias("r"))).alias("best"), F.sort_array(F.collect_list("id")).alias("ids"), F.sum(F.coalesce("n", F.lit(0))).alias("n_mistakes")
+    )
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("first"))
+    return found.select("scope", "cluster_id", place.alias("place"), F.col("best.id").alias("best_id"), F.col("best.importance").alias("importance"), "ids", "n_mistakes")
+
+
+def digested(rows: DataFrame, known: DataFrame, events: DataFrame, as_of: Column, embedder: models.Embedder, first_id: int) -> dict[str, DataFrame]:
+    """A digest of tier-0 rows: clusters, escalation, outcome (of consolidation), observations, promotions, and the rows it leaves.
+
+    Consolidation runs once a scope, after its first cluster was looked at. A cluster whose best row is like no
+    observation (none with a positive cosine: for the first cluster those before, for others also those that
+    consolidation adds) has its best row escalated by the cluster's mistakes. All its rows are stamped; rows stamped
+    longer than the grace time ago are purged.
+    """
+    clusters = staging.staged(digest_clusters(rows, events), "clusters")
+    touched = rows.join(clusters.select("scope").distinct(), "scope", "left_semi")
+    outcome = staging.staged(consolidated(touched, known, as_of), "outcome")
+    new = staging.staged(synthesised(outcome, embedder, first_id), "observations")
+    after = reinforced(known, outcome, as_of).unionByName(new, allowMissingColumns=True)
+    best = clusters.join(rows.select(F.col("id").alias("best_id"), "embedding"), "best_id")
+    like = lambda c, o: search.batch_top(c.select(F.col("best_id").alias("id"), "scope", "embedding"), o.select((-F.col("id") - 1).alias("id"), "scope", "embedding"), "id", "embedding", 1, F.col("scope"), 1e-12).select(F.col("query_id").alias("best_id"))
+    hit = like(best.where("place = 1"), known).union(like(best.where("place > 1"), known.select("id", "scope", "embedding").union(new.select("id", "scope", "embedding"))))
+    new_importance = scores.escalated(F.col("importance"), F.col("n_mistakes"))
+    escalation = clusters.where("n_mistakes > 0").join(hit, "best_id", "left_anti").select(F.col("best_id").alias("id"), F.col("importance").cast("double").alias("old_importance"), new_importance.alias("new_importance"), scores.tier_of(new_importance).alias("new_tier"), "n_mistakes")
+    escalation = staging.staged(escalation, "escalation")
+    done = outcome.select(F.explode("ids").alias("id")).union(clusters.select(F.explode("ids"))).distinct().withColumn("_done", F.lit(True))
+    out = rows.join(done, "id", "left").join(escalation.select("id", "new_importance", "new_tier"), "id", "left")
+    out = out.withColumns({"consolidated_at": F.when(F.col("_done"), as_of).otherwise(F.col("consolidated_at")), "importance": F.coalesce("new_importance", F.col("importance").cast("double")), "tier": F.coalesce("new_tier", "tier")}).drop("_done", "new_importance", "new_tier")
+    return {"clusters": clusters, "escalation": escalation, "outcome": outcome, "observations": after, "promotions": tier_promotions(out, after, events), "rows": purged(out, as_of)}
+
+
+def summarise_run(rows: DataFrame, as_of: Column, summariser: Callable = models.noop, first_id: int = 0, dry_run: bool = False, **options) -> dict[str, DataFrame]:
+    """Rows of low weight and some age by batches: summaries (with an error where there is none), and the rows with each batch replaced by its summary."""
+    batches = summarization_batches(rows, as_of, **options)
+    own = batches.join(rows.select("id", "title", "body", "importance"), "id")
+    found = staging.staged(models.summarised(own, ["scope", "batch"], ["position"], summariser), "summaries")
+    good = found.where("error is null")
+    key = F.pmod(F.xxhash64("scope", "batch"), F.lit(1 << 40))
+    summary = good.select((F.lit(first_id) + key).alias("id"), "scope", F.lit("summary").alias("kind"), "title", "body", F.lit(1.0).alias("importance"), F.lit(0.0).alias("decay_rate"), as_of.alias("created_at"), as_of.alias("updated_at"))
+    left = rows if dry_run else store.replaced(rows, good.select(F.explode("source_ids").alias("id")), summary)
+    return {"summaries": found, "rows": left}
+
+
+def consolidate_run(rows: DataFrame, as_of: Column, summariser: Callable | None = None, first_id: int = 0, dry_run: bool = False, threshold: float = CLUSTER) -> dict[str, DataFrame]:
+    """Expires decayed rows, finds near-duplicate clusters, and, with a summariser, puts a summary in place of each cluster."""
+    gone = find_decayed(rows, as_of)
+    found = staging.staged(clusters(rows, threshold), "clusters")
+    out = rows if dry_run else expired(rows, gone)
+    merged = found.limit(0).select("scope", "cluster_id")
+    if summariser and not dry_run:
+        own = found.join(rows.select("id", "title", "body"), "id")
+        told = staging.staged(models.summarised(own, ["scope", "cluster_id"], ["id"], summariser), "summaries").where("error is null")
+        summary = told.select((F.lit(first_id) + F.col("cluster_id")).alias("id"), "scope", F.lit("summary").alias("kind"), "title", "body", F.lit(1.0).alias("importance"), F.lit(0.0).alias("decay_rate"), as_of.alias("created_at"), as_of.alias("updated_at"))
+        out, merged = store.replaced(out, told.select(F.explode("source_ids").alias("id")), summary), told.select("scope", "cluster_id")
+    return {"expired": gone.select("id"), "clusters": found, "merged": merged, "rows": out}
+
+
+def promote_session(rows: DataFrame, source: str, target: str, as_of: Column, summariser: Callable = models.noop, new_id: int = 0, delete_source: bool = False, limit: int = 200) -> DataFrame:
+    """rows with a long-term summary of a session's oldest rows, which has their ids as its sources; the session's rows may go."""
+    if not source or not target or source == target:
+        raise ValueError("a session's scope and another one to promote it to are required")
+    own = store.list_by_scope(rows, source, limit)
+    told = models.summarised(own.withColumn("_at", F.unix_micros("created_at")), ["scope"], ["_at", "id"], summariser).where("error is null")
+    title = F.when(F.col("title").startswith("[promoted] "), F.col("title")).otherwise(F.concat(F.lit("[promoted] "), "title"))
+    meta = F.create_map(F.lit("promoted_from"), F.col("scope"), F.lit("source_ids"), F.array_join(F.col("source_ids").cast("array<string>"), ","))
+    row = told.select(F.lit(new_id).cast("long").alias("id"), F.lit(target).alias("scope"), F.lit("summary").alias("kind"), title.alias("title"), "body", F.lit(1.0).alias("importance"), F.lit(0.0).alias("decay_rate"), meta.alias("metadata"), as_of.alias("created_at"), as_of.alias("updated_at"))
+    left = rows.join(own.select("id"), "id", "left_anti") if delete_source else rows
+    return left.unionByName(row, allowMissingColumns=True)
 
 
 def folded_events(rows: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
+from . import learning, models, search
 
 #: Patterns of signals on lower-cased text, what they signal, and how sure they are.
 SIGNALS = (
@@ -125,6 +126,36 @@ def unseen(found: DataFrame, reinforcements: DataFrame) -> DataFrame:
     return own.join(known, ["scope", "_marker"], "left_anti").withColumnRenamed("_marker", "note")
 
 
+def attributed(found: DataFrame, memories: DataFrame, embedder: models.Embedder, least: float = MIN_SIMILARITY) -> DataFrame:
+    """Signals (id, scope, text and others) with memory_id and similarity: the nearest memory (id, scope, embedding) of the scope, if near enough."""
+    told = models.embedded(found.select("id", "scope", "text").dropDuplicates(["id"]), "text", embedder)
+    best = search.batch_top(told.select("id", "scope", F.col("embedding")), memories.select((-F.col("id") - 1).alias("id"), "scope", "embedding"), "id", "embedding", 1, F.col("scope"), least)
+    return found.join(best.select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("memory_id"), "similarity"), "id", "left")
+
+
+def recorded(found: DataFrame, memories: DataFrame, embedder: models.Embedder, reinforcements: DataFrame, retrievals: DataFrame, as_of: Column, least: float = MIN_CONFIDENCE, scale: float = 1.0) -> DataFrame:
+    """Reinforcements that signals (id, scope, text, event_type, confidence) give: of the memory each refers to, once a memory and type, none that is noted already.
+
+    A mistake about a memory that retrieval never showed is a miss.
+    """
+    own = attributed(found.where(F.col("confidence") >= least), memories, embedder).where("memory_id is not null")
+    own = learning.misses(own, retrievals).withColumn("event_type", F.col("final_type")).drop("final_type")
+    one = F.min(F.struct("id", "text", "confidence")).alias("own")
+    own = own.groupBy("scope", "memory_id", "event_type").agg(one).select("scope", "memory_id", "event_type", "own.text", "own.confidence")
+    own = own.withColumn("_marker", marker(F.concat_ws("|", "scope", "text", "event_type")))
+    known = reinforcements.where(F.col("note").startswith("sensing:")).select("scope", "memory_id", F.substring("note", 1, 16).alias("_marker")).distinct()
+    new = own.join(known, ["scope", "memory_id", "_marker"], "left_anti")
+    return new.select("memory_id", "scope", "event_type", (F.col("confidence") * scale).alias("delta"), F.concat_ws(" ", "_marker", F.substring("text", 1, 80)).alias("note"), as_of.alias("created_at"))
+
+
+def parsed_extractions(rows: DataFrame, answer: str) -> DataFrame:
+    """rows with event_type, statement and confidence of each object in a model's answer, a JSON array; answers that aren't one give none."""
+    kind = "array<struct<event_type:string,statement:string,confidence:double>>"
+    array = F.regexp_extract(F.col(answer), r"(?s)(\[.*\])", 1)
+    own = rows.withColumn("_x", F.explode(F.from_json(array, kind))).select(*rows.columns, "_x.*")
+    return own.where(F.col("event_type").isin(*EVENT_OF.values(), "reversal") & (F.trim("statement") != ""))
+
+
 def grounded(found: DataFrame, statement: str, source: str, least: int = 2) -> DataFrame:
     """Extractions that share at least so many words of four letters or more with their source."""
     return found.where(text.shared_words(F.col(statement), F.col(source)) >= least)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import staging
 from ..functions import scores, vectors
-from ..operators import learning, lifecycle, search, sensing
+from ..operators import learning, lifecycle, models, search, sensing
 from ..streaming import jobs
-from .fixtures import FEEDBACK, MEMORIES, TURNS, as_of, memories, reinforcements, retrievals, rounded, seconds, table, turns
+from .fixtures import FEEDBACK, MEMORIES, TURNS, as_of, day, memories, reinforcements, retrievals, rounded, seconds, table, turns
 from .registry import query
 
 
@@ -227,9 +227,9 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unconsolidated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("scope"), F.concat(F.lit("body "), F.col("vec_id").cast("string")).alias("body"), "embedding", (F.col("vec_id") % 12 / F.lit(10.0)).alias("importance"), F.lit(None).cast("timestamp").alias("consolidated_at"), as_of().alias("updated_at"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("scope"), F.concat(F.lit("body "), F.col("vec_id").cast("string")).alias("body"), "embedding", (F.col("vec_id") % 12 / F.lit(10.0)).alias("importance"), F.lit(None).cast("timestamp").alias("consolidated_at"), as_of().alias("updated_at"), day("2024-01-01", F.col("vec_id") % 50).alias("created_at"))
     rows = rows.withColumn("tier", scores.tier_of(F.col("importance")))
-    known = rows.where("id % 10 = 0").select("id", "scope", "embedding", F.lit(3).alias("proof_count"), F.array("id").alias("evidence_ids"), F.lit("stable").alias("freshness_trend"), as_of().alias("last_reinforced"))
+    known = rows.where("id % 10 = 0").select("id", "scope", "embedding", F.lit(3).alias("proof_count"), F.array("id").alias("evidence_ids"), F.array("body").alias("evidence_quotes"), F.lit("stable").alias("freshness_trend"), as_of().alias("last_reinforced"))
     return rows.where("id % 10 != 0"), known
 
 
@@ -237,7 +237,7 @@ def _unconsolidated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, known = _unconsolidated(spark, sf_dir)
     found = lifecycle.consolidated(rows, known, as_of(), 0.3, 0.25)
-    return found.select("scope", "cluster_id", "ids", "action", "observation_id", "body", rounded("importance").alias("importance"), "proof_count")
+    return found.select("scope", "cluster_id", "ids", "action", "observation_id", "body", "quotes", rounded("importance").alias("importance"), "proof_count")
 
 
 @query()
@@ -251,7 +251,7 @@ def reinforced_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a digest leaves of the rows, with the stamps of those it consolidated."""
     rows, known = _unconsolidated(spark, sf_dir)
-    parts = lifecycle.digested(rows, known, reinforcements(spark, sf_dir), as_of())
+    parts = lifecycle.digested(rows, known, reinforcements(spark, sf_dir), as_of(), models.HashEmbedder(64), 1_000_000)
     return parts["rows"].select("id", "scope", "tier", seconds("consolidated_at").alias("consolidated_at"))
 
 

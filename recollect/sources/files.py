@@ -50,3 +50,36 @@ def ctags(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("_type string, name string, path string, line int, kind string, scope string, signature string").json(path)
     kind = F.when(F.col("kind").isin("function", "func", "subroutine"), "function").when(F.col("kind").isin("method", "member"), "method").when(F.col("kind").isin("class", "struct", "interface", "trait"), "class").otherwise(F.col("kind"))
     return rows.where("_type = 'tag'").select("path", "name", F.concat_ws(".", "scope", "name").alias("full_name"), kind.alias("symbol_type"), "line")
+
+
+#: Files that tell agents what to do, and folders of decisions.
+AGENT_FILES = (".github/copilot-instructions.md", ".cursorrules", "AGENTS.md", "CLAUDE.md", ".cursor/rules", ".aider.conf.yml", ".copilot/instructions.md")
+DECISION_FOLDERS = ("docs/adr", "docs/decisions", "adr", "decisions", "rfcs")
+#: Importance of calibration rows, least length of a file and of a section, and most of a decision's text.
+AGENT, DECISION, LEAST_FILE, LEAST_SECTION, MOST_DECISION = 5.0, 4.0, 50, 40, 4000
+
+
+def agent_rows(files: DataFrame) -> DataFrame:
+    """title, body, importance, source of each section of files (path, text) with instructions for agents."""
+    own = files.where(F.col("path").isin(*AGENT_FILES) & (F.length("text") > LEAST_FILE))
+    parts = markdown_sections(own, "path", "text").where(F.length("section") > LEAST_SECTION)
+    told = parts.select(F.concat(F.lit("Agent instructions / "), "title").alias("title"), F.col("section").alias("body"), F.col("path").alias("source"))
+    whole = own.join(parts.select("path").distinct(), "path", "left_anti").select(F.concat(F.lit("Agent instructions: "), "path").alias("title"), F.col("text").alias("body"), F.col("path").alias("source"))
+    return told.union(whole).withColumn("importance", F.lit(AGENT))
+
+
+def decision_rows(files: DataFrame) -> DataFrame:
+    """title, body, importance, source of markdown files of decision folders; the first heading is the title, else the file's name."""
+    below = "|".join(re.escape(x) for x in DECISION_FOLDERS)
+    own = files.where(F.col("path").rlike(rf"^(?:{below})/(?:[^/]+/)?[^/]+\.md$") & (F.length("text") > LEAST_FILE))
+    heading = F.regexp_extract("text", r"^#\s+([^\n]*?)\s*\n", 1)
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.md$", 1), r"^\d+[-_]", ""), "[-_]", " ")
+    return own.select(F.concat(F.lit("ADR: "), F.trim(F.when(heading != "", heading).otherwise(name))).alias("title"), F.substring("text", 1, MOST_DECISION).alias("body"), F.col("path").alias("source"), F.lit(DECISION).alias("importance"))
+
+
+def commits(logs: DataFrame, body: str = "text") -> DataFrame:
+    """commit, at, subject of each line of git logs that were written as hash, epoch and subject, divided by tabs."""
+    line = F.explode(F.split(F.col(body), "\n"))
+    part = F.split("line", "\t", 3)
+    own = logs.select(line.alias("line")).where(F.col("line").rlike("^[0-9a-f]{7,40}\t[0-9]+\t."))
+    return own.select(part[0].alias("commit"), F.timestamp_seconds(part[1].cast("long")).alias("at"), part[2].alias("subject"))

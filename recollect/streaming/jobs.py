@@ -50,6 +50,20 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def pending_scopes(rows: DataFrame, scope: str = "scope") -> DataFrame:
+    """The scopes that a batch of writes marks as pending."""
+    return rows.select(scope).where(F.col(scope) != "").distinct()
+
+
+def consolidating(stream: DataFrame, run: Callable[[DataFrame], None], checkpoint: str, every: str | None = None):
+    """Runs run(pending scopes) after each batch of writes: once for what is there, or every so often (such as "1 hour").
+
+    A scope that is written to while it is worked on is pending again in the next batch.
+    """
+    writer = stream.writeStream.foreachBatch(lambda rows, number: run(pending_scopes(rows))).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def drained(spark: SparkSession, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """The rows that a stream gives for what is there, as a table beside its checkpoint."""
     out = f"{checkpoint}/rows"
