@@ -33,7 +33,7 @@ def query_of(title: Column, body: Column, least: int = 8) -> Column:
 
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """A random but repeatable sample, by a hash of the id."""
-    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
 
 
 def safe_k(recalls: list[tuple[int, float]], target: float = 0.85) -> int | None:

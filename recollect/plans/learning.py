@@ -221,7 +221,7 @@ def grounding_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent greedy clusters; the tests hold them against a loop."""
+    """Order-dependent greedy clusters."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("scope"), "embedding")
     return lifecycle.leader_clusters(rows, 0.3)
 
@@ -237,14 +237,15 @@ def _unconsolidated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, known = _unconsolidated(spark, sf_dir)
     found = lifecycle.consolidated(rows, known, as_of(), 0.3, 0.25)
-    return found.select("scope", "cluster_id", "ids", "action", "observation_id", "body", "quotes", rounded("importance").alias("importance"), "proof_count")
+    joined = lambda c, by: F.array_join(F.col(c).cast("array<string>"), by).alias(c)
+    return found.select("scope", "cluster_id", joined("ids", ","), "action", "observation_id", "body", joined("quotes", "|"), rounded("importance").alias("importance"), "proof_count")
 
 
 @query()
 def reinforced_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, known = _unconsolidated(spark, sf_dir)
     found = lifecycle.reinforced(known, lifecycle.consolidated(rows, known, as_of(), 0.3, 0.25), as_of())
-    return found.select("id", "scope", "proof_count", F.size("evidence_ids").alias("n_evidence"), "freshness_trend")
+    return found.select("id", "scope", F.col("proof_count").cast("long").alias("proof_count"), F.size("evidence_ids").cast("long").alias("n_evidence"), "freshness_trend")
 
 
 @query()
@@ -279,6 +280,6 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of a digest, at most one in six hours a scope; the tests hold them against a loop."""
+    """Claims of a digest, at most one in six hours a scope."""
     out = jobs.drained(spark, jobs.debounced(_events(spark, sf_dir).select("scope", "ts"), every=6 * 3600), staging.new_folder(spark, "claims"))
     return out.select("scope", F.unix_micros("claimed_at").alias("claimed_at"))

@@ -3,7 +3,7 @@
 import pytest
 from oracle import SF, connection, same
 
-from recollect.plans import jobs, knowledge, learning, memory, registry, reports, retrieval  # noqa: F401
+from recollect.plans import jobs, knowledge, learning, memory, registry, reports, retrieval, rules  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
