@@ -2,8 +2,10 @@
 
 After a random rotation a vector is cut into blocks, and each block has its own random unit codewords; a filter
 direction is one codeword of each block, so the dot products with all of their combinations are sums of a few block
-products. Each vector is list-decoded to its best directions, that is, to all that exceed its own cap height; vectors
-that share a direction are compared by a 128-bit sign sketch, and the survivors by cosine in double precision.
+products. Each vector is list-decoded to all directions that exceed its own cap height, which is where kept_of()
+directions of a code are left; with one height for all vectors, at the same number of directions on average, half of the
+pairs at the threshold share none. Vectors that share a direction are compared by a 128-bit sign sketch, and the
+survivors by cosine in double precision.
 
 Groups are kept from making all their pairs. Equal vectors are one class. Caps of half the link angle, fitted on a
 bounded sample, take in the dense groups: any two vectors in such a cap are linked by the triangle inequality, so a
@@ -20,11 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, even_join
 from . import common
 
 COSINE = 0.95
-#: Independent codes, best directions kept per code, blocks of a code, and filter directions for each vector.
+#: Independent codes, directions over a vector's cap height in a code of up to 2**23 vectors, blocks of a code, and filter directions for each vector.
 CODES, KEPT, BLOCKS, DIRECTIONS = 2, 16, 4, 8
 #: Bits by which the sketches of a pair may differ: over 6 standard deviations beyond the mean at the link angle.
 SKETCH_BITS, SKETCH_MOST = 128, 35
@@ -34,6 +36,11 @@ SEED = 11
 FOUND = "cid long, copies long, filters array<long>, s1 long, s2 long, cap int"
 
 
+def kept_of(n: int) -> int:
+    """Directions over a vector's cap height in a code for n vectors: more with their number, so that recall stays over 0.99 at the threshold."""
+    return max(KEPT, math.ceil(KEPT + 2.4 * (math.log2(max(2, n)) - 23)))
+
+
 class Code:
     """Directions of one product code; made from the seed alone, so that all workers agree."""
 
@@ -113,19 +120,19 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, raw binary")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, kept: int = KEPT, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int = CODES, kept: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite link with nothing. Vectors of
     different lengths never link. Equal vectors link, also under one vec_id (repeated rows): component_id is the least
-    vec_id, and every row that has it is kept. Other columns are ignored; an empty table gives no rows.
+    vec_id, and every row that has it is kept. Vectors may be of any length. Other columns are ignored; an empty table gives no rows.
     """
     rows = common.staged(vectors(embeddings), "vectors")
     classes = rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
     classes = common.staged(classes.where("cid is not null"), "classes")
     counts, links = [], []
     for size, n in sorted((x[0], x[1]) for x in classes.groupBy(F.length("raw")).count().collect()):
-        counted, linked = _links(classes.where(F.length("raw") == size), n, size // 8, cosine, codes, kept, sample)
+        counted, linked = _links(classes.where(F.length("raw") == size), n, size // 8, cosine, codes, kept or kept_of(n), sample)
         counts.append(counted)
         links.append(linked)
     if not counts:
@@ -136,7 +143,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, codes: int =
     found = components(link)
     labelled = classes.join(count, "cid", "left").join(found, classes["cid"] == found["id"], "left")
     labelled = labelled.select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    out = rows.join(labelled, "raw", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = even_join(rows, labelled, "raw", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

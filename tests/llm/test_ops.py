@@ -181,18 +181,21 @@ def test_double_vectors_are_compared_as_doubles(spark):
     assert links(a, low) == [0, 0] and links(a, [b[0] + 1e-9, b[1]]) == [1, 1]
 
 
-def test_filters_recall_pairs_at_the_threshold():
+@pytest.mark.parametrize("n", [57_000, 1_000_000, 1_000_000_000])
+def test_filters_recall_pairs_at_the_threshold(n):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    codes = [embdedup.Code(64, 26, embdedup.SEED + i) for i in range(embdedup.CODES)]
+    words, kept = int(np.ceil((embdedup.DIRECTIONS * n) ** (1 / embdedup.BLOCKS))), embdedup.kept_of(n)
+    codes = [embdedup.Code(64, words, embdedup.SEED + i) for i in range(embdedup.CODES)]
     shared = np.zeros(len(x), bool)
     for c in codes:
-        a, b = c.decode(x, embdedup.KEPT), c.decode(y, embdedup.KEPT)
-        shared |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+        for at in range(0, len(x), 100):
+            a, b = c.decode(x[at : at + 100], kept), c.decode(y[at : at + 100], kept)
+            shared[at : at + 100] |= (a[:, :, None] == b[:, None, :]).any((1, 2))
     assert shared.mean() > 0.99
 
 
