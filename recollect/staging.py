@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of this machine if all of Spark runs on it, and an error otherwise."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file:///tmp/checkpoints/recollect"
         spark.sparkContext.setCheckpointDir(found)
@@ -25,7 +29,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    PATHS[out] = path
+    return out
+
+
+#: Where staged tables lie.
+PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        delete_folder(df.sparkSession, PATHS.pop(df))
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
