@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..staging import delete_folder, new_folder, shared_dir, staged  # noqa: F401
+from ..staging import delete_folder, new_folder, shared_dir, staged, unstaged  # noqa: F401
 
 #: Bytes of text that a Python worker holds as one batch.
 BATCH_BYTES = 16 << 20

@@ -386,8 +386,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _blocks(lists: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """CANDIDATES of all lists; those of over block classes are dealt into blocks, and each pair of blocks is a key.
+def _blocks(lists: DataFrame, points: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """CANDIDATES of all lists, and the staged tables that they read; lists of over block classes are dealt into blocks, and each pair of blocks is a key.
 
     A component of over block classes in a list has blocks of its own; pairs of blocks of one such component have no
     pairs to give. Other classes are dealt by component.
@@ -406,7 +406,7 @@ def _blocks(lists: DataFrame, points: DataFrame, block: int) -> DataFrame:
     grid = known.alias("x").join(known.alias("y"), "list").where("x.block < y.block and not (x.of is not null and y.of is not null and x.of = y.of) or x.block = y.block and x.of is null")
     grid = grid.select("list", F.xxhash64("list", "x.block", "y.block").alias("key"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
     sides = grid.select("list", "key", F.col("bx").alias("block"), F.when(F.col("bx") == F.col("by"), -1).otherwise(0).alias("part")).union(grid.where("bx != by").select("list", "key", "by", F.lit(1)))
-    return whole.union(even_join(dealt, sides, ["list", "block"]).select(*CANDIDATES))
+    return whole.union(even_join(dealt, sides, ["list", "block"]).select(*CANDIDATES)), [size, of, dealt]
 
 
 def filter_place(cid: np.ndarray) -> np.ndarray:
@@ -455,7 +455,10 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     joined = pairs.join(found.withColumnsRenamed({"cid": "a", "set": "x"}), "a").join(found.withColumnsRenamed({"cid": "b", "set": "y"}), "b")
     linked = joined.select("a", "b", "ra", "rb", "x", "y").mapInArrow(check, "a long, b long, ra long, rb long").distinct()
-    return common.staged(linked.select(_node("ra", "a").alias("a"), _node("rb", "b").alias("b")), "verified")
+    linked = common.staged(linked.select(_node("ra", "a").alias("a"), _node("rb", "b").alias("b")), "verified")
+    common.unstaged(pairs, wanted, found)
+    held.unpersist()
+    return linked
 
 
 def _node(rep: str, cid: str) -> F.Column:
@@ -533,9 +536,11 @@ def _labelled(docs: DataFrame, block: int | None = None) -> DataFrame:
     least = [F.min(F.when(F.pmod("list", F.lit(FIRSTS)) == k, F.col("list"))) for k in range(FIRSTS)]
     firsts = lists.groupBy("cid").agg(F.array(*[F.coalesce(x, F.lit((1 << 63) - 1)) for x in least]).alias("firsts"))
     points = points.join(firsts, "cid")
-    rows_of_lists = _blocks(lists, points, block).repartition(F.col("key")).sortWithinPartitions("key", "comp", "n", "cid")
+    rows_of_lists, used = _blocks(lists, points, block)
+    rows_of_lists = rows_of_lists.repartition(F.col("key")).sortWithinPartitions("key", "comp", "n", "cid")
     pairs = rows_of_lists.mapInArrow(_candidates, "a long, b long").distinct()
     linked = _verify(docs, classes, bounded(pairs)).union(led)
+    common.unstaged(lists, large, *used)
 
     found = components(linked).select(F.col("id.cid").alias("cid"), "component")
     labelled = classes.select("cid", _node("rep", "cid").alias("own")).join(found, "cid", "left").select("cid", F.coalesce("component", "own").alias("component"))

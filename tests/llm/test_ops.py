@@ -350,7 +350,7 @@ def test_blocks_of_a_component_meet_all_others(spark):
     lists = spark.createDataFrame([(1, c) for c in range(90)] + [(2, c) for c in range(5)], "list long, cid long")
     points = spark.createDataFrame([(c, 10, b"", 500 if c < 60 else c) for c in range(90)], "cid long, n long, points binary, comp long").withColumn("firsts", F.array())
     by = {}
-    for r in ngramjoin._blocks(lists, points, 8).collect():
+    for r in ngramjoin._blocks(lists, points, 8)[0].collect():
         by.setdefault(r["key"], []).append(r)
     met = {tuple(sorted((x["cid"], y["cid"]))) for own in by.values() for i, x in enumerate(own) for y in own[:i] if x["part"] < 0 or x["part"] != y["part"]}
     assert max(map(len, by.values())) < 40
