@@ -1,4 +1,7 @@
-"""English full-text ranking: stop words, stems, and cover density over positions, in Arrow batches.
+"""English full-text ranking: stop words, stems, and cover density over positions.
+
+postings() is the index: one row for each stem of a text, with its positions; it is made once, in Arrow batches, and
+written. A search reads the rows of its terms only and ranks them in the JVM.
 
 Stems follow Porter's published algorithm. Cover density is that of Clarke, Cormack and Tudhope: each shortest span that
 holds all query terms adds the inverse of its length beyond the number of terms.
@@ -7,9 +10,13 @@ holds all query terms adds the inverse of its length beyond the number of terms.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import text
 
 #: Function words that aren't indexed.
 STOP = frozenset(
@@ -19,6 +26,7 @@ STOP = frozenset(
     "few more most other some such no nor not only own same so than too very s t can will just don should now".split()
 )
 VOWELS = "aeiou"
+WORD, SMALL_LETTERS = re.compile("[a-z0-9]+"), str.maketrans(text.UPPER, text.LOWER)
 
 
 def _consonant(w: str, i: int) -> bool:
@@ -89,7 +97,7 @@ def stem(w: str) -> str:
 
 def lexemes(value: str) -> list[tuple[str, int]]:
     """Stems that are indexed, with their positions from 1; stop words take a position too."""
-    return [(stem(w), i) for i, w in enumerate(re.findall(r"[a-z0-9]+", value.lower()), 1) if w not in STOP]
+    return [(stem(w), i) for i, w in enumerate(WORD.findall(value.translate(SMALL_LETTERS)), 1) if w not in STOP]
 
 
 def terms(query: str) -> list[str]:
@@ -120,3 +128,44 @@ def cover_density(title: Column, body: Column, query: str) -> Column:
         return values.map(lambda v: density(v or "", wanted)).astype("float64")
 
     return run(F.concat_ws(" ", title, body))
+
+
+def postings(rows: DataFrame, key: str, body: Column) -> DataFrame:
+    """key, lexeme, positions (ascending): a text's stems; texts without any have no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                of, names, places = [], [], []
+                for i, value in enumerate(part.column(1).to_pylist()):
+                    own: dict[str, list[int]] = {}
+                    for w, place in lexemes(value or ""):
+                        own.setdefault(w, []).append(place)
+                    of += [i] * len(own)
+                    names += own
+                    places += own.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], [key, "lexeme", "positions"])
+
+    return rows.select(key, body.cast("string").alias("_body")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, lexeme string, positions array<int>")
+
+
+def ranked(index: DataFrame, key: str, query: str) -> DataFrame:
+    """key, fts_score: cover density of the texts that have all terms of a query, from the rows of these terms alone."""
+    wanted = terms(query)
+    own = index.where(F.col("lexeme").isin(*wanted)) if wanted else index.limit(0)
+    term = F.array_position(F.array(*[F.lit(w) for w in wanted] or [F.lit("")]), F.col("lexeme")).cast("int")
+    placed = F.transform("positions", lambda p: F.struct(p.alias("at"), term.alias("term")))
+    by = own.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("own"), F.count("*").alias("n"))
+    n = max(1, len(wanted))
+    start = F.struct(F.array_repeat(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("at")), n).alias("last"), F.lit(0).alias("i"), F.lit(0).alias("left"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        """Where a term's occurrence closes a shortest span that begins beyond the last one's, the span counts."""
+        last = F.transform(s["last"], lambda y, k: F.when(k == x["term"] - 1, F.struct(s["i"].alias("i"), x["at"].alias("at"))).otherwise(y))
+        first = F.array_min(last)
+        counts = first["i"] >= s["left"]
+        total = s["total"] + F.when(counts, 1.0 / (x["at"] - first["at"] + 2 - n)).otherwise(0.0)
+        return F.struct(last.alias("last"), (s["i"] + 1).alias("i"), F.when(counts, first["i"] + 1).otherwise(s["left"]).alias("left"), total.alias("total"))
+
+    return by.where(F.col("n") == n).select(key, F.aggregate("own", start, step)["total"].alias("fts_score"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import staging
 from ..functions import text
 from ..sources import code
+from . import search
 
 NAMES_SHOWN, SYMBOLS_EACH_HUNK = 15, 10
 #: Importance of rows by kind; symbols by whether they are exported.
@@ -117,6 +118,12 @@ def outline_text(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'symbol'").groupBy(F.col("metadata")["path"].alias("path")).agg(F.array_join(F.transform(lines, lambda x: F.format_string("%5d  %s", x["line"], x["title"])), "\n").alias("outline"))
 
 
+def search_code(rows: DataFrame, query: list[float], terms: list[str], as_of: Column, project: str = "default", kind: str | None = None, limit: int = 10, **options) -> DataFrame:
+    """Hybrid search of a project's index, in which words weigh more than vectors."""
+    own = search.filtered(rows, scope=f"codeindex:{project}", kind=kind)
+    return search.hybrid(own, query, terms, as_of, limit, blend=search.CODE_BLEND, **options)
+
+
 def updated(stored: DataFrame, facts: DataFrame, files: DataFrame, project: str = "default") -> dict[str, DataFrame]:
     """status of each file, and the rows and facts of a project after its files (path, text) were read again.
 

@@ -250,6 +250,13 @@ def captured_turns(turns: DataFrame, user: Column, session: Column) -> DataFrame
     )
 
 
+def captured_decisions(decisions: DataFrame, user: Column) -> DataFrame:
+    """Long-term rows of decisions (content, perhaps title): scope, kind, title, body, tags, importance."""
+    own = decisions.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    title = F.coalesce("title", text.clip(F.col("content"), 80)) if "title" in decisions.columns else text.clip(F.col("content"), 80)
+    return own.select(F.concat(F.lit("user:"), user).alias("scope"), F.lit("decision").alias("kind"), title.alias("title"), F.col("content").alias("body"), F.array(F.lit("decision")).alias("tags"), F.lit(2.0).alias("importance"))
+
+
 def tool_body(tool: Column, success: Column, args: Column, result: Column) -> Column:
     cut = lambda c: text.clip(F.coalesce(c, F.lit("")), 400)
     return F.concat(F.lit("tool: "), tool, F.lit("\nsuccess: "), success.cast("string"), F.lit("\nargs: "), cut(args), F.lit("\nresult: "), cut(result))

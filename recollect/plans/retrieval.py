@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import staging
 from ..functions import fts, scores, text, timewindow, vectors
 from ..operators import evaluation, graph, lifecycle, search
 from .fixtures import AS_OF, CANDIDATES, MEMORIES, TERMS, WORDS, as_of, day, memories, query_vector, rounded, seconds, table
@@ -267,3 +268,30 @@ def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = best.join(label.toDF("query_id", "label"), "query_id").join(label.toDF("id", "other"), "id")
     ranks = own.groupBy("blend", "query_id").agg(F.min(F.when(F.col("label") == F.col("other"), F.col("rank"))).alias("rank"))
     return _rounded_metrics(evaluation.metrics(ranks, by=["blend"]), ["blend"])
+
+
+#: Words of the documents that share the stems of STEMMED: these alone, so that SQL needs no stemmer.
+STEMMED, FORMS = "tions thties", ("tion(s|es|ed|ing)?", "tht(i|is|ies|ied|iing)")
+RANKS = f"""k AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT id, {WORDS.format("title || ' ' || body")} AS w FROM m)),
+g AS (SELECT id, pos, CASE WHEN regexp_full_match(w, '{FORMS[0]}') THEN 1 WHEN regexp_full_match(w, '{FORMS[1]}') THEN 2 END AS t FROM k),
+l AS (SELECT *, lag(pos) OVER o AS last_pos, lag(t) OVER o AS last_t FROM g WHERE t IS NOT NULL WINDOW o AS (PARTITION BY id ORDER BY pos)),
+ranks AS (SELECT id, sum(CAST(1 AS DOUBLE) / (pos - last_pos)) AS rank FROM l WHERE t <> last_t GROUP BY id)"""
+
+
+def stemmed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memories(spark, sf_dir).select("id", "title", "body")
+    index = staging.staged(fts.postings(rows, "id", F.concat_ws(" ", "title", "body")), "postings")
+    return fts.ranked(index, "id", STEMMED)
+
+
+@query(f"WITH {MEMORIES}, {RANKS} SELECT id, round(rank, 6) AS fts_score FROM ranks")
+def fts_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover density of stems, from an index of positions."""
+    return stemmed_ranks(spark, sf_dir).select("id", rounded("fts_score").alias("fts_score"))
+
+
+@query(f"""WITH {MEMORIES}, {RANKS}, f AS (SELECT * FROM w), q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 0),
+s AS (SELECT f.*, coalesce(list_cosine_similarity(e, qe), 0) AS vec_score, coalesce(rank, 0) AS fts_score FROM f LEFT JOIN ranks USING (id), q), ids AS {CANDIDATES.split("ids AS ")[1]} """ + SEARCHED.format(wv="CAST(0.7 AS DOUBLE)", wf="CAST(0.3 AS DOUBLE)", limit=10))
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search whose lexical leg is read from an index of stems and positions."""
+    return _searched(search.hybrid(memories(spark, sf_dir), query_vector(spark, sf_dir), [], as_of(), ranks=stemmed_ranks(spark, sf_dir)))

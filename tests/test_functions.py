@@ -99,3 +99,16 @@ def test_lsh_recall(spark):
     keyed = rows.withColumn("keys", vectors.lsh_keys(F.col("v"), vectors.hyperplanes(64, 8, 12, 3)))
     found = {(r["query_id"], r["id"]) for r in search.lsh_top(keyed.where("id < 50"), keyed, "id", "v", "keys", 3).collect()}
     assert sum((i, i + 50) in found for i in range(50)) >= 45
+
+
+def test_ranks_of_an_index_equal_those_of_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["running", "Cats", "the", "jumps", "x", "cat", "ran", "jump"]) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(900, None)]
+    index = fts.postings(spark.createDataFrame(rows, "id long, body string"), "id", F.col("body"))
+    for said in ("cat jumping", "cats", "run jump cat", "the", ""):
+        wanted = fts.terms(said)
+        found = {r["id"]: r["fts_score"] for r in fts.ranked(index, "id", said).collect()}
+        expected = {i: fts.density(t or "", wanted) for i, t in rows}
+        assert found == {i: pytest.approx(x) for i, x in expected.items() if x}

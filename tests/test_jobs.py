@@ -278,3 +278,34 @@ def test_pending_scopes_and_debounced_claims_equal_loops(spark, tmp_path):
             last[r["scope"]] = r["t"]
     assert found == sorted(expected)
 
+
+
+def test_benchmark_loaders_and_ctags(spark, tmp_path):
+    import json
+
+    from recollect.sources import benchmarks
+
+    (tmp_path / "convo.json").write_text(json.dumps([{"dialogue_id": "d", "sessions": [{"session_id": "s1", "timestamp": "2024-01-02 03:04:05", "turns": [{"speaker": "A", "text": "hi"}, {"speaker": "B", "text": "yo"}]}], "qa": [{"question": "q?", "evidence_session_ids": ["s1"]}]}]))
+    sessions, gold = benchmarks.convomem(spark, str(tmp_path / "convo.json"))
+    s = sessions.withColumn("at", F.unix_seconds("at")).first()
+    assert (s["question_id"], s["session_id"], s["at"], s["body"]) == ("d", "s1", 1704164645, "A: hi\nB: yo") and [(r["question"], r["session_id"]) for r in gold.collect()] == [("q?", "s1")]
+    (tmp_path / "bench.json").write_text(json.dumps([{"tid": "t", "message_list": [[{"sid": 0, "user_message": "u", "assistant_message": "a", "time": "2024-01-02", "place": "x"}, {"sid": 1, "user_message": "v", "assistant_message": "b", "time": None, "place": None}]], "QA": {"question": "q", "target_step_id": [[1, 0]], "choices": {}, "ground_truth": "A"}}]))
+    sessions, gold = benchmarks.membench(spark, str(tmp_path / "bench.json"))
+    assert sorted((r["session_id"], r["body"]) for r in sessions.collect()) == [("0:0", "u\na"), ("0:1", "v\nb")] and [r["session_id"] for r in gold.collect()] == ["0:1"]
+    (tmp_path / "tags.json").write_text("\n".join(json.dumps(x) for x in [{"_type": "ptag", "name": "V"}, {"_type": "tag", "name": "run", "path": "a.go", "line": 3, "kind": "func"}, {"_type": "tag", "name": "get", "path": "a.rs", "line": 4, "kind": "method", "scope": "Box"}, {"_type": "tag", "name": "Box", "path": "a.rs", "line": 1, "kind": "struct"}]))
+    assert sorted((r["full_name"], r["symbol_type"], r["line"]) for r in files.ctags(spark, str(tmp_path / "tags.json")).collect()) == [("Box", "class", 1), ("Box.get", "method", 4), ("run", "function", 3)]
+
+
+def test_code_search_decisions_and_jitter(spark):
+    from recollect.operators import codeindex
+
+    rows = aged(spark).withColumn("scope", F.lit("codeindex:p")).unionByName(aged(spark)).withColumn("tier", F.lit(1))
+    got = codeindex.search_code(rows, [1.0, 0.0], ["x"], as_of(), "p", ignore_decay=True).collect()
+    assert {r["scope"] for r in got} == {"codeindex:p"} and got[0]["id"] == 1
+    said = spark.createDataFrame([("Use Spark", None), (" ", None), ("Keep it", "Title")], "content string, title string")
+    from recollect.operators import store
+
+    assert sorted((r["title"], r["scope"], r["kind"]) for r in store.captured_decisions(said, F.lit("u")).collect()) == [("Title", "user:u", "decision"), ("Use Spark", "user:u", "decision")]
+    pool = spark.createDataFrame([(i, "k", float(i), 0.0, 0.0, 0.0, 1, 0) for i in range(5)], "id long, kind string, score double, vec_score double, fts_score double, importance double, tier int, reuse_count long")
+    plain, moved = ({r["id"]: r["rerank"] for r in search.rerank_learned(pool, ["kind"], {"score": 1.0}, jitter=j, seed=4).collect()} for j in (0.0, 0.1))
+    assert all(0 <= moved[i] - plain[i] <= 0.1 for i in plain) and moved != plain
