@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, ngrams
 
-#: Documents of each language that are fitted on, languages, and bits of a long code, at most.
-SAMPLE, LANGUAGES, BITS = 1200, 512, 63
+#: Documents of each language and of all that are fitted on, and bits of a long code, at most.
+SAMPLE, SAMPLE_ALL, BITS = 1200, 8192, 63
 #: Share of the score by which the first language leads the second, under which the row is ambiguous.
 LEAD = 0.2
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -70,12 +70,14 @@ def fold() -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """From text and language of the rows of all folds but the third; at most sample documents of a language."""
+    """From text and language of the rows of all folds but the third; at most sample documents of a language.
+
+    Where that would be over SAMPLE_ALL of all languages, each has its share of these, and one at the least.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(fold() != 2)
     counts = {x["lang"]: x["n"] for x in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; at most {LANGUAGES}")
     languages = sorted(counts)
+    sample = max(1, min(sample, SAMPLE_ALL // max(1, len(languages))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 20):

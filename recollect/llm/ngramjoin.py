@@ -409,10 +409,6 @@ def _blocks(lists: DataFrame, points: DataFrame, block: int) -> tuple[DataFrame,
     return whole.union(even_join(dealt, sides, ["list", "block"]).select(*CANDIDATES)), [size, of, dealt]
 
 
-def filter_place(cid: np.ndarray) -> np.ndarray:
-    return cid & ((1 << FILTER_BITS) - 1)
-
-
 def _filter_of(wanted: DataFrame, column: str) -> np.ndarray:
     """A bit for the hash of each value of a column: doc_ids go by xxhash64, classes are hashes themselves."""
     place = F.pmod(F.xxhash64(column) if column == "rep" else F.col(column), F.lit(1 << FILTER_BITS))
@@ -437,7 +433,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((by_doc[at >> 6] >> (at & 63)) & 1 == 1))
             for part in common.slices([batch], "text", 4 << 20) if batch.num_rows else ():
                 found = [(class_of(h), h) for h in map(shingles, part.column(0).to_pylist())]
-                at = filter_place(np.array([c for c, _ in found], np.int64))
+                at = np.array([c for c, _ in found], np.int64) & (64 * len(by_class) - 1)
                 kept = [x for x, k in zip(found, (by_class[at >> 6] >> (at & 63)) & 1) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([h.tobytes() for _, h in kept], pa.binary())], ["cid", "set"])
 

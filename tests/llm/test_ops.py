@@ -392,6 +392,29 @@ def test_codewords_differ(n):
     assert len({tuple(c) for c in code}) == n and (n < 3 or all((a != b).sum() >= 2 for i, a in enumerate(code) for b in code[i + 1 :]))
 
 
+def test_hundreds_of_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 64)
+    docs = spark.createDataFrame([(i, f"word{i % 90} in tongue {i % 90}", f"l{i % 90:02}") for i in range(400)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 90 and {r["lang_pred"] for r in langid.identify(docs, model).collect()} <= set(model.languages)
+
+
+def test_a_full_filter_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FILTER_BITS", 7)
+    texts = near_copies(random.Random(17), 60)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(table(spark, texts)).collect()}
+    assert found == brute_components_fast(dict(texts))
+
+
+def test_conversations_beyond_what_is_held(spark):
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(chatfmt.HOLD + 900)]
+    windows = chatfmt.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), PATH, budget=200, history=50)
+    r = chatfmt.digest(windows).first()
+    targets = "".join(t[3] for t in turns if t[2] == "assistant")
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(turns), len(targets), hashlib.sha256(targets.encode()).hexdigest())
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in turns).encode()).hexdigest()
+
+
 def test_chat_windows_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rng = random.Random(5)
