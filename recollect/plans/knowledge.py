@@ -136,14 +136,6 @@ def _line_symbols(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 7 % 50).alias("line"), F.col("l_partkey").cast("string").alias("name"))
 
 
-@query("""
-WITH h AS (SELECT o_orderkey AS hunk_id, o_custkey AS path, o_orderkey % 40 AS a, 5 + o_orderkey % 3 AS n FROM orders),
-y AS (SELECT l_suppkey AS path, l_linenumber * 7 % 50 AS line, CAST(l_partkey AS VARCHAR) AS name FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 40)
-SELECT hunk_id, name, line FROM h JOIN y ON h.path = y.path AND line BETWEEN a AND a + n + 2 QUALIFY row_number() OVER (PARTITION BY hunk_id ORDER BY line, name) <= 10""")
-def hunk_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codeindex.attributed(_hunks(spark, sf_dir), _line_symbols(table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_quantity > 40")))
-
-
 @query("""
 WITH h AS (SELECT o_orderkey AS hunk_id, o_custkey AS path, o_orderkey % 40 AS a, 5 + o_orderkey % 3 AS n FROM orders),
 y AS (SELECT l_suppkey AS path, l_linenumber * 7 % 50 AS line, CAST(l_partkey AS VARCHAR) AS name FROM lineitem)

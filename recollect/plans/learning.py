@@ -93,14 +93,6 @@ def _promoted(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     return lifecycle.tier_promotions(_parts(spark, sf_dir), own, reinforcements(spark, sf_dir))
 
 
-@query(f"""WITH {PARTS}, t AS (SELECT *, {TIER.format('importance')} AS tier FROM p),
-o AS (SELECT s_suppkey AS id, s_suppkey % 6 AS proofs, s_suppkey % 4 = 0 AS stale FROM supplier), e AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN o ON l_suppkey = o.id WHERE proofs >= 3 AND NOT stale AND l_linenumber = 1),
-n AS (SELECT memory_id FROM ev WHERE event_type IN ('mistake', 'direct_command') GROUP BY memory_id HAVING count(*) >= 5)
-SELECT id, tier AS old_tier, 2 AS new_tier FROM t SEMI JOIN e USING (id) WHERE tier = 1 UNION ALL SELECT id, tier, 3 FROM t SEMI JOIN n ON id = memory_id WHERE tier = 2""")
-def tier_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _promoted(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
 @query(f"""WITH {PARTS}, t AS (SELECT *, {TIER.format('importance')} AS tier FROM p),
 o AS (SELECT s_suppkey AS id, s_suppkey % 6 AS proofs, s_suppkey % 4 = 0 AS stale FROM supplier), e AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN o ON l_suppkey = o.id WHERE proofs >= 3 AND NOT stale),
 n AS (SELECT memory_id FROM ev WHERE event_type IN ('mistake', 'direct_command') GROUP BY memory_id HAVING count(*) >= 5)

@@ -23,15 +23,6 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.doctor(memories(spark, sf_dir), 6000)
 
 
-@query(f"""WITH {FACTS}, c AS (SELECT o_orderkey AS id, 'orders' AS scope, o_orderpriority AS title, o_orderstatus || ' ' || o_orderkey AS body FROM orders WHERE o_orderstatus = 'P'),
-l AS (SELECT 0 AS part, id, subject || ' ' || predicate || ' ' || object AS line FROM k WHERE valid_until IS NULL AND valid_from <= TIMESTAMP '2024-03-01' UNION ALL SELECT 1, id, title || ': ' || body FROM c),
-s AS (SELECT *, CAST(ceil(length(line) / CAST(4 AS DOUBLE)) AS BIGINT) AS t, sum(CAST(ceil(length(line) / CAST(4 AS DOUBLE)) AS BIGINT)) OVER (ORDER BY part, id ROWS UNBOUNDED PRECEDING) AS r FROM l)
-SELECT 'orders' AS scope, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY part, id)) AS lines FROM s WHERE r <= 500""")
-def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("scope"), F.col("o_orderpriority").alias("title"), F.concat("o_orderstatus", F.lit(" "), F.col("o_orderkey").cast("string")).alias("body"), F.lit(1.0).alias("importance"), F.lit(0.0).alias("decay_rate"), as_of().alias("updated_at"))
-    return reports.context(rows, kg.superseded(facts(spark, sf_dir)), as_of(), 500).withColumn("lines", F.md5("lines"))
-
-
 @query(f"""WITH {FACTS}, c AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS scope, o_orderpriority || ': ' || o_orderstatus || ' ' || o_orderkey AS line,
  CAST(o_orderkey % 12 AS DOUBLE) / 10 * exp(-((o_orderkey % 5) * CAST(0.02 AS DOUBLE)) * (epoch(TIMESTAMP '2024-03-01') - epoch(TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 60 AS INTEGER)))) / 86400) AS weight FROM orders),
 l AS (SELECT subject AS scope, 0 AS part, CAST(0 AS DOUBLE) AS weight, id, subject || ' ' || predicate || ' ' || object AS line FROM k WHERE valid_until IS NULL AND valid_from <= TIMESTAMP '2024-03-01' UNION ALL SELECT scope, 1, weight, id, line FROM c),
@@ -79,14 +70,6 @@ def _companions(rows: DataFrame) -> DataFrame:
     return found.select("scope", "kind", "title", F.col("metadata")["source_id"].alias("source_id"))
 
 
-@query("""
-WITH s AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS scope FROM events WHERE event_type = 'view')
-SELECT scope, 'fact' AS kind, 'User has mentioned: preference for trains, and i find maps useful' AS title, CAST(id AS VARCHAR) AS source_id FROM s""")
-def preference_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).join(table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("id")), "id", "left_semi")
-    return _companions(rows)
-
-
 @query(f"SELECT CAST(user_id AS VARCHAR) AS scope, 'fact' AS kind, preference AS title, CAST(id AS VARCHAR) AS source_id FROM ({SQL['preferences']}) JOIN events ON id = event_id")
 def preference_companions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _companions(turns(spark, sf_dir))

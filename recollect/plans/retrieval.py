@@ -183,18 +183,6 @@ def clusters_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.clusters(rows, 0.3)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderpriority = '1-URGENT' AND l_quantity > 45),
-l AS (SELECT a * 2 AS a, b * 2 + 1 AS b FROM e UNION SELECT b * 2 + 1, a * 2 FROM e),
-r(a, b) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
-def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 45")
-    edges = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
-    return graph.components(edges)
-
-
 @query()
 def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all customers and suppliers that a line links; the recursive SQL is too slow for these, the tests hold them against union-find."""
