@@ -249,6 +249,24 @@ def test_url_rules_equal_brute_force(spark):
     assert {x["verdict"] for x in urlfilter.judge(df, r.where("host = '-'")).collect()} == {"allow"}
 
 
+def test_long_lists_stay_in_the_cascade(spark, monkeypatch):
+    for name, value in (("BITS_PER_KEY", 4), ("LEAST_BITS", 64), ("BUCKET_KEYS", 50), ("COPIES", 3)):
+        monkeypatch.setattr(urlfilter, name, value)
+    made = []
+    monkeypatch.setattr(urlfilter.Buckets, "filters", lambda self, own=urlfilter.Buckets.filters: made.append(self) or own(self))
+    rules = spark.range(800).select(F.format_string("h%d.com", F.col("id")).alias("host"), F.lit("/").alias("path"), F.when(F.col("id") % 4 == 0, "allow").otherwise("block").alias("action"))
+    rules = rules.union(spark.createDataFrame([("com", "/", "allow"), ("h1.com", "/x", "allow"), ("a.h1.com", "/", "block")], "host string, path string, action string"))
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.format_string("http://%s.h%d.com/%s", F.when(F.col("id") % 2 == 0, "a").otherwise("b"), F.col("id") % 3000, F.when(F.col("id") % 7 == 0, "x").otherwise("y")).alias("url"))
+    long, short = (sorted(map(tuple, urlfilter.judge(pages, rules, most_bits=most).collect())) for most in (1, 1 << 30))
+    assert long == short and len(long) == 6000 and {x[4] for x in long} == {"allow", "block"}
+    assert made[0].n == 16 and all(len(x) > 2 for x in made[0].levels.values())
+    for i, host, path, rule, verdict in long:
+        n = i % 3000
+        own = "h1.com/x" if n == 1 and path == "/x" else f"h{n}.com/" if n < 800 else "com/"
+        own = "a.h1.com/" if host == "a.h1.com" else own
+        assert (rule, verdict) == (own, "allow" if own in ("com/", "h1.com/x") or (own != "a.h1.com/" and n < 800 and n % 4 == 0) else "block")
+
+
 def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "BITS_PER_KEY", 2)
     monkeypatch.setattr(urlfilter, "LEAST_BITS", 64)
