@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF, connection, same
 from pyspark.sql import functions as F
@@ -129,7 +130,15 @@ def brute_contaminated(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_several_automata_meet_texts_held_together(monkeypatch):
+    monkeypatch.setattr(decontam, "HELD_BYTES", 3000)
+    items = object.__new__(decontam.Items)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i, i], "text": ["x" * 500] * 2}) for i in range(7)]
+    for items.n_parts, sizes in ((1, [1] * 7), (2, [3, 3, 1])):
+        assert [len(x) for x in items.held_together(iter(batches))] == sizes
+
+
+@pytest.mark.parametrize("size", [1 << 20, 60, 1])
 def test_decontamination_equals_brute_force(spark, size):
     rng = random.Random(2)
     long = " ".join(rng.choice("abcdé") for _ in range(30))
