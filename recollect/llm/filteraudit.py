@@ -10,7 +10,7 @@ from functools import reduce
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -29,19 +29,30 @@ def failures(text: Column) -> dict[str, Column]:
 
 
 def flagged(docs: DataFrame) -> DataFrame:
-    """doc_id, part and the five failure flags of every row; texts are read once, and only their digests are shuffled."""
+    """doc_id, part, digest of the text and the failure flags that it decides, of every row; texts are read once and not shuffled."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), *[x.alias(k) for k, x in failures(text).items()])
-    rows = common.staged(rows, "flags")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "digest", "left").select("doc_id", "part", *LETTERS[:-1], F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
+    return docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), *[x.alias(k) for k, x in failures(text).items()])
 
 
-def survivors(flags: DataFrame, labels: DataFrame) -> DataFrame:
-    """part, passed (bit i: filter i of LETTERS), n, good, toxic: documents of a part that pass those filters at least; every pair, zeros too."""
+def counted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """part, the five flags, n, good, toxic: flagged rows, counted.
+
+    Rows of equal texts have equal flags but for the last, so they are counted before they meet: a text is a row for each
+    part and label, with its smallest doc_id and the rows that have it.
+    """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    one = flags.join(known, "doc_id", "left").groupBy("part", *LETTERS).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS[1:]])
-    cells = common.staged(one, "cells")
+    own = ["digest", "part", *LETTERS[:-1]]
+    one = rows.groupBy("doc_id", *own).agg(F.count("*").alias("n")).join(known, "doc_id", "left").na.fill(0, ["good", "toxic"])
+    same = one.groupBy(*own, "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("low"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("nameless"))
+    first = F.min("low.doc_id").over(Window.partitionBy("digest"))
+    passing = F.coalesce("nameless", F.lit(0)) + F.when(F.col("low.doc_id") == first, F.col("low.n")).otherwise(0)
+    split = same.withColumn("passing", passing).withColumn("x", F.explode(F.array(F.struct(F.lit(False).alias("E"), F.col("passing").alias("n")), F.struct(F.lit(True).alias("E"), (F.col("n") - F.col("passing")).alias("n")))))
+    sums = [F.sum(F.col("x.n") * c).alias(k) for k, c in zip(COUNTS, (F.lit(1), F.col("good"), F.col("toxic")))]
+    return split.where("x.n > 0").groupBy("part", *LETTERS[:-1], F.col("x.E").alias("E")).agg(*sums)
+
+
+def survivors(cells: DataFrame) -> DataFrame:
+    """part, passed (bit i: filter i of LETTERS), n, good, toxic: documents of a part that pass those filters at least; every pair, zeros too."""
     cube = cells.cube(*LETTERS, "part").agg(*[F.sum(c).alias(c) for c in COUNTS], *[F.grouping(x).alias(f"no_{x}") for x in (*LETTERS, "part")])
     passing = cube.where(reduce(lambda a, b: a & b, [(F.col(f"no_{x}") == 1) | ~F.col(x) for x in LETTERS], F.col("no_part") == 0))
     mask = reduce(lambda a, b: a + b, [(1 - F.col(f"no_{x}")).cast("int") * (1 << i) for i, x in enumerate(LETTERS)])
@@ -69,7 +80,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels that repeat a doc_id, one that is 1 counts. An empty table gives no rows; other columns are ignored, whatever
     their names.
     """
-    found = common.staged(survivors(flagged(docs), labels), "survivors")
+    cells = common.staged(counted(flagged(docs), labels), "cells")
+    found = common.staged(survivors(cells), "survivors")
     order = steps(docs.sparkSession)
     side = lambda name: found.select("part", F.col("passed").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in COUNTS])
     #: One more filter after each subset: its loss, and how many orders take that step.
