@@ -31,9 +31,10 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Every suffix of the host's labels with every prefix of the path that is as long as some rule's."""
-    labels = F.split(host, r"\.", -1)
+def keys_of(host: Column, path: Column, path_lengths: list[int], most_labels: int) -> Column:
+    """Every suffix of the host of at most most_labels labels with every prefix of the path that is as long as some rule's."""
+    own = F.split(host, r"\.", -1)
+    labels = F.slice(own, F.greatest(F.lit(1), F.size(own) - most_labels + 1), F.lit(most_labels))
     lengths = F.array(*[F.lit(n) for n in path_lengths])
     fitting = F.filter(lengths, lambda n: n <= F.length(path))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -176,31 +177,32 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_bits:
     rules = common.staged(rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", F.concat("host", F.lit(MARK), "path")), "rules")
     sizes = {x["action"]: x["n"] for x in rules.groupBy("action").agg(F.count("*").alias("n")).collect()}
     lengths = sorted(x[0] for x in rules.select(F.length("path")).distinct().collect())
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0]  # no longer suffix can be a rule's host
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if max(sizes.values()) * BITS_PER_KEY > most_bits:
-        return _by_buckets(urls, rules, sizes, lengths, default)
+        return _by_buckets(urls, rules, sizes, lengths, labels, default)
     cascades = {x: Cascade(rules.where(F.col("action") == x).select("key"), sizes.get(x, 0)) for x in ("allow", "block")}
-    keys = F.transform(keys_of(F.col("host"), F.col("path"), lengths), key_text)
+    keys = F.transform(keys_of(F.col("host"), F.col("path"), lengths, labels), key_text)
     taken = [c.levels[0] for c in cascades.values() if c.levels]
     suspects = urls.select(F.explode(F.array_distinct(F.filter(keys, lambda k: reduce(lambda a, b: a | b, [x.takes(k) for x in taken])))).alias("key")).distinct()
     suspects = common.staged(suspects, "suspects")
     if not all([c.add_levels(suspects, most_bits) for c in cascades.values()]):
-        return _by_buckets(urls, rules, sizes, lengths, default)
+        return _by_buckets(urls, rules, sizes, lengths, labels, default)
     judged = F.transform(
-        keys_of(F.col("host"), F.col("path"), lengths),
+        keys_of(F.col("host"), F.col("path"), lengths, labels),
         lambda k: F.struct(F.length(key_text(k)).alias("length"), F.length(k["host"]).alias("host_length"), key_text(k).alias("key"), F.when(cascades["block"].has(key_text(k)), "block").when(cascades["allow"].has(key_text(k)), "allow").alias("action")),
     )
     best = F.array_max(F.filter(judged, lambda x: x["action"].isNotNull()))
     return urls.withColumn("best", best).select("page_id", "host", "path", rule_text(F.col("best.key")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
-def _by_buckets(urls: DataFrame, rules: DataFrame, sizes: dict[str, int], lengths: list[int], default: str) -> DataFrame:
+def _by_buckets(urls: DataFrame, rules: DataFrame, sizes: dict[str, int], lengths: list[int], labels: int, default: str) -> DataFrame:
     """For lists too long for a plan: the keys of the distinct (host, path) meet the filters of their buckets."""
     buckets = Buckets(rules.select("key", "action"), sizes)
     own = urls.select("host", "path").distinct()
-    keys = F.transform(keys_of(F.col("host"), F.col("path"), lengths), lambda k: F.struct(F.length(key_text(k)).alias("length"), F.length(k["host"]).alias("host_length"), key_text(k).alias("key")))
+    keys = F.transform(keys_of(F.col("host"), F.col("path"), lengths, labels), lambda k: F.struct(F.length(key_text(k)).alias("length"), F.length(k["host"]).alias("host_length"), key_text(k).alias("key")))
     pairs = own.select("host", "path", F.explode(keys).alias("k"))
     buckets.add_levels(common.staged(pairs.select("k.key").distinct(), "universe"))
     pairs = pairs.withColumns({"bucket": buckets.bucket(F.col("k.key")), "copy": F.pmod(F.xxhash64("host", "path"), F.lit(COPIES)).cast("int")})
