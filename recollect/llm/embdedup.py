@@ -111,7 +111,8 @@ def vectors(embeddings: DataFrame) -> DataFrame:
             for size in set(sizes.tolist()) - {0}:
                 at = np.flatnonzero(sizes == size)
                 own = values[starts[at][:, None] + np.arange(size)] + 0.0  # no negative zeros
-                with np.errstate(all="ignore"):
+                with np.errstate(all="ignore"):  # a power of two makes the largest component about 1, so no square of it is lost
+                    own = np.ldexp(own, -np.frexp(np.abs(own).max(1))[1][:, None])
                     norm = np.sqrt((own**2).sum(1))
                 for i in np.flatnonzero(np.isfinite(norm) & (norm > 0)).tolist():
                     out[at[i]] = own[i].tobytes()
