@@ -2,7 +2,8 @@
 
 A turn is <|im_start|>role, a line feed, the text, <|im_end|> and a line feed. Inside texts and roles every "<|" gets a
 backslash after "<" (one more if backslashes are there already), so only the template writes control strings; unescape
-takes it away again. Prefix sums of turn tokens give the longest run of new turns that fits the budget beside the
+takes it away again. A turn costs the tokens of all that is written for it; tokenizers that join nothing across a line
+feed (as word_bpe_49k.json) count a window as the sum of its turns. Prefix sums of these costs give the longest run of new turns that fits the budget beside the
 system turn and a limited history of the turns just before; the loss mask covers the new turns' assistant texts only,
 so each is a target once.
 """
@@ -20,8 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, tokens
 
 BUDGET, HISTORY = 2048, 256
-#: Tokens that the template adds to a turn, at most.
-TURN_TOKENS = 8
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns that a conversation holds in memory before its windows are cut.
 HOLD = 4096
@@ -45,15 +44,21 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
+def turn(role: str, text: str) -> tuple[str, int, int]:
+    """A turn as it is written, and where its text begins and ends there."""
+    head, body = f"{START}{escape_role(role)}\n", escape(text)
+    return f"{head}{body}{END}", len(head), len(head) + len(body)
+
+
 def render(turns: list[tuple[str, str]], n_repeated: int) -> tuple[str, list[dict]]:
     """The window's text and the spans of its targets, in code points."""
     out, at, spans = [], 0, []
     for i, (role, text) in enumerate(turns):
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        written, start, end = turn(role, text)
         if role == "assistant" and i >= n_repeated:
-            spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
-        out += (head, body, END)
-        at += len(head) + len(body) + len(END)
+            spans.append({"start": at + start, "end": at + end})
+        out.append(written)
+        at += len(written)
     return "".join(out), spans
 
 
@@ -123,7 +128,7 @@ def format_windows(conversations: DataFrame, path: str, budget: int = BUDGET, hi
         encoder, now, out = tokens.encoder(path), None, []
         for batch in common.slices(batches):
             ids, _, roles, texts = (c.to_pylist() for c in batch.columns)
-            costs = [len(a) // 4 + len(b) // 4 + TURN_TOKENS for a, b in zip(encoder.encode(texts), encoder.encode(roles))]
+            costs = [len(x) // 4 for x in encoder.encode([turn(role or "", text or "")[0] for role, text in zip(roles, texts)])]
             for conv_id, role, text, cost in zip(ids, roles, texts, costs):
                 if now is None or now.conv_id != conv_id:
                     out += now.cut(True) if now else ()

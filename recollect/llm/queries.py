@@ -67,14 +67,31 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 """
 
 
-@query
-def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     #: The extra conversation of the query's contract.
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = common.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    windows = common.staged(chatfmt.format_windows(turns, tokens.tokenizer_path()), "windows")
-    return chatfmt.digest(windows)
+    return common.staged(chatfmt.format_windows(turns, tokens.tokenizer_path()), "windows")
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatfmt.digest(_windows(spark, sf_dir))
+
+
+@query
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_chat returns but for formatted_chars, which SQL can't express."""
+    return chatfmt.digest(_windows(spark, sf_dir)).drop("formatted_chars")
+
+
+SQL["chat_turns"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '<|im_end|><|im_start|>assistant ok' FROM range(0, 2) r(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM t GROUP BY conv_id
+"""
 
 
 @query
