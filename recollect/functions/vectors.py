@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,21 +49,88 @@ DIM = 384
 
 
 #: Tokens of a text: w:<word> for words of two letters or more, g:<trigram> of each word between spaces; repeats count.
-SMALL_LETTERS = str.maketrans(text.UPPER, text.LOWER)
-WORD = re.compile("[a-z0-9]+")
-#: Words whose places a worker keeps.
-CACHE_WORDS = 1 << 17
-
-
-def token_sums(value: str | None, dim: int = DIM) -> np.ndarray:
-    """The signed counts of the hash embedder, before its length is made 1."""
-    own = Counter(WORD.findall((value or "").translate(SMALL_LETTERS)))
-    if not own:
-        return np.zeros(dim)
-    places = [_places(w, dim) for w in own]
-    counts = np.repeat(np.fromiter(own.values(), np.int64, len(own)), [len(x) for x in places])
-    at = np.concatenate(places)
-    return np.bincount(np.abs(at) - 1, np.where(at > 0, counts, -counts), dim)
+#: A letter or digit, small or not, by its byte: its place in LETTERS, from 1 on; 0 for all else.
+LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz"
+CODE = np.zeros(256, np.int32)
+CODE[np.frombuffer(LETTERS, np.uint8)] = CODE[np.frombuffer(LETTERS.upper(), np.uint8)] = np.arange(1, 37)
+#: Bytes of texts that are counted at once.
+AT_ONCE = 8 << 20
+
+
+def _djb2(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One more byte of each."""
+    return (h * 33 + value) % EMBED_MODULUS
+
+
+def _begun(value: bytes, h: np.ndarray | int = 5381) -> np.ndarray:
+    for b in value:
+        h = _djb2(np.asarray(h, np.int64), b)
+    return h
+
+
+def _signed(h: np.ndarray, dim: int) -> np.ndarray:
+    """Buckets of tokens from 1 on, negative where the sign is."""
+    return np.where(_begun(b"#sign", h) % 2 == 0, 1, -1) * (h % dim + 1)
+
+
+@lru_cache(maxsize=8)
+def _trigrams(dim: int) -> np.ndarray:
+    """The bucket of each three codes, a space being 0."""
+    letters = np.frombuffer(b" " + LETTERS, np.uint8).astype(np.int64)
+    h = _begun(b"g:")
+    for axis in range(3):
+        h = _djb2(h[..., None] if axis else np.full(1, h), letters)
+    return _signed(h.ravel(), dim)
+
+
+def _counted(raw: bytes, starts: np.ndarray, out: np.ndarray) -> None:
+    """Adds to the rows of out the tokens of the texts that begin at starts in raw, with a byte that is no letter after each."""
+    dim = out.shape[1]
+    code = np.zeros(len(raw) + 2, np.int32)
+    code[1:-1] = CODE[np.frombuffer(raw, np.uint8)]
+    at = np.flatnonzero(code)
+    if not len(at):
+        return
+    bucket = [_trigrams(dim)[(code[at - 1] * 37 + code[at]) * 37 + code[at + 1]]]
+    row = [np.searchsorted(starts, at - 1, "right") - 1]
+    first = at[code[at - 1] == 0]
+    length = at[code[at + 1] == 0] - first + 1
+    first, length = first[length > 1], length[length > 1]
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    letter = np.frombuffer(b" " + LETTERS, np.uint8).astype(np.int64)
+    h = np.full(len(first), _begun(b"w:"))
+    for k in range(int(length[0]) if len(length) else 0):
+        n = np.searchsorted(-length, -k, "left")  # words of more than k letters stand in front
+        h[:n] = _djb2(h[:n], letter[code[first[:n] + k]])
+    bucket.append(_signed(h, dim))
+    row.append(np.searchsorted(starts, first - 1, "right") - 1)
+    b, r = np.concatenate(bucket), np.concatenate(row)
+    out += np.bincount(r * dim + np.abs(b) - 1, np.sign(b), out.size).reshape(out.shape)
+
+
+def token_sums_of(values: list[str | None], dim: int = DIM) -> np.ndarray:
+    """The signed counts of the hash embedder for each text, before its length is made 1; texts of any length, some bytes at once."""
+    out = np.zeros((len(values), dim))
+    held, size, begin = [], 0, 0
+
+    def count(end: int) -> None:
+        if held:
+            ends = np.cumsum([len(x) + 1 for x in held])
+            _counted(b" ".join(held) + b" ", np.concatenate([[0], ends[:-1]]), out[begin:end])
+
+    for i, value in enumerate(values):
+        raw = (value or "").encode()
+        while len(raw) > AT_ONCE and (cut := re.search(rb"[^0-9A-Za-z]", raw[AT_ONCE:])):
+            _counted(raw[: AT_ONCE + cut.start()], np.zeros(1, np.int64), out[i : i + 1])
+            raw = raw[AT_ONCE + cut.start() :]
+        if held and size + len(raw) > AT_ONCE:
+            count(i)
+            held, size, begin = [], 0, i
+        held.append(raw)
+        size += len(raw)
+    count(len(values))
+    return out
 
 
 def sparse_embedding(df, key: str, body: str, dim: int = DIM):
@@ -73,43 +139,24 @@ def sparse_embedding(df, key: str, body: str, dim: int = DIM):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sums = np.stack([token_sums(x, dim) for x in part.column(1).to_pylist()])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sums = token_sums_of(part.column(1).to_pylist(), dim)
                 row, bucket = np.nonzero(sums)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(sums[row, bucket].astype(np.int64))], [key, "bucket", "value"])
 
     return df.select(key, F.col(body).cast("string")).mapInArrow(run, schema)
 
 
-def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
-    """The embedder for one text: unit length, zero for a text without words."""
-    out = token_sums(value, dim)
-    size = float(np.sqrt((out * out).sum()))
-    return out / size if size else out
-
-
-@lru_cache(maxsize=CACHE_WORDS)
-def _places(w: str, dim: int) -> np.ndarray:
-    """Buckets of a word's tokens from 1 on, negative where the sign is."""
-    found = [_signed(f"g:{f' {w} '[i : i + 3]}") for i in range(len(w))]
-    if len(w) >= 2:
-        h = _djb2(f"w:{w}")
-        found.append((h, 1 if _djb2("#sign", h) % 2 == 0 else -1))
-    return np.array([sign * (h % dim + 1) for h, sign in found], np.int16 if dim < 32767 else np.int64)
-
+def hash_embeds(values: list[str | None], dim: int = DIM) -> np.ndarray:
+    """The embedder: rows of unit length, zero for a text without words."""
+    out = token_sums_of(values, dim)
+    size = np.sqrt((out * out).sum(1))[:, None]
+    return np.divide(out, size, out=out, where=size > 0)
 
-@lru_cache(maxsize=1 << 17)
-def _signed(token: str) -> tuple[int, int]:
-    h = _djb2(token)
-    return h, 1 if _djb2("#sign", h) % 2 == 0 else -1
 
-
-def _djb2(value: str, start: int = 5381, modulus: int = EMBED_MODULUS) -> int:
-    """Of what follows a text whose hash is start."""
-    for b in value.encode():
-        start = (start * 33 + b) % modulus
-    return start
+def hash_embed(value: str | None, dim: int = DIM) -> np.ndarray:
+    return hash_embeds([value], dim)[0]
 
 
 def hash_embedding(body: Column, dim: int = DIM) -> Column:
@@ -120,7 +167,7 @@ def hash_embedding(body: Column, dim: int = DIM) -> Column:
     def run(values):
         import pandas as pd
 
-        return pd.Series([hash_embed(v, dim).astype("f4") for v in values])
+        return pd.Series(list(hash_embeds(values.tolist(), dim).astype("f4")))
 
     return run(body)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import staging
 from ..functions import scores, text
-from . import graph, models, search, store
+from . import graph, greedy, models, search, store
 
 #: Defaults.
 DECAYED, CLUSTER, LEADER, REINFORCE = 0.05, 0.85, 0.80, 0.75
@@ -44,38 +42,17 @@ def clusters(rows: DataFrame, threshold: float = CLUSTER) -> DataFrame:
     return found.join(rows.select("id", "scope"), "id").select("scope", F.col("component").alias("cluster_id"), "id")
 
 
-def leader_clusters(rows: DataFrame, threshold: float = LEADER, order: list | None = None) -> DataFrame:
-    """scope, cluster_id, id, is_pivot: each row joins the first cluster whose first member is near enough, else founds one.
+def leader_clusters(rows: DataFrame, threshold: float = LEADER, order: str = "id") -> DataFrame:
+    """scope, cluster_id, id, is_pivot: in order, each row joins the first cluster whose first member is near enough, else founds one.
 
-    The rule depends on the order of rows, so a scope is one sorted stream; only its pivots are kept in memory. Rows
-    without a vector are clusters of their own.
+    order is a column of whole numbers, unique in a scope. Scopes and rows of a scope are settled beside each other, in
+    rounds. Rows without a vector are clusters of their own.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope, pivots, names = None, np.zeros((0, 0)), []
-        for batch in batches:
-            out = []
-            for own, id_, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != scope:
-                    scope, pivots, names = own, np.zeros((0, 0)), []
-                x = None if v is None else np.array(v, dtype=np.float64)
-                size = float(np.linalg.norm(x)) if x is not None else 0.0
-                found = None
-                if size > 0:
-                    unit = x / size
-                    if len(names) and pivots.shape[1] == len(unit):
-                        near = np.flatnonzero(pivots[: len(names)] @ unit >= threshold)
-                        found = names[near[0]] if len(near) else None
-                    if found is None and (not len(names) or pivots.shape[1] == len(unit)):
-                        if len(names) == len(pivots):
-                            pivots = np.concatenate([pivots.reshape(len(names), len(unit)), np.zeros((max(16, len(names)), len(unit)))])
-                        pivots[len(names)] = unit
-                        names.append(id_)
-                out.append((own, id_ if found is None else found, id_, found is None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int64(), pa.int64(), pa.bool_()])], ["scope", "cluster_id", "id", "is_pivot"])
-
-    sorted_rows = rows.repartition("scope").sortWithinPartitions("scope", *(order or ["id"]))
-    return sorted_rows.select("scope", F.col("id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "scope string, cluster_id long, id long, is_pivot boolean")
+    grp = F.coalesce(F.concat(F.lit("="), "scope"), F.lit("")).alias("grp")  # a null scope is one of its own
+    own = rows.select(F.col("id").cast("long").alias("id"), grp, F.col(order).cast("long").alias("pos"), "embedding")
+    found = greedy.leaders(greedy.stored(own, "embedding"), threshold)
+    scope = F.when(F.col("grp") != "", F.substring("grp", 2, F.length("grp")))
+    return found.select(scope.alias("scope"), F.col("leader").alias("cluster_id"), "id", (F.col("leader") == F.col("id")).alias("is_pivot"))
 
 
 def summarization_batches(rows: DataFrame, as_of: Column, below: float = WEIGHT_BELOW, days: int = RETENTION_DAYS, size: int = BATCH, most: int | None = BATCHES) -> DataFrame:
@@ -188,7 +165,7 @@ def digest_clusters(rows: DataFrame, events: DataFrame, threshold: float = LEADE
     """
     w = Window.partitionBy("scope").orderBy(F.col("importance").desc(), "created_at", "id")
     own = rows.where("tier = 0 and consolidated_at is null").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    member = leader_clusters(own, threshold, order=["_rn"]).join(own.select("id", "_rn", "importance"), "id")
+    member = leader_clusters(own, threshold, order="_rn").join(own.select("id", "_rn", "importance"), "id")
     mistakes = events.where("event_type = 'mistake'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"))
     found = member.join(mistakes, "id", "left").groupBy("scope", "cluster_id").agg(
         F.min("_rn").alias("first"), F.max_by(F.struct("id", "importance"), F.struct("importance", (-F.col("_rn")).alias("r"))).alias("best"), F.sort_array(F.collect_list("id")).alias("ids"), F.sum(F.coalesce("n", F.lit(0))).alias("n_mistakes")

@@ -34,7 +34,7 @@ class HashEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> list:
-        return [vectors.hash_embed(t, self.dim) for t in texts]
+        return list(vectors.hash_embeds(texts, self.dim))
 
 
 #: Services by the shape of their requests and answers: the fields of a request, whether it takes many texts, and the way to the vectors.

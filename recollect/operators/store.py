@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import staging
 from ..functions import scores, text, vectors
-from . import search
+from . import graph, greedy, search
 
 #: Defaults of writes.
 DUPLICATE, MISS, STRATEGY = 0.95, 0.90, "update"
@@ -79,103 +78,33 @@ def first_of_equals(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     return rows.withColumn("kept_id", F.min(order).over(w)).withColumn("is_first", F.col(order) == F.col("kept_id"))
 
 
-#: Rows of a batch that are settled at once, on the driver.
-RUN = 8192
-
-
-def first_of_near(rows: DataFrame, id_col: str, body: str, threshold: float = DUPLICATE, size: int = RUN) -> DataFrame:
+def first_of_near(rows: DataFrame, id_col: str, body: str, threshold: float = DUPLICATE) -> DataFrame:
     """id, kept_id, is_first of rows in order of id: a row whose hash embedding's cosine with an earlier kept row reaches the threshold is a copy of the first such row.
 
-    The rule depends on the order of rows, so they are taken in runs of ids; a run is sent to all blocks of rows kept
-    before, and what is left of it is settled in order. Equal texts are embedded once. Texts without words stay.
+    The rows are settled in rounds (greedy.leaders). Equal texts are embedded once. Texts without words, and null ones, stay.
     """
-    spark = rows.sparkSession
-    folder = staging.new_folder(spark, "near")
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(body).alias("body"))
     said = own.where(F.col("body").rlike("[A-Za-z0-9]"))
-    copies = first_of_equals(said.select("id", F.md5("body").alias("digest")), ["digest"], "id").select("id", F.col("kept_id").alias("first_id"))
-    copies.write.parquet(f"{folder}/copies")
-    copies = spark.read.parquet(f"{folder}/copies")
+    digests = said.select("id", F.unhex(F.md5("body")).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("first_id"))
+    copies = staging.staged(graph.even_join(digests, firsts, "digest").select("id", "first_id"), "copies")
 
     def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [vectors.hash_embed(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data = greedy.packed(vectors.token_sums_of(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
     firsts = copies.where("id = first_id").select("id")
-    n = firsts.count()
-    bounds = firsts.approxQuantile("id", [i * size / n for i in range(1, -(-n // size))], 0.0005) if n > size else []
-    run_of = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    told = said.join(firsts, "id", "left_semi").select("id", "body").mapInArrow(embedded, "id long, data binary").withColumn("run", run_of)
-    told.repartition(F.col("run"), F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("run").parquet(f"{folder}/rows")
-    told = spark.read.schema("id long, data binary, run int").parquet(f"{folder}/rows")
-
-    for run in range(len(bounds) + 1):
-        part = told.where(F.col("run") == run).select("id", "data")
-        found = sorted((r["id"], r["data"]) for r in part.collect())  # about `size` rows
-        if not found:
-            continue
-        ids, x = np.array([i for i, _ in found]), np.frombuffer(b"".join(d for _, d in found)).reshape(len(found), -1)
-        kept = np.full(len(ids), -1)
-        if run:
-            sent = spark.sparkContext.broadcast((ids, x))
-            for r in spark.read.schema("id long, data binary").parquet(f"{folder}/kept/*").mapInArrow(_near_of(sent, threshold), "id long, kept_id long").groupBy("id").agg(F.min("kept_id").alias("kept_id")).collect():
-                kept[np.searchsorted(ids, r["id"])] = r["kept_id"]
-            sent.destroy()
-        _settle(ids, x, kept, threshold)
-        spark.createDataFrame(list(zip(ids.tolist(), kept.tolist())), "id long, kept_id long").write.parquet(f"{folder}/found/{run}")
-        firsts_of_run = spark.sparkContext.broadcast(ids[kept == ids])
-
-        def only(batches: Iterator[pa.RecordBatch], of=firsts_of_run) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), of.value)))
-
-        part.mapInArrow(only, "id long, data binary").write.parquet(f"{folder}/kept/{run}")
-        firsts_of_run.destroy()
-    if not n:
-        return own.select("id", F.col("id").alias("kept_id"), F.lit(True).alias("is_first"))
-    of = spark.read.schema("id long, kept_id long").parquet(f"{folder}/found/*").withColumnRenamed("id", "first_id")
-    out = own.select("id").join(copies.join(of, "first_id").select("id", "kept_id"), "id", "left")
+    told = said.join(firsts, "id", "left_semi").select("id", "body").mapInArrow(embedded, "id long, data binary")
+    told = told.select("id", F.lit("").alias("grp"), F.col("id").alias("pos"), F.lit(vectors.DIM).alias("dim"), "data")
+    found = greedy.leaders(told, threshold).select(F.col("id").alias("first_id"), F.col("leader").alias("kept_id"))
+    of = graph.even_join(copies, found, "first_id").select("id", "kept_id")
+    out = own.select("id").join(of, "id", "left")
     return out.select("id", F.coalesce("kept_id", "id").alias("kept_id")).withColumn("is_first", F.col("id") == F.col("kept_id"))
 
 
-def _near_of(sent, threshold: float):
-    """id, kept_id: of each row sent, the least id of a task's rows that is near enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = sent.value
-        best = np.full(len(ids), np.iinfo(np.int64).max)
-        for batch in batches:
-            for at in range(0, batch.num_rows, search.BLOCK):
-                k, data = batch.slice(at, search.BLOCK).columns
-                y = np.frombuffer(b"".join(data.to_pylist())).reshape(len(k), -1)
-                for i in range(0, len(ids), search.BLOCK):
-                    near = x[i : i + search.BLOCK] @ y.T >= threshold
-                    best[i : i + search.BLOCK] = np.minimum(best[i : i + search.BLOCK], np.where(near, k.to_numpy(), np.iinfo(np.int64).max).min(1))
-        hit = best < np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(best[hit])], ["id", "kept_id"])
-
-    return run
-
-
-def _settle(ids: np.ndarray, x: np.ndarray, kept: np.ndarray, threshold: float) -> None:
-    """Fills kept (-1: not known) by the first kept row that is near enough, or the row itself; all in order of ids."""
-    for at in range(0, len(ids), search.BLOCK):
-        own = np.flatnonzero(kept[at : at + search.BLOCK] < 0) + at
-        before = np.flatnonzero(kept[:at] == ids[:at])
-        if len(own) and len(before):
-            near = x[own] @ x[before].T >= threshold
-            hit = near.any(1)
-            kept[own[hit]] = ids[before[near[hit].argmax(1)]]
-            own = own[~hit]
-        near = x[own] @ x[own].T >= threshold
-        for i, row in enumerate(own):
-            if kept[row] < 0:
-                kept[row] = ids[row]
-                later = own[i + 1 :][near[i, i + 1 :]]
-                kept[later[kept[later] < 0]] = ids[row]
-
-
 def merged(old: DataFrame, patch: DataFrame, as_of: Column) -> DataFrame:
     """Non-empty title, body, tags and metadata of the patch replace the old; importance and decay stay."""
     p = patch.select(F.col("id"), *[F.col(c).alias(f"p_{c}") for c in ("title", "body", "tags", "metadata") if c in patch.columns])

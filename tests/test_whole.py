@@ -6,7 +6,7 @@ import pytest
 from oracle import SF
 
 from recollect.functions import vectors
-from recollect.operators import search, store
+from recollect.operators import greedy, search, store
 from recollect.plans import knowledge, learning, reports, retrieval
 
 
@@ -60,8 +60,10 @@ def test_graph_components_of_all_lines_equal_union_find(spark):
     assert found == {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("size", [64, 8192])
-def test_near_duplicates_equal_a_loop(spark, size):
+@pytest.mark.parametrize("rows_of_class", [16, 2048])
+def test_near_duplicates_equal_a_loop(spark, monkeypatch, rows_of_class):
+    monkeypatch.setattr(greedy, "CLASS_ROWS", rows_of_class)
+    monkeypatch.setattr(greedy, "CLASS_BYTES", rows_of_class * 4 * 384)
     rows = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
     texts = dict(zip(rows["doc_id"].tolist(), rows["text"])) | {10**6: "...", 10**6 + 1: "...", 10**6 + 2: rows["text"].iloc[0] + " x"}
     kept: dict = {}
@@ -72,7 +74,7 @@ def test_near_duplicates_equal_a_loop(spark, size):
         if expected[i] == i:
             kept[i] = v
     df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
-    found = store.first_of_near(df, "id", "text", size=size).collect()
+    found = store.first_of_near(df, "id", "text").collect()
     assert {r["id"]: r["kept_id"] for r in found} == expected and len(found) == len(expected)
     assert all(r["is_first"] == (r["id"] == r["kept_id"]) for r in found)
     assert sum(texts[i] != texts[j] for i, j in expected.items()) > 0
