@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import staging
 from .search import FEATURES, PRIOR, pool_features
 
 #: Weights of a triple by its signal; others weigh 1.
@@ -62,29 +66,29 @@ def folds(rows: DataFrame, order: list[str], k: int, by: list[str]) -> DataFrame
     return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % k)
 
 
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+#: Margins beyond this are cut, so that no exponential overflows.
+MOST_MARGIN = 30.0
 
 
-def score_one(weights: dict[str, float], features: dict[str, float]) -> float:
-    return weights.get("bias", 0.0) + sum(weights.get(k, 0.0) * features.get(k, 0.0) for k in FEATURES)
+def fit(pairs: np.ndarray, weights: np.ndarray, rate: float = RATE, l2: float = L2, epochs: int = EPOCHS) -> dict[str, float]:
+    """Weights by pairwise logistic descent: a row of pairs is how a positive differs from another row, in order of FEATURES.
 
-
-def train(examples: list[dict], rate: float = RATE, l2: float = L2, epochs: int = EPOCHS) -> dict[str, float]:
-    """Pairwise logistic descent on {features: [...], positive: index, weight}, drawn to the prior.
-
-    Steps depend on their order, so this runs on the driver over the bounded set of harvested examples.
+    A step a row, in order, along the row by how unlikely its order still is, and towards the prior. The bias is the
+    prior's: it is no part of a difference.
     """
-    w = dict(PRIOR)
+    prior = np.array([PRIOR[k] for k in FEATURES])
+    w = prior.copy()
     for _ in range(epochs):
-        for x in examples:
-            best = x["features"][x["positive"]]
-            for j, other in enumerate(x["features"]):
-                if j != x["positive"]:
-                    g = -sigmoid(score_one(w, other) - score_one(w, best)) * x.get("weight", 1.0)
-                    for k in w:
-                        w[k] -= rate * (g * (best.get(k, 0.0) - other.get(k, 0.0)) + l2 * (w[k] - PRIOR[k]))
-    return w
+        for d, weight in zip(pairs, weights):
+            unlikely = weight / (1 + np.exp(np.clip(d @ w, -MOST_MARGIN, MOST_MARGIN)))
+            w += rate * (unlikely * d - l2 * (w - prior))
+    return {"bias": PRIOR["bias"]} | dict(zip(FEATURES, w.tolist()))
+
+
+def mean_loss(pairs: np.ndarray, weights: dict[str, float]) -> float:
+    """Mean pairwise logistic loss; 0 without pairs."""
+    margins = np.clip(pairs @ np.array([weights.get(k, 0.0) for k in FEATURES]), -MOST_MARGIN, MOST_MARGIN)
+    return float(np.log1p(np.exp(-margins)).mean()) if len(pairs) else 0.0
 
 
 def gate_loss(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -141,42 +145,71 @@ def examples(triples: DataFrame, pools: DataFrame) -> DataFrame:
     return own.select("scope", "query", "positive", "weight", "id", "is_positive", *[f"f_{k}" for k in FEATURES])
 
 
-def promotion(found: DataFrame, registry: DataFrame, scope: str, as_of: Column, margin: float = 0.0, min_samples: int = MIN_SAMPLES, share: float = GATE_SHARE, dry_run: bool = False, **training) -> dict:
-    """Trains on a scope's examples, holds every n-th one out, and promotes weights that beat the current ones there.
+#: Examples of a scope that a training takes: the first by query and positive.
+MOST_EXAMPLES = 1000
+TRAINED = "scope string, weights map<string,double>, new_score double, incumbent_score double"
+
 
-    Gives decision, n_train, n_gate, losses, the new registry, and a row for the audit. Examples are harvested in bounded
-    numbers, and training is a sequence of steps, so both are on the driver.
+def numbered(found: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
+    """scope, query, positive, n (from 1): the examples that a scope's training takes."""
+    w = Window.partitionBy("scope").orderBy("query", "positive")
+    return found.select("scope", "query", "positive").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+
+
+def trained(found: DataFrame, numbers: DataFrame, incumbent: DataFrame, every: int, **training) -> DataFrame:
+    """TRAINED for each scope of numbers: a scope's bounded examples are one group, and scopes are trained beside each other.
+
+    Every n-th example is held out; both losses are those of the held-out ones. incumbent has scope and weights.
     """
-    spark = found.sparkSession
-    rows = found.where(F.col("scope") == scope).orderBy("query", "positive", "id").collect()
-    by: dict[tuple, dict] = {}
-    for r in rows:
-        x = by.setdefault((r["query"], r["positive"]), {"features": [], "positive": None, "weight": r["weight"]})
-        if r["is_positive"]:
-            x["positive"] = len(x["features"])
-        x["features"].append({k: r[f"f_{k}"] for k in FEATURES})
-    every, own = max(2, math.floor(1 / share)), list(by.values())
-    gate = [x for i, x in enumerate(own, 1) if i % every == 0]
-    kept = [x for i, x in enumerate(own, 1) if i % every]
-    new = new_loss = old_loss = None
-    if len(own) >= min_samples and kept and gate:
-        current = registry.where((F.col("scope") == scope) & (F.col("kind") == "reranker") & F.col("is_current")).orderBy(F.col("version").desc()).first()
-        new = train(kept, **training)
-        new_loss, old_loss = mean_loss(gate, new), mean_loss(gate, current["weights"] if current else PRIOR)
-    decision = decide(len(own), new_loss, old_loss, margin, min_samples)
-    if decision == "promote" and not dry_run:
-        entry = spark.createDataFrame([(scope, "reranker", new, new_loss)], "scope string, kind string, weights map<string,double>, score double").withColumn("created_at", as_of)
-        registry = registered(registry, entry)
-    told = f"would-{decision}" if dry_run and decision != "skip" else decision
-    note = f"{len(own)} examples, {min_samples} needed" if decision == "skip" else None
-    audit = spark.createDataFrame([(scope, "reranker", told, new_loss, old_loss, len(kept), len(gate), note)], "scope string, kind string, decision string, new_score double, incumbent_score double, n_train int, n_gate int, note string").withColumn("created_at", as_of)
-    return {"decision": told, "weights": new, "registry": registry, "audit": audit}
-
-
-def mean_loss(examples: list[dict], weights: dict[str, float]) -> float:
-    """Mean pairwise logistic loss of examples as train() takes them."""
-    margins = [score_one(weights, x["features"][x["positive"]]) - score_one(weights, other) for x in examples for j, other in enumerate(x["features"]) if j != x["positive"]]
-    return sum(math.log1p(math.exp(-max(-30.0, min(30.0, m)))) for m in margins) / len(margins) if margins else 0.0
+    key = ["scope", "query", "positive"]
+    values = F.array(*[F.col(f"f_{k}") for k in FEATURES])
+    best = found.where("is_positive").select(*key, "weight", values.alias("best"))
+    other = found.where("not is_positive").select(*key, "id", values.alias("other"))
+    pairs = numbers.join(best, key, "left").join(other, key, "left").join(incumbent, "scope", "left")
+    pairs = pairs.select("scope", "n", "id", "weight", F.zip_with("best", "other", lambda x, y: x - y).alias("d"), F.array(*[F.element_at("weights", k) for k in FEATURES]).alias("now"), F.col("weights").isNotNull().alias("has"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("id", "ascending")])
+        real = table.filter(pc.is_valid(table.column("d")))
+        d = np.array(real.column("d").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+        gate = real.column("n").to_numpy() % every == 0
+        new = fit(d[~gate], real.column("weight").to_numpy()[~gate], **training)
+        now = dict(zip(FEATURES, table.column("now")[0].as_py())) if table.column("has")[0].as_py() else PRIOR
+        row = {"scope": table.column("scope")[0].as_py(), "weights": list(new.items()), "new_score": mean_loss(d[gate], new), "incumbent_score": mean_loss(d[gate], {k: v or 0.0 for k, v in now.items()})}
+        return pa.table({k: pa.array([v], pa.map_(pa.string(), pa.float64()) if k == "weights" else None) for k, v in row.items()})
+
+    return pairs.groupBy("scope").applyInArrow(run, TRAINED)
+
+
+def promotions(found: DataFrame, registry: DataFrame, as_of: Column, margin: float = 0.0, min_samples: int = MIN_SAMPLES, share: float = GATE_SHARE, dry_run: bool = False, most: int = MOST_EXAMPLES, **training) -> dict[str, DataFrame]:
+    """Trains every scope's reranker on its examples (as examples() gives them), in one job, and promotes weights that beat the current ones on those held out.
+
+    outcome: scope, decision, weights, new_score, incumbent_score, n_train, n_gate; registry: with new versions; audit: a
+    row for each scope. A scope of fewer than min_samples examples is skipped.
+    """
+    every = max(2, math.floor(1 / share))
+    numbers = staging.staged(numbered(found, most), "numbers")
+    sizes = numbers.groupBy("scope").agg(F.count("*").alias("n_examples"))
+    enough = sizes.where((F.col("n_examples") >= min_samples) & (F.col("n_examples") >= every)).select("scope")
+    incumbent = current_weights(registry.where("kind = 'reranker'")).select("scope", "weights")
+    out = sizes.join(trained(found, numbers.join(enough, "scope", "left_semi"), incumbent, every, **training), "scope", "left")
+    decision = F.when(F.col("new_score").isNull(), "skip").when(F.col("new_score") < F.col("incumbent_score") - margin, "promote").otherwise("reject")
+    n_gate = F.floor(F.col("n_examples") / every).cast("int")
+    out = staging.staged(out.withColumns({"decision": decision, "n_gate": n_gate, "n_train": F.col("n_examples").cast("int") - n_gate}), "promotions")
+    if not dry_run:
+        registry = registered(registry, out.where("decision = 'promote'").select("scope", F.lit("reranker").alias("kind"), "weights", F.col("new_score").alias("score"), as_of.alias("created_at")))
+    told = F.when(F.lit(dry_run) & (F.col("decision") != "skip"), F.concat(F.lit("would-"), "decision")).otherwise(F.col("decision"))
+    out = out.withColumn("decision", told)
+    note = F.when(F.col("decision") == "skip", F.concat(F.col("n_examples").cast("string"), F.lit(f" examples, {min_samples} needed")))
+    audit = out.select("scope", F.lit("reranker").alias("kind"), "decision", "new_score", "incumbent_score", "n_train", "n_gate", note.alias("note"), as_of.alias("created_at"))
+    return {"outcome": out.drop("n_examples"), "registry": registry, "audit": audit}
+
+
+def promotion(found: DataFrame, registry: DataFrame, scope: str, as_of: Column, **options) -> dict:
+    """promotions() of one scope: its decision and weights, the registry and the audit; a scope without examples is skipped without a row."""
+    out = promotions(found.where(F.col("scope") == scope), registry, as_of, **options)
+    own = out["outcome"].first()
+    return {"decision": own["decision"] if own else "skip", "weights": own["weights"] if own else None, "registry": out["registry"], "audit": out["audit"]}
 
 
 def registered(registry: DataFrame, new: DataFrame) -> DataFrame:

@@ -163,10 +163,21 @@ def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examples(spark, sf_dir).select("query", "positive", "id", "is_positive", *[rounded(f"f_{k}").alias(f"f_{k}") for k in search.FEATURES])
 
 
+def _promotions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from ..schema import WEIGHTS
+
+    found = _examples(spark, sf_dir).withColumn("scope", F.concat(F.lit("shop"), (F.col("positive") % 20).cast("string")))
+    return learning.promotions(found, spark.createDataFrame([], WEIGHTS).drop("id"), as_of(), epochs=3)
+
+
 @query()
 def promotion_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit row of a promotion by held-out loss, from the latest 500 reinforcements: a harvest for training has a limit."""
-    from ..schema import WEIGHTS
+    """The audit rows of a promotion by held-out loss, of all scopes in one job; a scope's training takes at most 1,000 examples."""
+    audit = _promotions(spark, sf_dir)["audit"]
+    return audit.select("scope", "kind", "decision", rounded("new_score").alias("new_score"), rounded("incumbent_score").alias("incumbent_score"), "n_train", "n_gate")
+
 
-    out = learning.promotion(_examples(spark, sf_dir, 500), spark.createDataFrame([], WEIGHTS).drop("id"), "shop", as_of(), epochs=3)
-    return out["audit"].select("scope", "kind", "decision", rounded("new_score").alias("new_score"), rounded("incumbent_score").alias("incumbent_score"), "n_train", "n_gate")
+@query(learned.HARVEST + ", n AS (SELECT 'shop' || positive % 20 AS scope, least(count(*), 1000) AS n FROM t GROUP BY ALL) SELECT scope, CAST(n - n // 3 AS INT) AS n_train, CAST(n // 3 AS INT) AS n_gate, n < 20 AS skipped FROM n")
+def promotion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many examples train and gate each scope, and which scopes have too few."""
+    return _promotions(spark, sf_dir)["audit"].select("scope", "n_train", "n_gate", (F.col("decision") == "skip").alias("skipped"))

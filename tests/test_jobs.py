@@ -235,6 +235,38 @@ def test_promotion_needs_examples_and_a_better_loss(spark):
     assert out["registry"].where("is_current").first()["version"] == 1
 
 
+def test_scopes_are_trained_as_if_alone(spark):
+    from recollect.schema import WEIGHTS
+
+    empty = spark.createDataFrame([], WEIGHTS).drop("id")
+    rng = np.random.default_rng(9)
+    features = ", ".join(f"f_{k} double" for k in search.FEATURES)
+    rows = [(f"s{s}", f"q{q:03}", 1, 1.0 + q % 2, i, i == 0, *rng.random(6).tolist()) for s, n in (("a", 30), ("b", 61), ("c", 19), ("d", 25)) for q in range(n) for i in range(1 if q == 4 else 3)]
+    found = spark.createDataFrame(rows, f"scope string, query string, positive long, weight double, id long, is_positive boolean, {features}").repartition(5)
+    out = learning.promotions(found, empty, as_of(), epochs=4, most=50)
+    audit = {r["scope"]: r for r in out["outcome"].collect()}
+    assert {k: (r["n_train"], r["n_gate"]) for k, r in audit.items()} == {"sa": (20, 10), "sb": (34, 16), "sc": (13, 6), "sd": (17, 8)} and audit["sc"]["decision"] == "skip"
+    for scope in ("sa", "sb", "sd"):
+        pairs, weights, gate = [], [], []
+        for n, q in enumerate(sorted({r[1] for r in rows if r[0] == scope})[:50], 1):
+            own = [r for r in rows if r[0] == scope and r[1] == q]
+            best = next(r for r in own if r[5])
+            for r in sorted(own, key=lambda r: r[4]):
+                if not r[5]:
+                    pairs.append([x - y for x, y in zip(best[6:], r[6:])])
+                    weights.append(r[3])
+                    gate.append(n % 3 == 0)
+        pairs, weights, gate = np.array(pairs), np.array(weights), np.array(gate)
+        w = learning.fit(pairs[~gate], weights[~gate], epochs=4)
+        assert all(abs(audit[scope]["weights"][k] - w[k]) < 1e-9 for k in w)
+        assert abs(audit[scope]["new_score"] - learning.mean_loss(pairs[gate], w)) < 1e-9 and abs(audit[scope]["incumbent_score"] - learning.mean_loss(pairs[gate], search.PRIOR)) < 1e-9
+        alone = learning.promotion(found, empty, scope, as_of(), epochs=4, most=50)
+        assert alone["decision"] == audit[scope]["decision"] and alone["weights"] == audit[scope]["weights"]
+    kept = {r["scope"] for r in out["registry"].where("is_current and version = 1").collect()}
+    assert kept == {k for k, r in audit.items() if r["decision"] == "promote"}
+    assert learning.promotions(found.limit(0), empty, as_of())["audit"].count() == 0
+
+
 def test_examples_hold_their_positive(spark):
     triples = spark.createDataFrame([("s", "q", 1, [2], 1.0, "x"), ("s", "p", 9, [2], 1.0, "x")], "scope string, query string, positive long, negatives array<long>, weight double, signal string")
     pools = spark.createDataFrame([("s", q, i, float(i), 0.0, 0.0, 0.0, 1) for q in "qp" for i in (1, 2)], "scope string, query string, id long, score double, vec_score double, fts_score double, importance double, tier int")

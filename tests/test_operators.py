@@ -111,9 +111,18 @@ def test_harvest_prefers_the_heavier_signal(spark):
 
 
 def test_trainer_lowers_the_loss_and_gates(spark):
-    examples = [{"features": [{"score": 0.2, "reuse": 1.0}, {"score": 0.9, "reuse": 0.0}], "positive": 0, "weight": 1.0}] * 5
-    w = learning.train(examples, epochs=60)
-    assert learning.score_one(w, examples[0]["features"][0]) > learning.score_one(w, examples[0]["features"][1])
+    rng = np.random.default_rng(5)
+    pairs, weights = rng.normal(size=(40, len(search.FEATURES))), rng.choice([1.0, 2.0, 3.0], size=40)
+    w = dict(search.PRIOR)
+    for _ in range(7):  # one number at a time
+        for d, weight in zip(pairs.tolist(), weights.tolist()):
+            margin = sum(w[k] * x for k, x in zip(search.FEATURES, d))
+            for k, x in zip(search.FEATURES, d):
+                w[k] += 0.1 * (weight * x / (1 + np.exp(margin)) - 0.01 * (w[k] - search.PRIOR[k]))
+    found = learning.fit(pairs, weights, epochs=7)
+    assert found.keys() == w.keys() and all(abs(found[k] - w[k]) < 1e-9 for k in w)
+    assert learning.mean_loss(pairs[:5], learning.fit(pairs[:5], weights[:5])) < learning.mean_loss(pairs[:5], search.PRIOR)
+    assert learning.mean_loss(pairs[:0], w) == 0.0 and all(np.isfinite(list(learning.fit(pairs * 1e6, weights, epochs=2).values())))
     assert learning.decide(10, 0.1, 0.9) == "skip" and learning.decide(20, 0.1, 0.9) == "promote" and learning.decide(20, 0.9, 0.9) == "reject"
 
 
