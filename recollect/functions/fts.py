@@ -131,23 +131,24 @@ def cover_density(title: Column, body: Column, query: str) -> Column:
 
 
 def postings(rows: DataFrame, key: str, body: Column) -> DataFrame:
-    """key, lexeme, positions (ascending): a text's stems; texts without any have no rows."""
+    """key, lexeme, positions (ascending), words: a text's stems, and how many of its words are indexed; texts without any have no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                of, names, places = [], [], []
+                of, names, places, words = [], [], [], []
                 for i, value in enumerate(part.column(1).to_pylist()):
                     own: dict[str, list[int]] = {}
                     for w, place in lexemes(value or ""):
                         own.setdefault(w, []).append(place)
                     of += [i] * len(own)
+                    words += [sum(map(len, own.values()))] * len(own)
                     names += own
                     places += own.values()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], [key, "lexeme", "positions"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.int32())], [key, "lexeme", "positions", "words"])
 
-    return rows.select(key, body.cast("string").alias("_body")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, lexeme string, positions array<int>")
+    return rows.select(key, body.cast("string").alias("_body")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, lexeme string, positions array<int>, words int")
 
 
 def ranked(index: DataFrame, key: str, query: str) -> DataFrame:

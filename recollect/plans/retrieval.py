@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import staging
 from ..functions import fts, scores, text, timewindow, vectors
-from ..operators import evaluation, graph, lifecycle, search
+from ..operators import blockmax, codes, evaluation, graph, lifecycle, search
 from .fixtures import AS_OF, CANDIDATES, MEMORIES, TERMS, WORDS, as_of, day, memories, query_vector, rounded, seconds, table
 from .registry import query
 
@@ -21,16 +21,29 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_top(rows, query_vector(spark, sf_dir), 10).select("id", rounded("similarity").alias("similarity"))
 
 
-@query("""
+#: The ten nearest rows of each query.
+NEAREST = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s QUALIFY rank <= 10""")
+SELECT query_id, id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query(NEAREST)
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = search.batch_top(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 10)
     return found.select("query_id", "id", rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(NEAREST)
+def vector_topk_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk_batch from an index of 8-bit codes with error bounds: only rows whose bound may reach are read in full."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = staging.staged(codes.index(rows, "vec_id", "embedding"), "codes")
+    found = codes.top(rows.where("vec_id % 20 = 0"), rows, index, "vec_id", "embedding", 10)
+    return found.select("query_id", "id", rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 def _searched(rows: DataFrame) -> DataFrame:
     return rows.select("id", "scope", "kind", "tier", rounded("vec_score").alias("vec_score"), rounded("fts_score").alias("fts_score"), rounded("weight").alias("weight"), rounded("score").alias("score"))
 
@@ -165,12 +178,13 @@ def source_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANES = vectors.hyperplanes(64, 8, 12, 20240301)
 
 
-@query()
+@query(NEAREST)
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest rows of the query set: from the buckets where those are sure to hold them, else from all rows; recall is measured in the tests."""
     rows = table(spark, sf_dir, "embeddings").withColumn("keys", vectors.lsh_keys(F.col("embedding"), PLANES))
     sure = search.sure_cosine(*PLANES.shape[:2])
-    return search.lsh_top_whole(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "keys", 10, sure)
+    found = search.lsh_top_whole(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "keys", 10, sure)
+    return found.select("query_id", "id", rounded("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -283,3 +297,11 @@ s AS (SELECT f.*, coalesce(list_cosine_similarity(e, qe), 0) AS vec_score, coale
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search whose lexical leg is read from an index of stems and positions."""
     return _searched(search.hybrid(memories(spark, sf_dir), query_vector(spark, sf_dir), [], as_of(), ranks=stemmed_ranks(spark, sf_dir)))
+
+
+@query(f"WITH {MEMORIES}, {RANKS} SELECT id, round(rank, 6) AS fts_score FROM ranks ORDER BY ranks.rank DESC, id LIMIT 10")
+def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of greatest cover density, from an index whose blocks of rows have the most they can score."""
+    rows = memories(spark, sf_dir).select("id", "title", "body")
+    index = blockmax.build(rows, "id", F.concat_ws(" ", "title", "body"))
+    return blockmax.top(index, "id", STEMMED, 10).select("id", rounded("fts_score").alias("fts_score"))
