@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import staging
 from ..functions import fts, scores, text, timewindow, vectors
-from ..operators import blockmax, codes, evaluation, graph, lifecycle, search
+from ..operators import blockmax, codes, evaluation, graph, lifecycle, search, tuning
 from .fixtures import AS_OF, CANDIDATES, MEMORIES, TERMS, WORDS, as_of, day, memories, query_vector, rounded, seconds, table
 from .registry import query
 
@@ -252,18 +252,26 @@ def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_metrics(evaluation.metrics(_ranks(spark, sf_dir), by=["label"]), ["label"])
 
 
-@query(f"""
+#: The best gold rank within ten of each query under each of eleven blends.
+SWEPT = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, a.label AS ql, b.vec_id AS id, b.label AS l, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS r FROM s QUALIFY r <= 20),
 x AS (SELECT i AS blend, query_id, id, ql = l AS gold, row_number() OVER (PARTITION BY i, query_id ORDER BY (10 - i) / CAST(10 AS DOUBLE) * c + i / CAST(10 AS DOUBLE) * CAST(id % 11 AS DOUBLE) / 10 DESC, id) AS rank FROM k, range(0, 11) g(i)),
 f AS (SELECT blend, query_id, min(rank) FILTER (gold AND rank <= 10) AS rank FROM x GROUP BY blend, query_id)
-SELECT blend, {METRICS} FROM f GROUP BY blend""")
+"""
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    found = search.batch_top(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 20)
+    return found.select("query_id", "id", F.col("similarity").alias("vec_n"), ((F.col("id") % 11) / F.lit(10.0)).alias("fts_n"))
+
+
+@query(SWEPT + f"SELECT blend, {METRICS} FROM f GROUP BY blend")
 def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven blends over one scored set of candidates."""
     rows = table(spark, sf_dir, "embeddings")
-    found = search.batch_top(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 20)
-    scored = found.select("query_id", "id", F.col("similarity").alias("vec_n"), ((F.col("id") % 11) / F.lit(10.0)).alias("fts_n"))
+    scored = _scored(rows)
     blends = spark.range(0, 11, 1, 1).select(F.col("id").alias("blend"), ((10 - F.col("id")) / F.lit(10.0)).alias("wv"), (F.col("id") / F.lit(10.0)).alias("wf"))
     best = evaluation.blend_sweep(scored, blends, 10)
     label = rows.select("vec_id", "label")
@@ -272,6 +280,22 @@ def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_metrics(evaluation.metrics(ranks, by=["blend"]), ["blend"])
 
 
+@query(SWEPT + "SELECT blend, count(*) AS n, count(rank) AS hits FROM f GROUP BY blend")
+def blend_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the eleven blends, read from the curve of hits over all blends."""
+    rows = table(spark, sf_dir, "embeddings")
+    scored = staging.staged(_scored(rows), "scored")
+    label = rows.select("vec_id", "label")
+    same = scored.join(label.toDF("query_id", "label"), "query_id").join(label.toDF("id", "other"), "id").where("label = other")
+    gold = scored.select("query_id").distinct().withColumn("id", F.lit(-1)).union(same.select("query_id", "id"))  # a query without a gold row counts too
+    pieces = staging.staged(tuning.rank_pieces(scored, gold), "pieces")
+    points = spark.range(0, 11, 1, 1).select(F.col("id").alias("blend"), (F.col("id") / F.lit(10.0)).alias("b"))
+    on = F.when((F.col("b") == 0) | (F.col("b") == 1), (F.col("lo") == F.col("b")) & (F.col("hi") == F.col("b"))).otherwise((F.col("lo") < F.col("b")) & (F.col("b") <= F.col("hi")))
+    n = pieces.agg(F.count_distinct("query_id").alias("n"))
+    found = tuning.curve(pieces, 10).join(F.broadcast(points), on).crossJoin(F.broadcast(n))  # eleven rows, and one
+    return found.select("blend", "n", F.col("hits").cast("long").alias("hits"))
+
+
 #: Words of the documents that share the stems of STEMMED: these alone, so that SQL needs no stemmer.
 STEMMED, FORMS = "tions thties", ("tion(s|es|ed|ing)?", "tht(i|is|ies|ied|iing)")
 RANKS = f"""k AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT id, {WORDS.format("title || ' ' || body")} AS w FROM m)),
