@@ -82,10 +82,30 @@ def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("full_name", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") == F.col("b"), "unchanged").otherwise("changed").alias("change"))
 
 
+#: Lines of a bin of the join of hunks with symbols.
+BIN_LINES = 64
+
+
+def within(spans: DataFrame, points: DataFrame, on: Column, first: Column, last: Column, at: Column, width: int = BIN_LINES) -> DataFrame:
+    """spans join points where on holds and at is from first to last, both included.
+
+    A span goes to all bins that it touches and a point to its own, so that each pair meets once, by an equi-join: a path
+    with very many points is dealt by their bins. Spans that end before they begin, or have a null end, meet nothing.
+    """
+    bins = F.sequence(F.floor(first / width), F.floor(last / width))
+    left = spans.where(first <= last).withColumn(BIN, F.explode(bins))
+    right = points.withColumn(OTHER_BIN, F.floor(at / width))
+    return left.join(right, on & (F.col(BIN) == F.col(OTHER_BIN)) & at.between(first, last)).drop(BIN, OTHER_BIN)
+
+
+#: Columns of a join, for a while.
+BIN, OTHER_BIN = "recollect bin of span", "recollect bin of point"
+
+
 def attributed(hunks: DataFrame, symbols: DataFrame, most: int = SYMBOLS_EACH_HUNK) -> DataFrame:
     """hunk_id, name: symbols (path, line, name) that begin within a hunk's old lines and what it adds, the first ones by line."""
     until = F.col("from_line") + F.col("from_count") + F.size("added")
-    found = hunks.join(symbols, (F.col("file_path") == F.col("path")) & F.col("line").between(F.col("from_line"), until))
+    found = within(hunks, symbols, F.col("file_path") == F.col("path"), F.col("from_line"), until, F.col("line"))
     w = Window.partitionBy("hunk_id").orderBy("line", "name")
     return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("hunk_id", "name", "line")
 

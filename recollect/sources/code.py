@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate, takewhile
 
@@ -34,12 +34,16 @@ class Token:
 class Tokens:
     """The tokens of a source without its comments, and the comment text of each line that has nothing else."""
 
-    def __init__(self, source: str, pattern: re.Pattern):
+    def __init__(self, source: str, pattern: re.Pattern, literal: Callable[[str, int, Token | None], int] = lambda source, at, before: at):
+        """literal: where a literal ends that begins at a place behind a token, which a pattern can't tell; the place itself if none does."""
         self.all: list[Token] = []
         self.comments: dict[int, str] = {}
-        line, coded = 1, 0
-        for m in pattern.finditer(source):
-            kind, text = m.lastgroup or "other", m[0]
+        line, coded, at = 1, 0, 0
+        while at < len(source):
+            end = literal(source, at, self.all[-1] if self.all else None)
+            m = None if end > at else pattern.match(source, at)
+            kind, text = ("string", source[at:end]) if m is None else (m.lastgroup or "other", m[0])
+            at += len(text)
             if kind == "comment" and coded != line:
                 self.comments |= {line + i: x for i, x in enumerate(text.split("\n"))}
             elif kind not in ("comment", "space"):
@@ -92,9 +96,53 @@ LUA = re.compile(
     r"(?P<comment>--\[(?P<c>=*)\[[\s\S]*?(?:\](?P=c)\]|\Z)|--[^\n]*)|(?P<string>\[(?P<s>=*)\[[\s\S]*?\](?P=s)\]|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<space>\s+)|(?P<name>[A-Za-z_]\w*)|(?P<other>\.\.\.|\.\.|[\s\S])"
 )
 JAVASCRIPT = re.compile(
-    r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`)|(?P<space>\s+)|(?P<name>[#\w$]+)|(?P<other>\.\.\.|=>|[\s\S])"
+    r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<space>\s+)|(?P<name>[#\w$]+)|(?P<other>\.\.\.|=>|[\s\S])"
 )
 
+#: A regular expression between slashes; words behind which a slash begins one, and signs behind which it doesn't.
+PATTERN = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+BEFORE_PATTERN = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
+NOT_BEFORE_PATTERN = frozenset(")]}<")
+
+
+def javascript_literal(source: str, at: int, before: Token | None) -> int:
+    """The end of the template, or of the regular expression, that begins at a place."""
+    if source[at] == "`":
+        return template_end(source, at)
+    if source[at] != "/":
+        return at
+    value = before is not None and (before.kind == "string" or before.kind == "name" and before.text not in BEFORE_PATTERN or before.text in NOT_BEFORE_PATTERN)
+    found = None if value else PATTERN.match(source, at)
+    return found.end() if found else at
+
+
+def template_end(source: str, at: int) -> int:
+    """Behind the backtick that closes the one at a place; code inside it may hold braces, strings and further templates."""
+    open_ = ["`"]  # templates, and the braces of code in them
+    at += 1
+    while at < len(source) and open_:
+        c = source[at]
+        if c == "\\":
+            at += 2
+            continue
+        if open_[-1] == "`":
+            if c == "`":
+                open_.pop()
+            elif source.startswith("${", at):
+                open_.append("{")
+                at += 1
+        elif c in "`{":
+            open_.append(c)
+        elif c == "}":
+            open_.pop()
+        elif c in "\"'" and (m := QUOTED.match(source, at)):
+            at = m.end() - 1
+        at += 1
+    return min(at, len(source))
+
+
+QUOTED = re.compile(r"\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'")
+
 
 def lua(source: str) -> Parsed:
     out, tokens = Parsed(), Tokens(source, LUA)
@@ -128,7 +176,7 @@ def lua(source: str) -> Parsed:
 
 
 def javascript(source: str) -> Parsed:
-    out, tokens = Parsed(), Tokens(source, JAVASCRIPT)
+    out, tokens = Parsed(), Tokens(source, JAVASCRIPT, javascript_literal)
     classes: list[tuple[int, str, int]] = []  # first and last place of the body, name; the innermost last
     for at, token in enumerate(tokens.all):
         while classes and at > classes[-1][2]:

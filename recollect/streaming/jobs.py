@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import lifecycle
 
 IDLE_SECONDS, DEBOUNCE_SECONDS = 1800, 3600
 
@@ -17,22 +19,51 @@ def idle_scopes(writes: DataFrame, scope: str = "scope", at: str = "ts", idle: i
     return spells.select(scope, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("idle_at"), "n_writes")
 
 
-def debounced(writes: DataFrame, scope: str = "scope", at: str = "ts", every: int = DEBOUNCE_SECONDS) -> DataFrame:
-    """scope, claimed_at: the writes that may start a digest, at most one in `every` seconds a scope."""
+class Claims(StatefulProcessor):
+    """The last claim of a scope, until the watermark is beyond the time that it blocks: after that it could change nothing."""
+
+    def __init__(self, scope: str, at: str, every: int):
+        self.scope, self.at, self.every = scope, at, every * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
 
-    def claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
         taken = []
-        for t in sorted(int(x.value // 1000) for b in batches for x in b[at]):
-            if last is None or t - last >= every * 1_000_000:
+        for t in sorted(int(x.value // 1000) for b in rows for x in b[self.at]):
+            if last is None or t - last >= self.every:
                 taken.append(t)
                 last = t
-        if last is not None:
-            state.update((last,))
         if taken:
-            yield pd.DataFrame({scope: [key[0]] * len(taken), "claimed_at": pd.to_datetime(taken, unit="us")})
+            for timer in [x[0] if isinstance(x, tuple) else x for x in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.last.update((last,))
+            self.handle.registerTimer(-(-(last + self.every) // 1000))
+            yield pd.DataFrame({self.scope: [key[0]] * len(taken), "claimed_at": pd.to_datetime(taken, unit="us")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(writes: DataFrame, scope: str = "scope", at: str = "ts", every: int = DEBOUNCE_SECONDS, late: str = "1 hour") -> DataFrame:
+    """scope, claimed_at: the writes that may start a digest, at most one in `every` seconds a scope.
+
+    The stream's query needs the RocksDB state store, which this sets for the session. A scope has state only while a
+    claim blocks others; rows that are later than `late` are dropped, and counted in the query's progress.
+    """
+    writes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own = writes.withWatermark(at, late).groupBy(scope)
+    return own.transformWithStateInPandas(Claims(scope, at, every), f"{scope} string, claimed_at timestamp", "Append", "EventTime")
 
-    return writes.groupBy(scope).applyInPandasWithState(claim, f"{scope} string, claimed_at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+
+#: The store that keyed state with timers needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_markers(events: DataFrame, marker: str, at: str, late: str = "1 day") -> DataFrame:
@@ -64,6 +95,21 @@ def consolidating(stream: DataFrame, run: Callable[[DataFrame], None], checkpoin
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def summarising(writes: DataFrame, stored: Callable[[], DataFrame], write: Callable[[dict[str, DataFrame], int], None], checkpoint: str, as_of: Column, idle: int = IDLE_SECONDS, late: str = "1 hour", every: str | None = None, **options):
+    """Summarises the old rows of the scopes that fell idle since the last batch (lifecycle.summarise_run), by a timer or once for what is there.
+
+    stored() gives the rows as they are; write(parts, batch number) puts the summaries and what is left in their place. A
+    batch that is run again has the same number.
+    """
+
+    def step(idlers: DataFrame, number: int) -> None:
+        own = stored().join(idlers.select("scope").distinct(), "scope", "left_semi")
+        write(lifecycle.summarise_run(own, as_of, **options), number)
+
+    writer = idle_scopes(writes, idle=idle, late=late).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def drained(spark: SparkSession, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """The rows that a stream gives for what is there, as a table beside its checkpoint."""
     out = f"{checkpoint}/rows"

@@ -236,3 +236,36 @@ def test_benchmark_loader(spark, tmp_path):
     (s,) = sessions.collect()
     assert s["session_id"] == "session_1" and s["body"] == "A: hi" and str(s["at"]) == "2023-05-08 13:56:00"
     assert [r["session_id"] for r in gold.collect()] == ["session_1"]
+
+
+def test_regex_literals_and_nested_templates_hide_nothing():
+    js = "\n".join(
+        [
+            "const clean = (s) => s.replace(/`/g, \"'\").replace(/[\"'/]/, '');",
+            "function one() { return /\\/'/.test(x) ? 1 : a / b / c; }",
+            "const t = `a ${list.map(x => `<${x + '}'}>`).join('`')} b`;",
+            "function two(a) { return `${/* c */ a}` }",
+            "if (a) /x'/.exec(b); // it's",
+            "class Box { go() { return (1 + 2) / 3; } }",
+            "const half = n => n / 2; const s = 'it`s';",
+            "function three() {}",
+            "const bad = `never closed function four() {}",
+        ]
+    )
+    found = [(x["full_name"], x["line"]) for x in code.parse(js, "a.js").symbols]
+    assert found == [("clean", 1), ("one", 2), ("two", 4), ("Box", 6), ("Box.go", 6), ("half", 7), ("three", 8)]
+
+
+def test_hunks_meet_symbols_of_their_bins_once(spark):
+    rng = np.random.default_rng(1)
+    hunks = [(i, "hot" if i % 3 else f"p{i % 5}", int(rng.integers(0, 900)), int(rng.integers(0, 300)), ["+"] * int(rng.integers(0, 4))) for i in range(60)] + [(100, "hot", 64, 0, []), (101, "hot", 10, -9, []), (102, None, 1, 5, [])]
+    symbols = [("hot" if i % 4 else f"p{i % 5}", int(rng.integers(0, 1200)), f"s{i}") for i in range(500)] + [("hot", 64, "edge")]
+    h = spark.createDataFrame(hunks, "hunk_id long, file_path string, from_line int, from_count int, added array<string>")
+    y = spark.createDataFrame(symbols, "path string, line int, name string")
+    expected = []
+    for i, path, a, n, added in hunks:
+        own = sorted((line, name) for p, line, name in symbols if p == path and a <= line <= a + n + len(added))
+        expected += [(i, name, line) for line, name in own[:10]]
+    assert sorted(tuple(r) for r in codeindex.attributed(h, y).collect()) == sorted(expected)
+    plan = codeindex.attributed(h, y)._jdf.queryExecution().executedPlan().toString()
+    assert "recollect bin of span" in plan
