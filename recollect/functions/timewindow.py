@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Column
+
 DAY = 86400
 #: Months by name and short name, and seasons (first and last month) of the northern hemisphere.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -111,3 +113,18 @@ def parse(query: str | None, as_of: datetime) -> Window | None:
         if (found := pattern.search(query.lower())) and (window := make(found.groups(), now.timestamp(), now)):
             return window
     return None
+
+
+def windows_of(said: Column, as_of: datetime) -> Column:
+    """centre, half of the window that each text names, null without one; in Arrow batches, each distinct text once."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("struct<centre:double,half:double>")
+    def run(values):
+        import pandas as pd
+
+        found = {x: parse(x, as_of) for x in values.dropna().unique()}
+        rows = [found.get(x) for x in values]
+        return pd.DataFrame({"centre": [float(w.centre) if w else None for w in rows], "half": [float(w.half) if w else None for w in rows]}, dtype="float64")
+
+    return run(said)

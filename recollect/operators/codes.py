@@ -67,7 +67,7 @@ def bounded(queries: DataFrame, codes: DataFrame, id_col: str, vector_col: str,
                 i, j = np.nonzero((high >= least) & ~same)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(low[i, j]), pa.array(high[i, j])], ["query_id", "id", "low", "high"])
 
-    pairs = search.paired(q, codes).select("q_ids", "dim", "q_data", "ids", "data", "steps", "errors").mapInArrow(run, BOUNDS)
+    pairs = search.met(queries, q, codes).select("q_ids", "dim", "q_data", "ids", "data", "steps", "errors").mapInArrow(run, BOUNDS)
     w = Window.partitionBy("query_id").orderBy(F.col("low").desc())
     least = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("low").alias("least"))
     return pairs.join(least, "query_id").where((F.col("high") >= F.col("least")) | (F.col("n") < k)).select("query_id", "id", "low", "high")

@@ -27,7 +27,7 @@ def write_many(incoming: DataFrame, stored: DataFrame, embedder: models.Embedder
     (column `call`, if there is one) is its copy: with strategy update its body is appended to the first one's and its
     tags and metadata replace it, with skip it goes. What is left meets the nearest stored row of its scope the same way.
     append looks for no duplicates. A row that nearly repeats a stored one is a miss of retrieval. A row's id is first_id
-    plus its position. Each call is one sorted stream of its first rows' vectors; calls run beside each other.
+    plus its position, so positions must differ over all calls. Calls, and the rows of a call, are settled beside each other, in rounds.
     """
     if strategy not in ("update", "skip", "append"):
         raise ValueError(f"strategy {strategy!r}")
@@ -36,6 +36,8 @@ def write_many(incoming: DataFrame, stored: DataFrame, embedder: models.Embedder
     told = models.embedded(checked.withColumn("_text", F.concat_ws("\n", "title", "body")), "_text", embedder, most_chars).drop("_text")
     told = told.withColumn("error", F.coalesce("error", "embed_error")).drop("embed_error")
     told = staging.staged(told, "written")
+    if told.groupBy("position").count().where("count > 1").limit(1).count():
+        raise ValueError("a position is that of one row over all calls, for ids follow from it")
     good = told.where("error is null")
     own = good.select(F.col("position").alias("id"), F.col("call").alias("scope"), "embedding")
     copies = lifecycle.leader_clusters(own, threshold) if strategy != "append" else own.select("scope", F.col("id").alias("cluster_id"), "id", F.lit(True).alias("is_pivot"))

@@ -157,7 +157,11 @@ def _examples(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Dat
     return learning.examples(triples, pools)
 
 
-@query()
+@query(learned.HARVEST + f""", pool AS (SELECT DISTINCT query, unnest(list_append(negatives, positive)) AS id FROM t), used AS (SELECT positive AS id, count(*) AS n FROM t GROUP BY positive),
+valued AS (SELECT query, p.id, p.id % 17 / CAST(17 AS DOUBLE) AS score, p.id % 5 / CAST(5 AS DOUBLE) AS vec_score, p.id % 7 / CAST(7 AS DOUBLE) AS fts_score, p.id % 12 / CAST(10 AS DOUBLE) AS importance,
+ CASE WHEN p.id % 12 / CAST(10 AS DOUBLE) < 0.3 THEN 0.0 WHEN p.id % 12 / CAST(10 AS DOUBLE) < 0.6 THEN 1.0 WHEN p.id % 12 / CAST(10 AS DOUBLE) < 0.85 THEN 2.0 ELSE 3.0 END AS tier, ln(1 + coalesce(n, 0)) AS reuse FROM pool p LEFT JOIN used u ON u.id = p.id),
+scaled AS (SELECT query, id, {", ".join(f"CASE WHEN max({c}) OVER q > min({c}) OVER q THEN ({c} - min({c}) OVER q) / (max({c}) OVER q - min({c}) OVER q) ELSE 0 END AS f_{c}" for c in search.FEATURES)} FROM valued WINDOW q AS (PARTITION BY query))
+SELECT t.query, positive, x.id, x.id = positive AS is_positive, {", ".join(f"round(CAST(f_{c} AS DOUBLE), 6) AS f_{c}" for c in search.FEATURES)} FROM t JOIN scaled x ON x.query = t.query""")
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the pools of harvested triples, scaled in each pool."""
     return _examples(spark, sf_dir).select("query", "positive", "id", "is_positive", *[rounded(f"f_{k}").alias(f"f_{k}") for k in search.FEATURES])

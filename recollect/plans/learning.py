@@ -127,10 +127,11 @@ def reuse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.reuse_counts(learning.harvest(reinforcements(spark, sf_dir), retrievals(spark, sf_dir)))
 
 
-@query(f"WITH {FEEDBACK}, r AS (SELECT DISTINCT unnest(candidate_ids) AS memory_id FROM log WHERE id % 2 = 0) SELECT id, ev.memory_id, CASE WHEN event_type = 'mistake' AND r.memory_id IS NULL THEN 'miss' ELSE event_type END AS final_type FROM ev LEFT JOIN r ON ev.memory_id = r.memory_id")
+@query(f"WITH {FEEDBACK}, v AS (SELECT id, CASE WHEN id % 7 = 0 THEN -memory_id ELSE memory_id END AS memory_id, event_type FROM ev), r AS (SELECT DISTINCT unnest(candidate_ids) AS memory_id FROM log) SELECT id, v.memory_id, CASE WHEN event_type = 'mistake' AND r.memory_id IS NULL THEN 'miss' ELSE event_type END AS final_type FROM v LEFT JOIN r ON v.memory_id = r.memory_id")
 def miss_reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the log is known, so that some memories were never shown."""
-    return learning.misses(reinforcements(spark, sf_dir), retrievals(spark, sf_dir).where("id % 2 = 0")).select("id", "memory_id", "final_type")
+    """Every seventh event is about a memory that was never shown."""
+    events = reinforcements(spark, sf_dir).withColumn("memory_id", F.when(F.col("id") % 7 == 0, -F.col("memory_id")).otherwise(F.col("memory_id")))
+    return learning.misses(events, retrievals(spark, sf_dir)).select("id", "memory_id", "final_type")
 
 
 @query("SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) % 5 AS fold, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) % 3 = 0 AS is_gate FROM orders")
@@ -191,13 +192,13 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensing.preferences(turns(spark, sf_dir), "id", "text")
 
 
-@query(f"""WITH {TURNS}, l AS (SELECT DISTINCT scope, text FROM t JOIN events ON id = event_id WHERE role = 'user' AND event_type = 'purchase'), k AS (SELECT DISTINCT scope FROM t WHERE id % 3 = 0)
+@query(f"""WITH {TURNS}, l AS (SELECT DISTINCT scope, text FROM t JOIN events ON id = event_id WHERE role = 'user' AND event_type = 'purchase'), k AS (SELECT DISTINCT scope FROM t WHERE CAST(scope AS BIGINT) % 3 = 0)
 SELECT scope, count(*) AS n FROM l ANTI JOIN k USING (scope) GROUP BY scope""")
 def sensing_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Praise whose marker the notes of its scope don't have yet."""
     own = turns(spark, sf_dir)
     praise = sensing.signals(own).where("kind = 'praise'").select("scope", "kind", "text").distinct()
-    noted = praise.join(own.where("id % 3 = 0").select("scope").distinct(), "scope", "left_semi")
+    noted = praise.where("cast(scope as long) % 3 = 0")
     notes = noted.select("scope", sensing.marker(F.concat_ws("|", "kind", "text")).alias("note"))
     return sensing.unseen(praise, notes).groupBy("scope").agg(F.count("*").alias("n"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import staging
 from ..functions import scores, text
-from ..operators import search, store
+from ..operators import health, search, store
 from .fixtures import MEMORIES, as_of, day, memories, rounded, seconds, table
 from .registry import query
 
@@ -154,3 +155,18 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import evaluation
 
     return evaluation.sample(memories(spark, sf_dir).select("id", "scope"), 50, 7)
+
+
+@query(f"""WITH {MEMORIES} SELECT scope, count(*) AS n, round(avg(length(body)), 6) AS avg_chars, max(length(body)) AS max_chars, CAST(sum(CASE WHEN length(body) > 6000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(CASE WHEN e IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_without_vector,
+ count(*) FILTER (length(body) <= q) BETWEEN 0.94 * count(*) AND 0.96 * count(*) + 1 AS p95_holds, true AS ids_hold
+FROM m JOIN (SELECT scope AS s, quantile_disc(length(body), 0.95) AS q FROM m GROUP BY scope) ON s = scope GROUP BY scope""")
+def health_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of each scope from summaries of two batches, and whether their sketches keep their stated errors."""
+    rows = memories(spark, sf_dir)
+    held = staging.staged(health.added(None, rows.where("id % 2 = 0"), 6000), "health")
+    held = staging.staged(health.added(held, rows.where("id % 2 = 1"), 6000), "health")
+    found = health.report(held, ["scope"])
+    exact = rows.join(found.select("scope", "p95_chars"), "scope").groupBy("scope").agg(F.count("*").alias("all"), F.count_if(F.length("body") <= F.col("p95_chars")).alias("below"), F.count_distinct("id").alias("exact_ids"))
+    p95 = F.col("below").between((0.95 - health.RANK_ERROR) * F.col("all"), (0.95 + health.RANK_ERROR) * F.col("all") + 1)
+    ids = F.abs(F.col("n_ids") - F.col("exact_ids")) <= 1 + 4 * health.DISTINCT_ERROR * F.col("exact_ids")
+    return found.join(exact, "scope").select("scope", "n", rounded("avg_chars").alias("avg_chars"), "max_chars", "n_long", "n_without_vector", p95.alias("p95_holds"), ids.alias("ids_hold"))

@@ -134,14 +134,16 @@ def negations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('what did i do yesterday', epoch(TIMESTAMP '2024-02-29 12:00:00'), 43200.0), ('last 3 days', epoch(TIMESTAMP '2024-02-28 12:00:00'), 129600.0), ('in january', epoch(TIMESTAMP '2024-01-01') + 1339199, 1339199.0),
- ('last year', epoch(TIMESTAMP '2023-01-01') + 15767999, 15767999.0), ('in 2022', epoch(TIMESTAMP '2022-01-01') + 15767999, 15767999.0), ('last month', epoch(TIMESTAMP '2024-02-01') + 1252799, 1252799.0),
- ('in may', epoch(TIMESTAMP '2023-05-01') + 1339199, 1339199.0), ('this week', epoch(TIMESTAMP '2024-02-26 12:00:00'), 302400.0), ('recently', epoch(TIMESTAMP '2024-02-15'), 1296000.0), ('last summer', epoch(TIMESTAMP '2023-06-01') + 3974399, 3974399.0), ('nothing of time', NULL, NULL)) t(said, centre, half)""")
+WITH e AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN date_trunc('year', ts) - to_years(CAST(event_id % 7 AS INT)) WHEN 1 THEN date_trunc('month', ts) END AS a, CASE event_id % 5 WHEN 0 THEN INTERVAL 1 YEAR ELSE INTERVAL 1 MONTH END AS n, event_id % 5 AS kind, event_id % 28 + 2 AS d FROM events)
+SELECT id, CASE WHEN kind < 2 THEN epoch(a) + (epoch(a + n) - epoch(a)) / 2 - 1 WHEN kind = 2 THEN epoch(TIMESTAMP '2024-03-01') - d * 43200.0 WHEN kind = 3 THEN epoch(TIMESTAMP '2024-02-29 12:00:00') END AS centre,
+ CASE WHEN kind < 2 THEN (epoch(a + n) - epoch(a)) / 2 - 1 WHEN kind = 2 THEN d * 43200.0 WHEN kind = 3 THEN 43200.0 END AS half FROM e""")
 def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of time that phrases name, as of the fixtures' date."""
-    said = ["what did i do yesterday", "last 3 days", "in january", "last year", "in 2022", "last month", "in may", "this week", "recently", "last summer", "nothing of time"]
-    found = [(x, timewindow.parse(x, datetime.fromisoformat(AS_OF))) for x in said]
-    return spark.createDataFrame([(x, float(w.centre), float(w.half)) if w else (x, None, None) for x, w in found], "said string, centre double, half double")
+    """Windows of time that phrases made of the events name, as of the fixtures' date."""
+    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    said = F.when(i % 5 == 0, F.concat(F.lit("what happened in "), (F.year(ts) - i % 7).cast("string"))).when(i % 5 == 1, F.concat(F.lit("Notes written in "), F.date_format(ts, "MMMM"), F.lit("?")))
+    said = said.when(i % 5 == 2, F.concat(F.lit("the last "), (i % 28 + 2).cast("string"), F.lit(" days"))).when(i % 5 == 3, F.lit("What did I do yesterday")).otherwise(F.lit("nothing of time"))
+    found = table(spark, sf_dir, "events").select(i.alias("id"), timewindow.windows_of(said, datetime.fromisoformat(AS_OF)).alias("w"))
+    return found.select("id", "w.centre", "w.half")
 
 
 @query("SELECT event_id AS id, CAST(CASE event_id % 4 WHEN 3 THEN epoch(date_trunc('day', ts)) ELSE epoch(date_trunc('minute', ts)) END AS BIGINT) AS at FROM events")

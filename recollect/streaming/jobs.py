@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import lifecycle
+from .. import staging
+from ..functions import text
+from ..operators import codeindex, lifecycle
 
 IDLE_SECONDS, DEBOUNCE_SECONDS = 1800, 3600
 
@@ -110,6 +114,54 @@ def summarising(writes: DataFrame, stored: Callable[[], DataFrame], write: Calla
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def indexing(stream: DataFrame, folder: str, checkpoint: str, project: str = "default", every: str | None = None):
+    """Keeps a project's code index in folder up to date with a stream of files (path, changed, text); a null text is a file that went.
+
+    Of a path that comes more than once in a batch the last change counts. Only files whose checksum isn't the known one
+    are parsed. A batch writes the new checksums, rows and facts of its files together under its number; older ones of
+    these files are thereby gone (index_of), so a batch that is run again changes nothing.
+    """
+    writer = stream.writeStream.foreachBatch(lambda rows, number: index_batch(rows, number, folder, project)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+#: Parts of an index that lie in folders of their own, each row with its file and batch.
+FILES = "path string, checksum string, batch long"
+
+
+def index_batch(rows: DataFrame, number: int, folder: str, project: str = "default") -> None:
+    """One batch of indexing()."""
+    spark = rows.sparkSession
+    last = rows.groupBy("path").agg(F.max_by(F.struct("text"), "changed").alias("last")).select("path", "last.text")
+    known = known_files(spark, folder, number).select("path", F.col("checksum").alias("known"))
+    new = last.withColumn("checksum", F.when(F.col("text").isNotNull(), text.source_checksum(F.col("text")))).join(known, "path", "left")
+    new = staging.staged(new.where(~F.col("checksum").eqNullSafe(F.col("known"))).drop("known"), "changed")
+    parts = codeindex.rows_of(new.where("text is not null").select("path", "text"), project)
+    facts = parts.pop("facts").withColumn("module", F.col("subject"))
+    owner = F.coalesce(F.col("metadata")["path"], F.col("metadata")["from_path"])
+    indexed = reduce(DataFrame.unionByName, parts.values()).withColumn("path", owner)
+    own = new.where("text is not null").select(text.path_module(F.col("path")).alias("module"), "path")
+    for name, part in (("rows", indexed), ("facts", facts.join(own, "module").drop("module")), ("files", new.select("path", "checksum"))):
+        part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")  # files last: only then the batch counts
+    staging.unstaged(new)
+
+
+def known_files(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """path, checksum (null: gone), batch: the last word on each file, of batches before a number or all."""
+    try:
+        found = spark.read.schema(FILES).parquet(f"{folder}/files")
+    except AnalysisException:  # no batch yet
+        found = spark.createDataFrame([], FILES)
+    found = found if before is None else found.where(F.col("batch") < before)
+    return found.groupBy("path").agg(F.max_by(F.struct("checksum"), "batch").alias("last"), F.max("batch").alias("batch")).select("path", "last.checksum", "batch")
+
+
+def index_of(spark: SparkSession, folder: str, part: str = "rows") -> DataFrame:
+    """The rows, or facts, that hold: those of each file's last batch, unless it went."""
+    held = known_files(spark, folder).where("checksum is not null").select("path", "batch")
+    return spark.read.parquet(f"{folder}/{part}").join(held, ["path", "batch"], "left_semi").drop("path", "batch")
+
+
 def drained(spark: SparkSession, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """The rows that a stream gives for what is there, as a table beside its checkpoint."""
     out = f"{checkpoint}/rows"

@@ -9,8 +9,9 @@ from recollect.functions import fts
 from recollect.operators import blockmax, codes, search
 
 
-@pytest.mark.parametrize("kind", ["float", "double"])
-def test_codes_give_the_rows_of_a_full_scan(spark, kind):
+@pytest.mark.parametrize("kind, few", [("float", 2048), ("double", 10)])
+def test_codes_give_the_rows_of_a_full_scan(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(search, "FEW", few)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 24)) * rng.lognormal(size=(900, 1))
     x[50:60] = x[50]  # ties
@@ -22,6 +23,13 @@ def test_codes_give_the_rows_of_a_full_scan(spark, kind):
         index = staging.staged(codes.index(df, "id", "v", group), "test")
         key = lambda r: (r["query_id"], r["rank"], r["id"], round(r["similarity"], 9))
         expected = sorted(key(r) for r in search.batch_top(q, df, "id", "v", 7, group).collect())
+        by: dict = {}
+        for a in (r for r in rows if r[2] and (r[0] % 20 == 0 or r[0] > 900)):
+            for b in (r for r in rows if r[2] and r[0] != a[0] and len(r[2]) == len(a[2]) and (group is None or r[1] == a[1])):
+                u, v = (np.array(z[2], dtype="f4" if kind == "float" else "f8").astype(float) for z in (a, b))
+                size = np.linalg.norm(u) * np.linalg.norm(v)
+                by.setdefault(a[0], []).append((-(u @ v / size if size else 0.0), b[0]))
+        assert {i: sorted(-s for s, _ in sorted(own)[:7]) for i, own in by.items()} == {i: pytest.approx(sorted(e[3] for e in expected if e[0] == i), abs=1e-8) for i in by}
         assert sorted(key(r) for r in codes.top(q, df, index, "id", "v", 7, group).collect()) == expected
         share = codes.bounded(q, index, "id", "v", 7, group).count() / (q.count() * df.count())
         assert share < 0.05

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from recollect.operators import codeindex
 from recollect.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -44,3 +45,28 @@ def test_idle_scopes_are_summarised(spark, tmp_path):
     jobs.summarising(stream, lambda: memory.where("scope = 'a'"), write, f"{tmp_path}/log", now, late="1 hour", days=0).awaitTermination()
     told = [x for x in seen.values() if x[0]]
     assert len(told) == 1 and told[0][0][0][0] == "a" and told[0][0][0][2] == [0, 2, 4, 6] and told[0][1] == ["a"]
+
+
+def test_an_index_follows_a_stream_of_files(spark, tmp_path):
+    lua = lambda i, n: f"local M = {{}}\nlocal u = require('lib.f{n}')\nfunction M.run_{i}(a)\nend\nreturn M\n"
+    first = [(f"lib/f{i}.lua", 1, lua(i, i + 1)) for i in range(6)]
+    second = [("lib/f0.lua", 2, lua(0, 1)), ("lib/f1.lua", 2, lua(1, 9)), ("lib/f1.lua", 3, lua(1, 8)), ("lib/f2.lua", 2, None), ("lib/new.py", 2, "import os\ndef go():\n    pass\n")]
+    third = [("lib/f2.lua", 5, lua(2, 7)), ("lib/f3.lua", 4, None), ("lib/f3.lua", 3, lua(3, 3)), ("lib/none.lua", 4, None)]
+    columns, folder = "path string, changed long, text string", f"file://{tmp_path}/index"
+    now = {}
+    rows = lambda df: sorted((r["scope"], r["kind"], r["title"], r["body"], str(sorted(r["metadata"].items()))) for r in df.collect())
+    for number, batch in enumerate((first, second, third)):
+        spark.createDataFrame(batch, columns).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+        stream = spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        jobs.indexing(stream, folder, f"{tmp_path}/log", "p").awaitTermination()
+        for path, _, body in sorted(batch, key=lambda x: x[1]):
+            now[path] = body
+        tree = spark.createDataFrame([(k, v) for k, v in now.items() if v is not None], "path string, text string")
+        expected = codeindex.rows_of(tree, "p")
+        whole = expected["symbols"].unionByName(expected["dependencies"]).unionByName(expected["files"])
+        fact = lambda df: sorted(tuple(r) for r in df.select("scope", "subject", "predicate", "object").collect())
+        assert rows(jobs.index_of(spark, folder)) == rows(whole) and fact(jobs.index_of(spark, folder, "facts")) == fact(expected["facts"])
+        jobs.index_batch(spark.createDataFrame(batch, columns), number, folder, "p")  # run again
+        assert rows(jobs.index_of(spark, folder)) == rows(whole)
+    parsed = spark.read.parquet(f"{tmp_path}/index/rows").where("kind = 'file' and batch = 1").select("title").collect()
+    assert sorted(r["title"] for r in parsed) == ["lib/f1.lua", "lib/new.py"]
