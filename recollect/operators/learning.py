@@ -229,5 +229,19 @@ def rolled_back(registry: DataFrame, scope: str, kind: str) -> DataFrame:
     return registry.crossJoin(F.broadcast(before)).withColumn("is_current", F.when(mine & F.col("before").isNotNull(), F.col("version") == F.col("before")).otherwise(F.col("is_current"))).drop("before")
 
 
+def versions(registry: DataFrame, scope: str, kind: str = "reranker") -> DataFrame:
+    """A scope's artifacts, the latest first: version, weights, score, note, is_current, created_at."""
+    own = registry.where((F.col("scope") == scope) & (F.col("kind") == kind))
+    return own.select("version", "weights", "score", "note", "is_current", "created_at").orderBy(F.col("version").desc())
+
+
+def made_current(registry: DataFrame, scope: str, version: int, kind: str = "reranker") -> DataFrame:
+    """The registry with a version of a scope as the current one; a version that isn't there is an error."""
+    mine = (F.col("scope") == scope) & (F.col("kind") == kind)
+    if not registry.where(mine & (F.col("version") == version)).limit(1).count():
+        raise ValueError(f"no version {version} of {kind} in {scope}")
+    return registry.withColumn("is_current", F.when(mine, F.col("version") == version).otherwise(F.col("is_current")))
+
+
 def current_weights(registry: DataFrame) -> DataFrame:
     return registry.where("is_current").groupBy("scope", "kind").agg(F.max_by(F.struct("version", "weights"), "version").alias("own")).select("scope", "kind", "own.version", "own.weights")

@@ -145,6 +145,33 @@ def rerank(rows: DataFrame, query: str, reranker: Callable[[str, list[str]], lis
     return ordered.limit(limit) if limit else ordered
 
 
+#: Hosted rerankers by the shape of their answers: a list of index and score, or results of index and relevance.
+RERANKERS: dict[str, Callable[[object], list[tuple[int, float]]]] = {
+    "tei": lambda x: [(int(y["index"]), float(y.get("score") or 0)) for y in x],
+    "cohere": lambda x: [(int(y["index"]), float(y.get("relevance_score") or y.get("score") or 0)) for y in x["results"]],
+}
+
+
+class ServiceReranker:
+    """A hosted cross-encoder, to be given to rerank(); `send` posts a JSON object and returns the answer's, and is the caller's.
+
+    A request has the texts under the names that both kinds of services know. An answer of another shape is an error,
+    which rerank() meets by keeping the order.
+    """
+
+    def __init__(self, send: Callable[[dict], object], model: str | None = None):
+        self.send, self.model = send, model
+
+    def __call__(self, query: str, texts: list[str]) -> list[tuple[int, float]]:
+        request = {"query": query, "texts": texts, "documents": texts, "raw_scores": False} | ({"model": self.model} if self.model else {})
+        answer = self.send(request)
+        if isinstance(answer, list):
+            return RERANKERS["tei"](answer)
+        if isinstance(answer, dict) and isinstance(answer.get("results"), list):
+            return RERANKERS["cohere"](answer)
+        raise ValueError("a reranker's answer of another shape")
+
+
 def summary_prompt(rows: list[tuple[str | None, str | None]], clip: int = CLIP) -> str:
     """Numbered memories, and what is asked of the model."""
     told = "\n\n".join(f"[{i}] {title or ''}\n{(body or '')[:clip]}" for i, (title, body) in enumerate(rows, 1))

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scores, timewindow, vectors
+from ..functions import paraphrase, scores, timewindow, vectors
 from ..operators import codeindex, lifecycle
 from ..sources import benchmarks
 from . import knowledge
@@ -152,3 +152,19 @@ def dataset_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
     said = F.when(i % 4 == 0, F.date_format(ts, "yyyy/MM/dd (E) HH:mm")).when(i % 4 == 1, F.date_format(ts, "h:mm a 'on' d MMMM, yyyy")).when(i % 4 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:00")).otherwise(F.date_format(ts, "yyyy-MM-dd"))
     return table(spark, sf_dir, "events").select(i.alias("id"), F.unix_seconds(benchmarks.parsed_date(said)).alias("at"))
+
+
+SYNONYM_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in paraphrase.SYNONYMS.items()) + "}"
+MOVES = ", ".join(f"{{'n': CASE WHEN regexp_matches(b, '{p}') THEN length(regexp_extract(b, '{p}', 1)) ELSE -1 END, 'a': regexp_extract(b, '{p}', 1), 'z': regexp_extract(b, '{p}', 2)}}" for x in paraphrase.PREPOSITIONS for w in (x, x.capitalize()) for p in [rf"(?s)\A(.*?)\s+({w}\s+[A-Za-z0-9\s,''\"]+)\z"])
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '[.?!]\z') AS p FROM documents), e AS (SELECT *, left(t, length(t) - length(p)) AS b FROM d),
+k AS (SELECT *, list_transform(regexp_extract_all(t, '[A-Za-z0-9'']+\s*[[:punct:]]?\s*'), lambda x: {{'w': regexp_extract(x, '^[A-Za-z0-9'']+'), 'r': regexp_replace(x, '^[A-Za-z0-9'']+', '')}}) AS k, list_sort([{MOVES}], 'DESC')[1] AS m FROM e),
+s AS (SELECT *, list_transform(k, lambda x: {{'w': x.w, 'r': x.r, 'o': {SYNONYM_MAP}[lower(x.w)]}}) AS s FROM k)
+SELECT id, md5(CASE WHEN len(list_filter(s, lambda x: x.o IS NOT NULL)) > 0 THEN array_to_string(list_transform(s, lambda x: CASE WHEN x.o IS NULL THEN x.w WHEN regexp_matches(x.w, '^[A-Z]') THEN upper(x.o[1]) || x.o[2:] ELSE x.o END || x.r), '') ELSE 'Specifically, ' || t END) AS swapped_md5,
+ md5(CASE WHEN m.n >= 0 THEN upper(m.z[1]) || m.z[2:] || ', ' || translate(m.a[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || m.a[2:] || p ELSE 'Regarding the topic, ' || t END) AS moved_md5,
+ md5(CASE WHEN len(list_filter(k, lambda x: list_contains({paraphrase.DROPPED}, lower(x.w)))) > 0 THEN regexp_replace(regexp_replace(array_to_string(list_transform(k, lambda x: CASE WHEN list_contains({paraphrase.DROPPED}, lower(x.w)) THEN '' ELSE x.w END || x.r), ''), '\s+', ' ', 'g'), '\A | \z', '', 'g') ELSE 'Note: ' || t END) AS dropped_md5 FROM s""")
+def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule of paraphrasing on every text."""
+    said = F.coalesce(F.col("text"), F.lit(""))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[F.md5(f(said)).alias(f"{f.__name__}_md5") for f in paraphrase.RULES])

@@ -112,3 +112,19 @@ def test_ranks_of_an_index_equal_those_of_texts(spark):
         found = {r["id"]: r["fts_score"] for r in fts.ranked(index, "id", said).collect()}
         expected = {i: fts.density(t or "", wanted) for i, t in rows}
         assert found == {i: pytest.approx(x) for i, x in expected.items() if x}
+
+
+def test_paraphrases(spark):
+    from recollect.functions import paraphrase
+
+    rows = [("I Bought a car in Oslo, with Bob.",), ("Nothing here",), ("the The of",), (None,), ("",), ("In it",), ("a b on c In d",), ("who said, \"good\" at home?",), ("é like\nthat!",)]
+    df = spark.createDataFrame(rows, "said string").select("said", *[f(F.col("said")).alias(f.__name__) for f in paraphrase.RULES])
+    got = {r["said"]: tuple(r)[1:4] for r in df.collect()}
+    assert got["I Bought a car in Oslo, with Bob."] == ("I Purchased a vehicle in Oslo, with Bob.", "With Bob, i Bought a car in Oslo,.", "Bought car in Oslo, with Bob.")
+    assert got["Nothing here"] == ("Specifically, Nothing here", "Regarding the topic, Nothing here", "Note: Nothing here")
+    assert got["the The of"][2] == "" and got[""] == ("Specifically, ", "Regarding the topic, ", "Note: ") and got[None] == (None, None, None)
+    assert got["In it"][1] == "Regarding the topic, In it" and got["a b on c In d"][1] == "In d, a b on c"
+    assert got["who said, \"good\" at home?"][:2] == ("who stated, great\" at home?", "At home, who said, \"good\"?")
+    assert got["é like\nthat!"] == ("enjoy\nthat!", "Regarding the topic, é like\nthat!", "like !")
+    chain = paraphrase.varied(df.select("said"), "said", 4).where("said = 'Nothing here'").first()
+    assert list(chain)[1:] == ["Specifically, Nothing here", "Regarding the topic, Specifically, Nothing here", "Regarding topic, Specifically, Nothing here", "Specifically, Regarding topic, Specifically, Nothing here"]

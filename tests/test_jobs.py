@@ -341,3 +341,19 @@ def test_code_search_decisions_and_jitter(spark):
     pool = spark.createDataFrame([(i, "k", float(i), 0.0, 0.0, 0.0, 1, 0) for i in range(5)], "id long, kind string, score double, vec_score double, fts_score double, importance double, tier int, reuse_count long")
     plain, moved = ({r["id"]: r["rerank"] for r in search.rerank_learned(pool, ["kind"], {"score": 1.0}, jitter=j, seed=4).collect()} for j in (0.0, 0.1))
     assert all(0 <= moved[i] - plain[i] <= 0.1 for i in plain) and moved != plain
+
+
+def test_hosted_rerankers_and_versions(spark):
+    seen = []
+    tei = models.ServiceReranker(lambda x: seen.append(x) or [{"index": 1, "score": 0.9}, {"index": 0, "score": None}])
+    assert tei("q", ["a", "b"]) == [(1, 0.9), (0, 0.0)] and seen[0]["texts"] == seen[0]["documents"] == ["a", "b"] and "model" not in seen[0]
+    assert models.ServiceReranker(lambda x: {"results": [{"index": 0, "relevance_score": 0.5}]}, "m")("q", ["a"]) == [(0, 0.5)]
+    with pytest.raises(ValueError):
+        models.ServiceReranker(lambda x: {"error": "busy"})("q", ["a"])
+    rows = [("s", "reranker", v, {"score": float(v)}, 0.1 * v, v == 3) for v in (1, 2, 3)] + [("t", "reranker", 1, {"score": 9.0}, 0.5, True)]
+    registry = spark.createDataFrame(rows, "scope string, kind string, version int, weights map<string,double>, score double, is_current boolean").withColumns({"note": F.lit(None).cast("string"), "created_at": as_of()})
+    assert [r["version"] for r in learning.versions(registry, "s").collect()] == [3, 2, 1]
+    moved = learning.made_current(registry, "s", 1)
+    assert {(r["scope"], r["version"]) for r in learning.current_weights(moved).collect()} == {("s", 1), ("t", 1)}
+    with pytest.raises(ValueError):
+        learning.made_current(registry, "s", 7)
