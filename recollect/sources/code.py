@@ -34,13 +34,13 @@ class Token:
 class Tokens:
     """The tokens of a source without its comments, and the comment text of each line that has nothing else."""
 
-    def __init__(self, source: str, pattern: re.Pattern, literal: Callable[[str, int, Token | None], int] = lambda source, at, before: at):
-        """literal: where a literal ends that begins at a place behind a token, which a pattern can't tell; the place itself if none does."""
+    def __init__(self, source: str, pattern: re.Pattern, literal: Callable[[str, int, Token | None], int] | None = None, marks: str = ""):
+        """literal: where a literal ends that begins, with one of marks, at a place behind a token, which a pattern can't tell; the place itself if none does."""
         self.all: list[Token] = []
         self.comments: dict[int, str] = {}
         line, coded, at = 1, 0, 0
         while at < len(source):
-            end = literal(source, at, self.all[-1] if self.all else None)
+            end = literal(source, at, self.all[-1] if self.all else None) if source[at] in marks else at
             m = None if end > at else pattern.match(source, at)
             kind, text = ("string", source[at:end]) if m is None else (m.lastgroup or "other", m[0])
             at += len(text)
@@ -109,8 +109,6 @@ def javascript_literal(source: str, at: int, before: Token | None) -> int:
     """The end of the template, or of the regular expression, that begins at a place."""
     if source[at] == "`":
         return template_end(source, at)
-    if source[at] != "/":
-        return at
     value = before is not None and (before.kind == "string" or before.kind == "name" and before.text not in BEFORE_PATTERN or before.text in NOT_BEFORE_PATTERN)
     found = None if value else PATTERN.match(source, at)
     return found.end() if found else at
@@ -176,7 +174,7 @@ def lua(source: str) -> Parsed:
 
 
 def javascript(source: str) -> Parsed:
-    out, tokens = Parsed(), Tokens(source, JAVASCRIPT, javascript_literal)
+    out, tokens = Parsed(), Tokens(source, JAVASCRIPT, javascript_literal, "`/")
     classes: list[tuple[int, str, int]] = []  # first and last place of the body, name; the innermost last
     for at, token in enumerate(tokens.all):
         while classes and at > classes[-1][2]:
