@@ -36,6 +36,8 @@ PART, WHOLE = 75, 100
 GROUPS = 256
 #: Cells of the table of counts (4 bytes each where it is summed, 2 where it is sent), and cells in one row of it.
 CELL_BITS, CHUNK_BITS = 20, 12
+#: Tasks whose tables are added in one group, chunk by chunk (16 KB each), until one table is left.
+FAN_IN = 1024
 #: Min-hashes of a document, documents that a min-hash is shared by before its group is looked into, and leaders of a group.
 MINS, LEADER_LEAST, LEADERS = 3, 8, 2
 #: Documents of a group that are looked through at once for each one's closest, and how many those are, for each of its min-hashes.
@@ -48,6 +50,8 @@ BLOCK, HOT = 8192, 1 << 20
 FIRSTS = 16
 #: Bits of the filter that picks the texts to verify; all texts pass if it is full, and a join picks exactly.
 FILTER_BITS = 24
+#: Pairs of one class that are verified next to one copy of its set.
+HUB = 1024
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 400_000
 LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -119,7 +123,10 @@ def restored(sent: np.ndarray) -> np.ndarray:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, mark, text), and the task's table of counts in rows of their own."""
+    """A row for each document (doc_id, mark, text), and the task's table of counts in rows of their own, under the task's number."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
     cells = np.zeros(1 << CELL_BITS, np.int64)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     names = ["doc_id", "mark", "cid", "n", "mins", "points", "wide", "chunk", "cells"]
@@ -134,20 +141,26 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells += np.bincount((np.concatenate(seen) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
     if cells.any():
-        rows = [(*[None] * 7, i, x.tobytes()) for i, x in enumerate(rounded(cells).reshape(-1, 1 << CHUNK_BITS))]
+        rows = [(None, task, *[None] * 5, i, x.tobytes()) for i, x in enumerate(rounded(cells).reshape(-1, 1 << CHUNK_BITS))]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
 def _cells(facts: DataFrame) -> np.ndarray:
-    """The summed table; its size doesn't depend on the input."""
+    """The summed table; its size doesn't depend on the input. The tables of the tasks are added in a tree, FAN_IN at once."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(restored(np.frombuffer(x, "<u2")) for x in group["cells"])
-        return pd.DataFrame({"chunk": [key[0]], "cells": [np.minimum(total, (1 << 31) - 1).astype("<u4").tobytes()]})
-
-    rows = facts.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInPandas(run, "chunk int, cells binary").collect()
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) if whole else restored(np.frombuffer(x, "<u2")) for x, whole in zip(group["cells"], group["whole"]))
+        return pd.DataFrame({"chunk": [key[0]], "task": [key[1]], "whole": [True], "cells": [np.minimum(total, (1 << 31) - 1).astype("<u4").tobytes()]})
+
+    rows = facts.where("chunk is not null").select("chunk", F.col("mark").alias("task"), F.lit(False).alias("whole"), "cells")
+    tasks = 1 + (rows.agg(F.max("task")).first()[0] or 0)
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        rows = rows.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInPandas(run, "chunk int, task long, whole boolean, cells binary")
+        if tasks <= 1:
+            break
     out = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint32)
-    for x in rows:
+    for x in rows.collect():
         out[x["chunk"]] = np.frombuffer(x["cells"], "<u4")
     return out.ravel()
 
@@ -440,23 +453,37 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("at"))
     found = common.staged(rows.mapInArrow(sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(WHOLE * both >= PART * (len(x) + len(y) - both))
-            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(found.withColumnsRenamed({"cid": "a", "set": "x"}), "a").join(found.withColumnsRenamed({"cid": "b", "set": "y"}), "b")
-    linked = joined.select("a", "b", "ra", "rb", "x", "y").mapInArrow(check, "a long, b long, ra long, rb long").distinct()
+    # the class of more pairs is the hub of a pair: its set goes once to each HUB of its pairs, the other's with the pair
+    degree = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).groupBy("cid").agg(F.count("*").alias("degree"))
+    counted = even_join(even_join(pairs, degree.withColumnsRenamed({"cid": "a", "degree": "da"}), "a"), degree.withColumnsRenamed({"cid": "b", "degree": "db"}), "b")
+    hub = lambda x, y: F.when(F.col("da") >= F.col("db"), F.col(x)).otherwise(F.col(y))
+    turned = counted.select(hub("a", "b").alias("a"), hub("b", "a").alias("b"), hub("ra", "rb").alias("ra"), hub("rb", "ra").alias("rb"), F.greatest("da", "db").alias("degree"))
+    turned = turned.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / HUB))).drop("degree")
+    others = even_join(turned, found.withColumnRenamed("cid", "b"), "b").select("a", "part", "b", "ra", "rb", "set")
+    none = F.lit(None).cast("long")
+    hubs = even_join(turned.select("a", "part").distinct(), found.withColumnRenamed("cid", "a"), "a").select("a", "part", none.alias("b"), none.alias("ra"), none.alias("rb"), "set")
+    met = others.union(hubs).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    linked = met.mapInArrow(_linked, "a long, b long, ra long, rb long")
     linked = common.staged(linked.select(_node("ra", "a").alias("a"), _node("rb", "b").alias("b")), "verified")
     common.unstaged(pairs, wanted, found)
     held.unpersist()
     return linked
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, ra, rb of the pairs that link. Rows are sorted by (a, part); the first of each, of no b, holds the set of a, others that of b."""
+    own, x = None, np.zeros(0, U64)
+    for batch in batches:
+        keep = []
+        for a, b, held in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(5)):
+            y = np.frombuffer(held.as_buffer(), U64)
+            if b is None:
+                own, x = a, y.copy()
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            keep.append(b is not None and a == own and WHOLE * both >= PART * (len(x) + len(y) - both))
+        yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _node(rep: str, cid: str) -> F.Column:
     """A class as a node of the graph: nodes order by their least doc_id."""
     return F.struct(F.col(rep).alias("rep"), F.col(cid).alias("cid"))

@@ -375,6 +375,21 @@ def test_lists_over_a_block_and_hot_shingles_lose_no_link(spark, monkeypatch):
         assert found == expected
 
 
+def test_hubs_over_a_share_and_many_tasks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "HUB", 3)
+    monkeypatch.setattr(ngramjoin, "FAN_IN", 2)
+    texts = near_copies(random.Random(14), 400)
+    docs = table(spark, texts).repartition(11, "doc_id")
+    facts = docs.select(*ngramjoin._columns()).mapInArrow(ngramjoin._facts, ngramjoin.FACTS).persist()
+    expected = np.zeros(1 << ngramjoin.CELL_BITS, np.int64)
+    np.add.at(expected, np.concatenate([ngramjoin.shingles(t) for _, t in texts]) >> np.uint64(64 - ngramjoin.CELL_BITS), 1)
+    assert facts.where("chunk is not null").select("mark").distinct().count() > 4
+    assert (ngramjoin._cells(facts) == expected).all()
+    facts.unpersist()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(docs).collect()}
+    assert found == brute_components_fast(dict(texts))
+
+
 def test_blocks_of_a_component_meet_all_others(spark):
     lists = spark.createDataFrame([(1, c) for c in range(90)] + [(2, c) for c in range(5)], "list long, cid long")
     points = spark.createDataFrame([(c, 10, b"", 500 if c < 60 else c) for c in range(90)], "cid long, n long, points binary, comp long").withColumn("firsts", F.array())
