@@ -157,14 +157,15 @@ def escalation(rows: DataFrame, events: DataFrame, alpha: float = 0.4) -> DataFr
 DIGEST_ROWS = 500
 
 
-def digest_clusters(rows: DataFrame, events: DataFrame, threshold: float = LEADER, most: int = DIGEST_ROWS) -> DataFrame:
+def digest_clusters(rows: DataFrame, events: DataFrame, threshold: float = LEADER, most: int | None = DIGEST_ROWS) -> DataFrame:
     """scope, cluster_id, place (from 1 in its scope), best_id, importance, ids, n_mistakes: clusters of the tier-0 rows a digest takes.
 
     Of each scope the most important rows, then the oldest, form clusters in that order; the first of the most important
-    members is the best one.
+    members is the best one. With `most` of None a scope's rows are all taken.
     """
     w = Window.partitionBy("scope").orderBy(F.col("importance").desc(), "created_at", "id")
-    own = rows.where("tier = 0 and consolidated_at is null").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    own = rows.where("tier = 0 and consolidated_at is null").withColumn("_rn", F.row_number().over(w))
+    own = own if most is None else own.where(F.col("_rn") <= most)
     member = leader_clusters(own, threshold, order="_rn").join(own.select("id", "_rn", "importance"), "id")
     mistakes = events.where("event_type = 'mistake'").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"))
     found = member.join(mistakes, "id", "left").groupBy("scope", "cluster_id").agg(
