@@ -29,15 +29,17 @@ def harvest(reinforcements: DataFrame, retrievals: DataFrame, events_each: int =
     """scope, query, positive, negatives, weight, signal: each reinforced memory with the latest retrievals that showed it.
 
     Candidates are exploded and joined by equality rather than tested by containment; per memory and scope only the
-    latest retrievals are kept before they meet its reinforcements, and the heaviest signal of a (query, positive) wins.
+    latest retrievals are kept, by their ids, before they meet their candidates, and the heaviest signal of a (query, positive) wins.
     """
     reinforcements = reinforcements.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit) if limit else reinforcements
     signals = reinforcements.groupBy("scope", F.col("memory_id").alias("positive")).agg(F.max(F.struct(signal_weight(F.col("event_type")).alias("weight"), F.col("event_type").alias("signal"))).alias("best"))
-    shown = retrievals.select("scope", "id", "query", "created_at", "candidate_ids", F.explode(F.array_distinct("candidate_ids")).alias("positive"))
+    shown = retrievals.select("scope", "id", "created_at", F.explode(F.array_distinct("candidate_ids")).alias("positive"))
     shown = shown.join(signals.select("scope", "positive"), ["scope", "positive"], "left_semi")
     w = Window.partitionBy("scope", "positive").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    latest = shown.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= events_each)
-    found = latest.join(signals, ["scope", "positive"]).select("scope", "query", "positive", F.filter("candidate_ids", lambda c: c != F.col("positive")).alias("negatives"), "best", "created_at", "id")
+    latest = shown.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= events_each).join(signals, ["scope", "positive"])
+    of = retrievals.select("scope", "id", "query", F.col("created_at").alias("_at"), "candidate_ids")  # looked up for the latest ones alone
+    latest = latest.join(of, ["scope", "id"]).where(F.col("created_at").eqNullSafe(F.col("_at")) & F.array_contains("candidate_ids", F.col("positive")))
+    found = latest.select("scope", "query", "positive", F.filter("candidate_ids", lambda c: c != F.col("positive")).alias("negatives"), "best", "created_at", "id")
     best = F.max_by(F.struct("negatives", "best"), F.struct("best.weight", "created_at", "id"))
     return found.where(F.size("negatives") > 0).groupBy("scope", "query", "positive").agg(best.alias("b")).select("scope", "query", "positive", "b.negatives", F.col("b.best.weight").alias("weight"), F.col("b.best.signal").alias("signal"))
 
@@ -132,14 +134,14 @@ def logged(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("scope").parquet(path)
 
 
-def examples(triples: DataFrame, pools: DataFrame) -> DataFrame:
+def examples(triples: DataFrame, pools: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """scope, query, positive, weight, id, is_positive and f_<feature> of every row of the pools (scope, query, id and what pool_features reads) that hold their triple's positive.
 
-    Reuse is how many triples have a row as their positive.
+    Reuse is how many triples have a row as their positive. `of` are the triples whose examples are asked, all if None; pools of others needn't be given.
     """
     reuse = triples.groupBy("scope", F.col("positive").alias("id")).agg(F.count("*").alias("reuse_count"))
     scaled = pool_features(pools.join(reuse, ["scope", "id"], "left"), ["scope", "query"])
-    own = scaled.join(triples.select("scope", "query", "positive", "weight"), ["scope", "query"])
+    own = scaled.join((triples if of is None else of).select("scope", "query", "positive", "weight"), ["scope", "query"])
     w = Window.partitionBy("scope", "query", "positive")
     own = own.withColumn("is_positive", F.col("id") == F.col("positive")).withColumn("_has", F.max("is_positive").over(w)).where("_has")
     return own.select("scope", "query", "positive", "weight", "id", "is_positive", *[f"f_{k}" for k in FEATURES])

@@ -82,8 +82,8 @@ k AS (SELECT *, lead(valid_from) OVER (PARTITION BY scope, subject, predicate OR
 
 
 def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    shown = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("candidate_ids"))
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "orders")
+    shown = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("candidate_ids"))
     return shown.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("id"), F.lit("shop").alias("scope"), F.col("l_orderkey").cast("string").alias("query"), "candidate_ids", F.col("o_orderdate").cast("timestamp").alias("created_at"))
 
 
