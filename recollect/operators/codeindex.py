@@ -54,7 +54,8 @@ def rows_of(files: DataFrame, project: str = "default") -> dict[str, DataFrame]:
     shown = F.array_sort(F.collect_list(F.struct((~F.col("exported")).alias("hidden"), "line", "name")))
     names = symbols.groupBy("path").agg(F.slice(F.array_distinct(F.transform(shown, lambda s: s["name"])), 1, NAMES_SHOWN).alias("names"))
     body = F.concat_ws(" — ", "path", F.nullif(text.path_words(F.col("path")), F.lit("")), F.when(F.size("names") > 0, F.concat(F.lit("defines: "), F.array_join("names", ", "))))
-    file_rows = files.join(names, "path", "left").select(scope.alias("scope"), F.lit("file").alias("kind"), F.col("path").alias("title"), body.alias("body"), F.lit(FILE).alias("importance"), meta(path=F.col("path"), checksum=text.source_checksum(F.col("text"))).alias("metadata"))
+    # a row for each file, on either side: Spark would take what is parsed for as small as the files' keys, and send it through the driver
+    file_rows = files.join(names.hint("merge"), "path", "left").select(scope.alias("scope"), F.lit("file").alias("kind"), F.col("path").alias("title"), body.alias("body"), F.lit(FILE).alias("importance"), meta(path=F.col("path"), checksum=text.source_checksum(F.col("text"))).alias("metadata"))
     facts = imports.select(scope.alias("scope"), module.alias("subject"), F.lit("requires").alias("predicate"), F.col("imported").alias("object")).distinct()
     return {"symbols": symbol_rows, "dependencies": dependency_rows, "files": file_rows, "facts": facts}
 
