@@ -180,7 +180,7 @@ PLANES = vectors.hyperplanes(64, 8, 12, 20240301)
 
 @query(NEAREST)
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest rows of the query set: from the buckets where those are sure to hold them, else from all rows; recall is measured in the tests."""
+    """Nearest rows of the query set among all rows; how near they are at least is known from the buckets, where these hold enough near rows."""
     rows = table(spark, sf_dir, "embeddings").withColumn("keys", vectors.lsh_keys(F.col("embedding"), PLANES))
     sure = search.sure_cosine(*PLANES.shape[:2])
     found = search.lsh_top_whole(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "keys", 10, sure)
