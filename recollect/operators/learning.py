@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import staging
@@ -72,25 +73,37 @@ def folds(rows: DataFrame, order: list[str], k: int, by: list[str]) -> DataFrame
 MOST_MARGIN = 30.0
 
 
-def fit(pairs: np.ndarray, weights: np.ndarray, rate: float = RATE, l2: float = L2, epochs: int = EPOCHS) -> dict[str, float]:
-    """Weights by pairwise logistic descent: a row of pairs is how a positive differs from another row, in order of FEATURES.
+def descent(pieces: Callable[[], Iterable[np.ndarray]], rate: float = RATE, l2: float = L2, epochs: int = EPOCHS) -> dict[str, float]:
+    """Weights by pairwise logistic descent: a row of the pieces has its weight, and how a positive differs from another row, in order of FEATURES.
 
     A step a row, in order, along the row by how unlikely its order still is, and towards the prior. The bias is the
-    prior's: it is no part of a difference.
+    prior's: it is no part of a difference. Pieces are asked for once an epoch.
     """
-    prior = np.array([PRIOR[k] for k in FEATURES])
-    w = prior.copy()
+    prior = [float(PRIOR[k]) for k in FEATURES]
+    w, exp = list(prior), math.exp
     for _ in range(epochs):
-        for d, weight in zip(pairs, weights):
-            unlikely = weight / (1 + np.exp(np.clip(d @ w, -MOST_MARGIN, MOST_MARGIN)))
-            w += rate * (unlikely * d - l2 * (w - prior))
-    return {"bias": PRIOR["bias"]} | dict(zip(FEATURES, w.tolist()))
+        for piece in pieces():
+            for weight, *d in piece.tolist():
+                m = sum([x * y for x, y in zip(d, w)])
+                unlikely = weight / (1 + exp(MOST_MARGIN if m > MOST_MARGIN else -MOST_MARGIN if m < -MOST_MARGIN else m))
+                w = [x + rate * (unlikely * y - l2 * (x - p)) for x, y, p in zip(w, d, prior)]
+    return {"bias": PRIOR["bias"]} | dict(zip(FEATURES, w))
+
+
+def fit(pairs: np.ndarray, weights: np.ndarray, rate: float = RATE, l2: float = L2, epochs: int = EPOCHS) -> dict[str, float]:
+    """descent() of pairs that are in memory."""
+    return descent(lambda: [np.column_stack([weights, pairs])], rate, l2, epochs)
+
+
+def total_loss(pairs: np.ndarray, weights: dict[str, float]) -> float:
+    """Sum of the pairwise logistic losses."""
+    margins = np.clip(pairs @ np.array([weights.get(k, 0.0) for k in FEATURES]), -MOST_MARGIN, MOST_MARGIN)
+    return float(np.log1p(np.exp(-margins)).sum())
 
 
 def mean_loss(pairs: np.ndarray, weights: dict[str, float]) -> float:
     """Mean pairwise logistic loss; 0 without pairs."""
-    margins = np.clip(pairs @ np.array([weights.get(k, 0.0) for k in FEATURES]), -MOST_MARGIN, MOST_MARGIN)
-    return float(np.log1p(np.exp(-margins)).mean()) if len(pairs) else 0.0
+    return total_loss(pairs, weights) / len(pairs) if len(pairs) else 0.0
 
 
 def gate_loss(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -134,67 +147,122 @@ def logged(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("scope").parquet(path)
 
 
-def examples(triples: DataFrame, pools: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def examples(triples: DataFrame, pools: DataFrame) -> DataFrame:
     """scope, query, positive, weight, id, is_positive and f_<feature> of every row of the pools (scope, query, id and what pool_features reads) that hold their triple's positive.
 
-    Reuse is how many triples have a row as their positive. `of` are the triples whose examples are asked, all if None; pools of others needn't be given.
+    Reuse is how many triples have a row as their positive.
     """
     reuse = triples.groupBy("scope", F.col("positive").alias("id")).agg(F.count("*").alias("reuse_count"))
     scaled = pool_features(pools.join(reuse, ["scope", "id"], "left"), ["scope", "query"])
-    own = scaled.join((triples if of is None else of).select("scope", "query", "positive", "weight"), ["scope", "query"])
+    own = scaled.join(triples.select("scope", "query", "positive", "weight"), ["scope", "query"])
     w = Window.partitionBy("scope", "query", "positive")
     own = own.withColumn("is_positive", F.col("id") == F.col("positive")).withColumn("_has", F.max("is_positive").over(w)).where("_has")
     return own.select("scope", "query", "positive", "weight", "id", "is_positive", *[f"f_{k}" for k in FEATURES])
 
 
-#: Examples of a scope that a training takes: the first by query and positive.
-MOST_EXAMPLES = 1000
-TRAINED = "scope string, weights map<string,double>, new_score double, incumbent_score double"
+#: Bytes of a scope's pairs that are held at once; more lie in a file of the task.
+PIECE_BYTES = 8 << 20
+TRAINED = "scope string, n_examples long, weights map<string,double>, new_score double, incumbent_score double"
 
 
-def numbered(found: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
-    """scope, query, positive, n (from 1): the examples that a scope's training takes."""
+def numbered(found: DataFrame, most: int | None = None) -> DataFrame:
+    """scope, query, positive, n (from 1): the examples that a scope's training takes, all where a caller gives no bound."""
     w = Window.partitionBy("scope").orderBy("query", "positive")
-    return found.select("scope", "query", "positive").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-
-
-def trained(found: DataFrame, numbers: DataFrame, incumbent: DataFrame, every: int, **training) -> DataFrame:
-    """TRAINED for each scope of numbers: a scope's bounded examples are one group, and scopes are trained beside each other.
-
-    Every n-th example is held out; both losses are those of the held-out ones. incumbent has scope and weights.
+    out = found.select("scope", "query", "positive").distinct().withColumn("n", F.row_number().over(w))
+    return out.where(F.col("n") <= most) if most else out
+
+
+class _Scope:
+    """The examples of a scope as they come, in order: pairs (weight, difference) to train on and pairs held out, in files that are read in pieces."""
+
+    def __init__(self, scope: str | None, every: int):
+        self.scope, self.every, self.n, self.last, self.best, self.now = scope, every, 0, None, None, None
+        self.files = [tempfile.SpooledTemporaryFile(PIECE_BYTES) for _ in range(2)]
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """rows are of this scope, each example's positive before its others; a row of a null example has the current weights."""
+        keys = list(zip(rows.column("query").to_pylist(), rows.column("positive").to_pylist()))
+        values = rows.column("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        if rows.column("part")[0].as_py() == 0:
+            self.now, keys, values, rows = values[0], keys[1:], values[1:], rows.slice(1)
+        if not keys:
+            return
+        new = np.array([x != y for x, y in zip(keys, [self.last, *keys])])
+        n = self.n + np.cumsum(new)
+        is_best = rows.column("is_positive").to_numpy(zero_copy_only=False)
+        of = np.maximum.accumulate(np.where(is_best | new, np.arange(1, len(keys) + 1), 0))  # where a row's positive is; 0 is the last batch's
+        has = np.concatenate([[self.best is not None], is_best])[of]
+        best = np.concatenate([[values[0] if self.best is None else self.best], values])[of]
+        pairs = np.column_stack([rows.column("weight").to_numpy(zero_copy_only=False), best - values])
+        real, gate = has & ~is_best, n % self.every == 0
+        for file, own in zip(self.files, (pairs[real & ~gate], pairs[real & gate])):
+            file.write(own.tobytes())
+        self.n, self.last, self.best = int(n[-1]), keys[-1], best[-1] if has[-1] else None
+
+    def pieces(self, gate: bool) -> Iterator[np.ndarray]:
+        file, row = self.files[gate], 8 * (len(FEATURES) + 1)
+        file.seek(0)
+        while data := file.read(PIECE_BYTES // row * row):
+            yield np.frombuffer(data).reshape(-1, len(FEATURES) + 1)
+
+    def loss(self, weights: dict[str, float]) -> float:
+        found = [(total_loss(piece[:, 1:], weights), len(piece)) for piece in self.pieces(True)]
+        return sum(x for x, _ in found) / sum(n for _, n in found) if found else 0.0
+
+    def trained(self, least: int, training: dict) -> Iterator[pa.RecordBatch]:
+        """TRAINED of the scope, without weights where it has fewer examples than least."""
+        weights = descent(lambda: self.pieces(False), **training) if self.n >= least else None
+        scores = [None, None]
+        if weights:
+            now = PRIOR if self.now is None else dict(zip(FEATURES, self.now.tolist()))
+            scores = [self.loss(weights), self.loss(now)]
+        for file in self.files:
+            file.close()
+        if self.n:
+            row = [self.scope, self.n, weights and list(weights.items()), *scores]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.map_(pa.string(), pa.float64()), pa.float64(), pa.float64()))], ["scope", "n_examples", "weights", "new_score", "incumbent_score"])
+
+
+def trained(found: DataFrame, incumbent: DataFrame, every: int, least: int, **training) -> DataFrame:
+    """TRAINED for each scope of found, on all of its examples in order of query and positive; without weights for scopes of fewer than least.
+
+    Every n-th example is held out; both losses are those of the held-out ones. incumbent has scope and weights. Scopes
+    are trained beside each other. A training is a step after another, so a scope is one task: its rows come to it
+    sorted, and it holds a piece of them at a time.
     """
-    key = ["scope", "query", "positive"]
-    values = F.array(*[F.col(f"f_{k}") for k in FEATURES])
-    best = found.where("is_positive").select(*key, "weight", values.alias("best"))
-    other = found.where("not is_positive").select(*key, "id", values.alias("other"))
-    pairs = numbers.join(best, key, "left").join(other, key, "left").join(incumbent, "scope", "left")
-    pairs = pairs.select("scope", "n", "id", "weight", F.zip_with("best", "other", lambda x, y: x - y).alias("d"), F.array(*[F.element_at("weights", k) for k in FEATURES]).alias("now"), F.col("weights").isNotNull().alias("has"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending"), ("id", "ascending")])
-        real = table.filter(pc.is_valid(table.column("d")))
-        d = np.array(real.column("d").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-        gate = real.column("n").to_numpy() % every == 0
-        new = fit(d[~gate], real.column("weight").to_numpy()[~gate], **training)
-        now = dict(zip(FEATURES, table.column("now")[0].as_py())) if table.column("has")[0].as_py() else PRIOR
-        row = {"scope": table.column("scope")[0].as_py(), "weights": list(new.items()), "new_score": mean_loss(d[gate], new), "incumbent_score": mean_loss(d[gate], {k: v or 0.0 for k, v in now.items()})}
-        return pa.table({k: pa.array([v], pa.map_(pa.string(), pa.float64()) if k == "weights" else None) for k, v in row.items()})
-
-    return pairs.groupBy("scope").applyInArrow(run, TRAINED)
-
-
-def promotions(found: DataFrame, registry: DataFrame, as_of: Column, margin: float = 0.0, min_samples: int = MIN_SAMPLES, share: float = GATE_SHARE, dry_run: bool = False, most: int = MOST_EXAMPLES, **training) -> dict[str, DataFrame]:
+    own = found.where("is_positive is not null").select("scope", F.lit(1).alias("part"), "query", "positive", (~F.col("is_positive")).alias("other"), "id", "is_positive", "weight", F.array(*[F.col(f"f_{k}") for k in FEATURES]).alias("values"))
+    now = F.array(*[F.coalesce(F.element_at("weights", k), F.lit(0.0)) for k in FEATURES])
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("query", "positive", "other", "id", "is_positive", "weight")]
+    rows = own.unionByName(incumbent.where("weights is not null").select("scope", F.lit(0).alias("part"), *none, now.alias("values")))
+    order = ["scope", "part", "query", "positive", "other", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope = None
+        for batch in batches:
+            names = batch.column("scope").to_pylist()
+            starts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(names)]):
+                if scope is None or scope.scope != names[start]:
+                    if scope:
+                        yield from scope.trained(least, training)
+                    scope = _Scope(names[start], every)
+                scope.add(batch.slice(start, end - start))
+        if scope:
+            yield from scope.trained(least, training)
+
+    return rows.repartition("scope").sortWithinPartitions(*order).drop("other", "id").mapInArrow(run, TRAINED)
+
+
+def promotions(found: DataFrame, registry: DataFrame, as_of: Column, margin: float = 0.0, min_samples: int = MIN_SAMPLES, share: float = GATE_SHARE, dry_run: bool = False, most: int | None = None, **training) -> dict[str, DataFrame]:
     """Trains every scope's reranker on its examples (as examples() gives them), in one job, and promotes weights that beat the current ones on those held out.
 
     outcome: scope, decision, weights, new_score, incumbent_score, n_train, n_gate; registry: with new versions; audit: a
-    row for each scope. A scope of fewer than min_samples examples is skipped.
+    row for each scope. A scope of fewer than min_samples examples is skipped; with `most`, a scope's first ones count alone.
     """
     every = max(2, math.floor(1 / share))
-    numbers = staging.staged(numbered(found, most), "numbers")
-    sizes = numbers.groupBy("scope").agg(F.count("*").alias("n_examples"))
-    enough = sizes.where((F.col("n_examples") >= min_samples) & (F.col("n_examples") >= every)).select("scope")
+    own = found.join(numbered(found, most).drop("n"), ["scope", "query", "positive"], "left_semi") if most else found
     incumbent = current_weights(registry.where("kind = 'reranker'")).select("scope", "weights")
-    out = sizes.join(trained(found, numbers.join(enough, "scope", "left_semi"), incumbent, every, **training), "scope", "left")
+    out = trained(own, incumbent, every, max(min_samples, every), **training)
     decision = F.when(F.col("new_score").isNull(), "skip").when(F.col("new_score") < F.col("incumbent_score") - margin, "promote").otherwise("reject")
     n_gate = F.floor(F.col("n_examples") / every).cast("int")
     out = staging.staged(out.withColumns({"decision": decision, "n_gate": n_gate, "n_train": F.col("n_examples").cast("int") - n_gate}), "promotions")
